@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import byte_bpe, secret_scan, token_files
+from lexdrift.llm import byte_bpe, secret_scan, token_files, toxicity, warc
 from lexdrift.llm.common import scratch, table
 
 
@@ -22,10 +22,28 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op6_byte_bpe)}
+def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.read_archives(manifest)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_revisit": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        m as (select payload_digest, max(page_id) as top from p where payload_bytes >= 1000 group by 1)
+        select page_id, payload_bytes, payload_digest,
+            case when m.top is null or page_id = m.top then 'response' else 'revisit' end as record_type,
+            case when page_id < m.top then m.top end as refers_to
+        from p left join m using (payload_digest)
+    """,
+}
