@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import byte_bpe, secret_scan, token_files, toxicity, warc
+from lexdrift.llm import byte_bpe, secret_scan, substring_dedup, token_files, toxicity, warc
 from lexdrift.llm.common import scratch, table
 
 
@@ -35,9 +35,24 @@ def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op10_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as words from documents),
+        w as (select doc_id, i, array_to_string(words[i : i + 12], ' ') as content from d, unnest(range(1, len(words) - 11)) as t(i)),
+        f as (select content, min(doc_id) as first from w group by 1),
+        hit as (select doc_id, i from w join f using (content) where first < doc_id),
+        gone as (select distinct doc_id, i + k as place from hit, range(13) as t(k)),
+        g as (select doc_id, list(place) as places from gone group by 1)
+        select doc_id, len(words)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
+            sha256(array_to_string(case when places is null then words else [x for x, k in words if not list_contains(places, k)] end, ' ')) as kept_sha256
+        from d left join g using (doc_id)
+    """,
     "op7_warc_revisit": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         m as (select payload_digest, max(page_id) as top from p where payload_bytes >= 1000 group by 1)
