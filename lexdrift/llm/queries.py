@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import byte_bpe, line_dedup, secret_scan, substring_dedup, token_files, toxicity, warc
+from lexdrift.llm import byte_bpe, jaccard_join, line_dedup, secret_scan, substring_dedup, token_files, toxicity, warc
 from lexdrift.llm.common import scratch, table
 
 
@@ -35,6 +35,10 @@ def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -44,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op9_line_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_substring_dedup": r"""
