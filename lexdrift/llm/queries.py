@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import byte_bpe, jaccard_join, line_dedup, secret_scan, substring_dedup, token_files, toxicity, warc
+from lexdrift.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, pivot_topk, secret_scan, substring_dedup, token_files, toxicity, warc
 from lexdrift.llm.common import scratch, table
 
 
@@ -17,6 +17,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added", "n_layers", "n_cut")
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "tokens"), end_id=2)
     return token_files.read_token_files(manifest)
@@ -48,9 +57,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pivot_topk, op3_benchmark_decontamination, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op2_pivot_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(x::double * 64)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20
+    """,
     "op10_substring_dedup": r"""
         with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as words from documents),
         w as (select doc_id, i, array_to_string(words[i : i + 12], ' ') as content from d, unnest(range(1, len(words) - 11)) as t(i)),
