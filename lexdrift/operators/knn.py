@@ -23,8 +23,9 @@ def block_pairs(vecs: DataFrame, block: int):
     rows = blocked(vecs, block)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.withColumn("right", every).withColumnRenamed("block", "left").drop("blocks")
-    right = rows.withColumn("left", every).withColumnRenamed("block", "right").drop("blocks")
-    return left.groupBy("slice", "left", "right").cogroup(right.groupBy("slice", "left", "right"))
+    # New names keep the two sides of one table apart.
+    right = rows.select(F.col("slice").alias("in"), F.col("word").alias("name"), F.col("vec").alias("values"), every.alias("by"), F.col("block").alias("own"))
+    return left.groupBy("slice", "left", "right").cogroup(right.groupBy("in", "by", "own"))
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
@@ -43,9 +44,9 @@ def neighbours(vecs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         columns = ["slice", "word", "neighbour", "sim"]
         if a.empty or b.empty:
             return pd.DataFrame({"slice": pd.Series(dtype=str), "word": pd.Series(dtype=str), "neighbour": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
-        b = b.sort_values("word", kind="stable")
-        sims = unit_rows(a["vec"]) @ unit_rows(b["vec"]).T
-        names = b["word"].to_numpy()
+        b = b.sort_values("name", kind="stable")
+        sims = unit_rows(a["vec"]) @ unit_rows(b["values"]).T
+        names = b["name"].to_numpy()
         sims[a["word"].to_numpy()[:, None] == names[None, :]] = -np.inf
         n = min(k, sims.shape[1])
         order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
@@ -64,8 +65,8 @@ def close_counts(vecs: DataFrame, near: float = 0.5, block: int = BLOCK) -> Data
     def count(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"slice": pd.Series(dtype=str), "word": pd.Series(dtype=str), "c": pd.Series(dtype="int64")})
-        sims = unit_rows(a["vec"]) @ unit_rows(b["vec"]).T
-        other = a["word"].to_numpy()[:, None] != b["word"].to_numpy()[None, :]
+        sims = unit_rows(a["vec"]) @ unit_rows(b["values"]).T
+        other = a["word"].to_numpy()[:, None] != b["name"].to_numpy()[None, :]
         return pd.DataFrame({"slice": key[0], "word": a["word"], "c": ((sims > near) & other).sum(1)})
 
     found = block_pairs(vecs.where(F.col("vec").isNotNull()), block).applyInPandas(count, "slice string, word string, c long")

@@ -37,9 +37,8 @@ def protect_latin(text: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """[a-z_][a-z0-9_]* of the lower-cased text, without stop words, single letters and what begins with an underscore."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z_][a-z0-9_]*"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.startswith("_") & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.startswith("_") & ~t.isin(STOP_WORDS))
 
 
 def preprocess(text: Column) -> Column:
