@@ -28,7 +28,11 @@ def normalize_citations(text: Column) -> Column:
 
 def protect_latin(text: Column) -> Column:
     """Latin phrases in lower case, joined by underscores: leftmost first, longest first at one place, in a single pass."""
-    phrases = "|".join(re.escape(p).replace(r"\ ", " ") for p in sorted(LATIN_PHRASES, key=len, reverse=True))
+    # Alternatives are grouped by first letter: those of other letters never match at the same place.
+    letters: dict[str, list[str]] = {}
+    for p in sorted(LATIN_PHRASES, key=len, reverse=True):
+        letters.setdefault(p[0], []).append(re.escape(p[1:]).replace(r"\ ", " "))
+    phrases = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in letters.items())
     marked = F.regexp_replace(text, rf"(?iu)(?U)\b({phrases})\b", f"{MARK}$1{MARK}")
     parts = F.transform(F.split(marked, MARK), lambda p, k: F.when(k % 2 == 1, F.replace(F.lower(p), F.lit(" "), F.lit("_"))).otherwise(p))
     # A text that holds the mark itself is left as it stands.

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of fewer splits than there are cores is dealt out evenly before costly work; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, year, para_idx, text: lines of documents; the year is 2000 and the source's number."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text"))
     return docs.select("doc_id", (F.lit(2000) + F.substring("source", 4, 9).cast("int")).alias("year"), F.posexplode(F.split("text", "\n")).alias("para_idx", "text"))
 
 
