@@ -86,7 +86,7 @@ def v_analysis(spark, sf_dir):
     return vocabulary.v_analysis(_counts(spark, sf_dir))
 
 
-@query(f"with c as ({SQL_COUNTS}), h as (select word, count(*) / sum(1.0 / cnt) as hmean from c group by 1 having count(distinct slice) >= 10), t as (select word, hmean, row_number() over (order by hmean desc, word) as rank from h) select * from t where rank <= 500", "hmean", "rank")
+@query(f"with c as ({SQL_COUNTS}), h as (select word, count(*) / sum(1.0 / cnt) as hmean from c group by 1 having count(distinct slice) >= 10), t as (select word, hmean, row_number() over (order by round(hmean, 9) desc, word) as rank from h) select * from t where rank <= 500", "hmean", "rank")
 def v_anchor(spark, sf_dir):
     counts = _counts(spark, sf_dir)
     return vocabulary.v_anchor(counts, vocabulary.v_analysis(counts))
