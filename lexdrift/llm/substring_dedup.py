@@ -6,7 +6,7 @@ smallest hash among its groups of ``GROUP`` words, so equal windows share
 their anchor, and neighbouring windows with one anchor travel as one stretch
 of words. Stretches whose anchor lies in one document only cannot match and
 stay where they are; a filter of fixed size tells, erring on the safe side.
-Equal stretches are combined before they are shuffled. Each shard then builds
+A task sends each content once. Each shard then builds
 a compressed index over its stretches and streams them through it by backward
 search; a match's range of suffixes yields the smallest document that has it.
 """
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, materialize, partitions_for, text_of, tune
+from lexdrift.llm.common import each_text, materialize, reclaim, text_of, tune
 from lexdrift.llm.fm_index import SEPARATOR, FmIndex
 
-GROUP = 3
+GROUP = 5
 FILTER_PARTS = 64
 SHARD_STRETCHES = 50_000
 #: An anchor with more stretches than this is dealt out window by window.
 HOT_ANCHOR = 100_000
+SENT_KEYS = 300_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -159,13 +160,14 @@ def matched_windows(docs: DataFrame, window: int = 13, part_bits: int = 1 << 22)
     """doc_id, runs (array of [from, to) window places) of windows that start in a smaller document too; ``docs``: doc_id, text, no null ids."""
     spark = docs.sparkSession
     shared = materialize(shared_anchors(docs, window), "anchors")
+    reclaim(spark)
     shipped = spark.sparkContext.broadcast(filter_of(shared, part_bits))
     n_stretches = shared.agg(F.sum("n")).first()[0] or 0
     hot = spark.sparkContext.broadcast(np.array(sorted(r.anchor for r in shared.where(F.col("n") > max(HOT_ANCHOR, n_stretches // 10_000)).select("anchor").collect()), "i8"))
     n_shards = max(1, -(-n_stretches // SHARD_STRETCHES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, single = AnchorFilter(shipped.value, part_bits), hot.value
+        known, single, sent = AnchorFilter(shipped.value, part_bits), hot.value, set()
         for batch, texts in each_text(batches):
             shards, ids, places, contents = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
@@ -184,20 +186,30 @@ def matched_windows(docs: DataFrame, window: int = 13, part_bits: int = 1 << 22)
                         contents.append(content)
             keys = [hashlib.blake2b(c, digest_size=12).digest() for c in contents]
             sizes = [c.count(b" ") + 2 - window for c in contents]
+            if len(sent) > SENT_KEYS:
+                sent.clear()
+            for k, key in enumerate(keys):  # a task need not send a content twice
+                if key in sent:
+                    contents[k] = None
+                sent.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(contents, pa.binary())], names=["shard", "key", "doc_id", "place", "n_windows", "content"])
 
     found = materialize(docs.mapInArrow(emit, "shard int, key binary, doc_id long, place int, n_windows int, content binary"), "stretches")
-    distinct = found.groupBy("key").agg(F.first("shard").alias("shard"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("content").alias("content"))
-
-    def search(group: pa.Table) -> pa.Table:
-        first, last = group.column("first").to_numpy(), group.column("last").to_numpy()
-        flags = covered_windows(group.column("content").to_pylist(), first, window)
-        own = [runs(f) for f in flags]
+    reclaim(spark)
+    owners = found.groupBy("shard", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    contents = found.where("content is not null").select("shard", "key", "content")
+
+    def search(owners: pa.Table, contents: pa.Table) -> pa.Table:
+        place = {key: k for k, key in enumerate(contents.column("key").to_pylist())}
+        keys = owners.column("key")
+        first, last = owners.column("first").to_numpy(), owners.column("last").to_numpy()
+        texts = contents.column("content").take(pa.array([place[key] for key in keys.to_pylist()])).to_pylist()
+        own = [runs(f) for f in covered_windows(texts, first, window)]
         keep = np.flatnonzero((first < last) | np.array([bool(o) for o in own], bool))
         flat = pa.array([[{"a": a, "b": b} for a, b in own[k]] for k in keep], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.table({"key": group.column("key").take(pa.array(keep)), "first": first[keep], "own": flat})
+        return pa.table({"key": keys.take(pa.array(keep)), "first": first[keep], "own": flat})
 
-    results = distinct.groupBy("shard").applyInArrow(search, "key binary, first long, own array<struct<a:int,b:int>>")
+    results = owners.groupBy("shard").cogroup(contents.groupBy("shard")).applyInArrow(search, "key binary, first long, own array<struct<a:int,b:int>>")
     occurring = found.select("key", "doc_id", "place", "n_windows").join(results, "key")
     whole = F.array(F.struct(F.col("place").alias("a"), (F.col("place") + F.col("n_windows")).alias("b")))
     shifted = F.transform("own", lambda r: F.struct((r.a + F.col("place")).alias("a"), (r.b + F.col("place")).alias("b")))

@@ -77,7 +77,7 @@ def write_archives(pages: DataFrame, out_dir: str, least_bytes: int = 1000, id_c
                 fs, root = file_system(out_dir)
                 fs.create_dir(root, recursive=True)
                 name = f"archive-{uuid.uuid4().hex}.warc.gz"
-                path, out = f"{out_dir}/{name}", fs.open_output_stream(f"{root}/{name}")
+                path, out = f"{out_dir}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(packed(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: lexdrift\r\nformat: WARC file version 1.1\r\n")))
             made = []
             for page_id, url, body, digest, original in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "body", "digest", "original")), strict=True):
@@ -153,7 +153,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 fs, where = file_system(path)
                 rows: list[tuple] = []
-                with fs.open_input_stream(where) as f, io.BufferedReader(gzip.GzipFile(fileobj=f)) as stream:
+                with fs.open_input_stream(where, compression=None) as f, io.BufferedReader(gzip.GzipFile(fileobj=f)) as stream:
                     for headers, block in records(stream):
                         kind = headers["warc-type"]
                         if kind not in ("response", "revisit"):
