@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import materialize, partitions_for, text_of, tune
+from lexdrift.llm.common import materialize, text_of, tune
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -101,8 +101,8 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, rare: int = 100) -> D
     copied = copies.where(F.col("total") >= least_chars).select("doc_id", F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
     seeds = hashed.where("chars > 0").join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "h").agg(F.max("chars").alias("chars"))
     seeds = materialize(seeds, "line-seeds")
-    owned = seeds.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    # The side with a hot line is the left one of an inner join: Spark can split it.
+    # Written, so that the join below has shuffles of its own on both sides, which Spark can split where a line is hot.
+    owned = materialize(seeds.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "line-owners")
     shared = materialize(seeds.join(owned, "h").where("doc_id > owner"), "shared-lines")
     pairs = shared.where(F.col("df") <= rare).select("doc_id", "owner").distinct()
     frequent = shared.where((F.col("df") > rare) & (F.col("chars") >= least_chars)).groupBy("doc_id").agg(F.collect_set("h").alias("frequent"))
