@@ -227,3 +227,14 @@ def residual_variance(before: DataFrame, after: DataFrame, vector: str = "emb")
         return parts.groupBy("word").agg(F.sum("v").alias(name))
 
     return spread(before, "b").join(spread(after, "a"), "word").select("word", ranks.guarded_ratio(F.col("a"), F.col("b"), 0.0).alias("per_word_residual_var"))
+
+
+def neighbour_snapshot(knn: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """word, rank, first_slice, first_neighbour, last_slice, last_neighbour: the nearest words where a term first and last occurs, side by side."""
+    rows = knn.where(F.col("rank") <= n).join(terms.select("word").distinct(), "word", "left_semi")
+    ends = rows.groupBy("word").agg(F.min("slice").alias("first_slice"), F.max("slice").alias("last_slice"))
+
+    def side(name: str) -> DataFrame:
+        return rows.join(ends.select("word", F.col(f"{name}_slice").alias("slice")), ["word", "slice"]).select("word", "rank", F.col("slice").alias(f"{name}_slice"), F.col("neighbour").alias(f"{name}_neighbour"))
+
+    return side("first").join(side("last"), ["word", "rank"], "full")

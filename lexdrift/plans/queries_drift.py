@@ -370,3 +370,15 @@ def stratified_sample(spark, sf_dir):
     from lexdrift.operators.usages import stratified_sample as sample
 
     return sample(_means(spark, sf_dir), "mean_count", ["word"], 40, 10)
+
+
+@query(f"with {SQL_SIMS}, t as (select * from k where rank <= {K} and word like 'word000%'), e as (select word, min(slice) as a, max(slice) as b from t group by 1) select x.word, x.rank, x.slice as first_slice, x.neighbour as first_neighbour, y.slice as last_slice, y.neighbour as last_neighbour from t x join e on x.word = e.word and x.slice = a join t y on y.word = e.word and y.slice = b and y.rank = x.rank", "", "rank")
+def neighbour_snapshot(spark, sf_dir):
+    vecs = fx.slice_vectors(spark, sf_dir)
+    return drift.neighbour_snapshot(knn.neighbours(vecs, K), vecs.where("word like 'word000%'"), K)
+
+
+@query()
+def directional_shift(spark, sf_dir):
+    found = drift.directional_shift(fx.slice_vectors(spark, sf_dir), "word0003", "y2000", "y2001", K)
+    return found.withColumn("direction", F.transform("direction", lambda x: F.round(x, 6)))
