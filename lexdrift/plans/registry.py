@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 
+from lexdrift.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,7 +30,11 @@ def query(sql: str | None = None, fractions: str = "", wholes: str = ""):
     """Register a query under its function's name; ``sql`` gives the same rows, with the named columns rounded or made bigint."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return plain(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             changed = [f"round({c}::double, 6) + 0.0 as {c}" for c in fractions.split()] + [f"{c}::bigint as {c}" for c in wholes.split()]
             ORACLES[f.__name__] = f"select * replace ({', '.join(changed)}) from ({sql})" if changed else sql
