@@ -13,12 +13,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexdrift.session import ship
+
 #: Used where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/lexdrift-checkpoints"
 
 
 def tune(spark: SparkSession, batch_bytes: int = 4 << 20, batch_rows: int = 20_000) -> None:
-    """Bound each Arrow batch by bytes, so that very long texts cannot fill a Python worker."""
+    """Bound each Arrow batch by bytes, so that very long texts cannot fill a Python worker; let workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
