@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_CHARS = 50
+LISTED = 2000
 
 
 def find_usages(paragraphs: DataFrame, words: DataFrame, keys: list[str], min_chars: int = MIN_CHARS) -> DataFrame:
     """word, keys, char_start, char_end: whole-word occurrences, in any case, in paragraphs of ``min_chars`` or more.
 
     A word of word characters matches exactly where a whole run of them equals
-    it, so runs are joined with the words; no pattern over the vocabulary is
-    built. A large vocabulary is a shuffle join like any other.
+    it, so runs are compared with the words; no pattern over the vocabulary is
+    built. Up to ``LISTED`` words are looked up while runs are walked through,
+    which keeps only their places; a larger vocabulary is joined.
     """
+    listed = [r[0] for r in words.where("word is not null").select(F.lower("word")).distinct().limit(LISTED + 1).collect()]
+    few = len(listed) <= LISTED
     rows = paragraphs.where(F.length("text") >= min_chars)
     runs = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))
     gaps = F.split("text", r"(?U)\w+")
@@ -28,11 +32,14 @@ def find_usages(paragraphs: DataFrame, words: DataFrame, keys: list[str], min_ch
 
     def fold(s: Column, x: Column) -> Column:
         start = s.at + x.g
-        return F.struct((start + F.length(x.r)).alias("at"), F.concat(s.out, F.array(F.struct(F.lower(x.r).alias("word"), start.alias("a")))).alias("out"))
+        more = F.concat(s.out, F.array(F.struct(F.lower(x.r).alias("word"), start.alias("a"))))
+        return F.struct((start + F.length(x.r)).alias("at"), (F.when(F.lower(x.r).isin(listed), more).otherwise(s.out) if few else more).alias("out"))
 
     placed = rows.select(*keys, runs.alias("__runs"), gaps.alias("__gaps")).where(F.size("__runs") > 0)
     found = placed.select(*keys, F.explode(F.aggregate(step, zero, fold, lambda s: s.out)).alias("u")).select(*keys, F.col("u.word").alias("word"), F.col("u.a").alias("char_start"), (F.col("u.a") + F.length("u.word")).alias("char_end"))
-    return found.join(words.select(F.lower("word").alias("word")).distinct(), "word", "left_semi").select("word", *keys, "char_start", "char_end")
+    if not few:
+        found = found.join(words.select(F.lower("word").alias("word")).distinct(), "word", "left_semi")
+    return found.select("word", *keys, "char_start", "char_end")
 
 
 def hashed_order(seed: int, *keys: str) -> Column:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.functions import slices
@@ -34,7 +35,9 @@ def test_tokens(spark):
     assert got[5] == ["ad", "hoc"]
 
 
-def test_usages_and_offsets(spark):
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_usages_and_offsets(spark, monkeypatch, listed):
+    monkeypatch.setattr(usages, "LISTED", listed)
     paras = spark.createDataFrame([(1, 0, "The Court held; the court's COURT ruled on courts. " + "x" * 30), (2, 0, "court")], "celex int, para_idx int, text string")
     words = spark.createDataFrame([("court",)], "word string")
     rows = usages.find_usages(paras, words, ["celex", "para_idx"]).orderBy("char_start").collect()
