@@ -74,27 +74,49 @@ def score_bounds(query_square: np.ndarray, largest: float, lower: np.ndarray) ->
     return (query_square + largest - lower * lower) / 2 + EPS * (1 + query_square + largest)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray, table_q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, table: np.ndarray, largest: float, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray, table_q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, table: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, candidate id, score) of each query's best ``k`` in the block that reach its score to beat."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     squares = (queries * queries).sum(1)
+    # One row a pivot, in single precision; the slack covers the rounding of both distances.
+    rows, rows_q = np.ascontiguousarray(table.T.astype("f4")), table_q.astype("f4")
+    slack = 1e-6 * float(max(np.abs(rows).max(initial=0), np.abs(rows_q).max(initial=0)))
+    apart = np.empty(len(ids), "f4")
+    # Sums of products of whole numbers are exact in single precision below 2 ** 24.
+    kind = "f4" if max(largest, squares.max(initial=0)) < 1 << 23 else "f8"
+    exact, exact_q = vectors.astype(kind), queries.astype(kind)
     for q in range(len(queries)):
-        lower = np.abs(table - table_q[q]).max(1)
+        lower = np.zeros(len(ids), "f4")
+        for p in range(len(rows)):
+            np.subtract(rows[p], rows_q[q, p], out=apart)
+            np.abs(apart, out=apart)
+            np.maximum(lower, apart, out=lower)
+        lower = np.maximum(lower.astype("f8") - slack, 0)
         bounds = score_bounds(squares[q], largest, lower)
-        live = np.flatnonzero(bounds >= to_beat[q])
-        live = live[ids[live] != query_ids[q]]
-        live = live[np.argsort(-bounds[live], kind="stable")]
-        best_ids, best = np.zeros(0, "i8"), np.zeros(0)
-        at, beat, size = 0, to_beat[q], 4 * k
-        while at < len(live) and bounds[live[at]] >= beat:
-            some = live[at : at + size]
-            at, size = at + len(some), step
-            scores = np.concatenate([best, vectors[some] @ queries[q]])
-            names = np.concatenate([best_ids, ids[some]])
+        bounds[ids == query_ids[q]] = -np.inf
+        best_ids, best, beat = np.zeros(0, "i8"), np.zeros(0), to_beat[q]
+
+        def take(names: np.ndarray, scores: np.ndarray) -> None:
+            nonlocal best_ids, best, beat
+            high = scores >= beat
+            scores, names = np.concatenate([best, scores[high]]), np.concatenate([best_ids, names[high]])
             order = np.lexsort((names, -scores))[:k]
             best, best_ids = scores[order], names[order]
             if len(best) == k:
                 beat = max(beat, best[-1])
+
+        first = np.argpartition(-bounds, 4 * k)[: 4 * k] if len(ids) > 4 * k else np.arange(len(ids))
+        first = first[(bounds[first] >= beat) & (bounds[first] > -np.inf)]
+        take(ids[first], exact[first] @ exact_q[q])
+        bounds[first] = -np.inf
+        left = np.flatnonzero((bounds >= beat) & (bounds > -np.inf))
+        if len(left) > len(ids) // 8:  # bounds tell little here: one product over the block costs less than picking its rows
+            take(ids[left], (exact @ exact_q[q])[left])
+            left = left[:0]
+        left, size = left[np.argsort(-bounds[left], kind="stable")], 4 * k
+        while len(left) and bounds[left[0]] >= beat:
+            some, left, size = left[:size], left[size:], size * 2
+            take(ids[some], exact[some] @ exact_q[q])
         keep = best >= to_beat[q]
         out.append((np.full(keep.sum(), q), best_ids[keep], best[keep]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 3
