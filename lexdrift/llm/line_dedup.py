@@ -1,13 +1,13 @@
 """Line dedup by pairwise alignment (operator 9).
 
-Documents overlap where they share lines. Each line of a document names one
-earlier document: the first that has it. So a document has no more partners
-than lines, however often a line occurs, and no list of a line's documents is
-ever gathered. Lines that few documents share are the seeds of such pairs; a
-pair's line hashes are aligned by patience diff and the aligned common blocks
-go from the later document. A line that more than ``rare`` documents share
-seeds no pair: it is a block of one line, compared with its first document
-directly. Documents equal line by line are matched as wholes first.
+Documents overlap where they share blocks: runs of neighbouring lines that hold
+``least_chars`` characters together. Every such run is covered by its shortest
+ones, of which a document has at most two a line: one begins and one ends at
+each. Each of these windows names the first document that has it, by an
+aggregate over hashes, however many documents share it. The pairs that windows
+name are aligned by patience diff and the aligned common blocks go from the
+later document; what alignment with the first documents leaves (blocks that
+are moved, or whose pieces other documents had first) goes by the windows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +87,89 @@ def blocks(aligned: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = 20, rare: int = 100) -> DataFrame:
-    """doc_id, gone (array<int>): places of lines, from 0, that an earlier document's aligned block has.
+#: Multiplier of the windows' rolling hashes, odd so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C13
 
-    ``docs``: doc_id, text; ids not null and distinct. A block counts if its
-    lines hold ``least_chars`` characters together.
+
+def windows(lengths: np.ndarray, hashes: np.ndarray, chars: np.ndarray, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of ``least_chars`` characters from each line on and up to each line.
+
+    Documents of ``lengths`` lines stand one after the other in ``hashes`` and
+    ``chars``. Gives document number, hash, first and last place of each run.
+    A run of as many characters is the union of those within it.
+    """
+    n = len(hashes)
+    at = np.arange(n)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.cumsum(lengths)
+    begin, end = (ends - lengths)[doc], ends[doc]
+    total = np.concatenate([[0], np.cumsum(chars, dtype="i8")])
+    to = np.maximum(np.searchsorted(total, total[:-1] + least_chars, "left"), at + 1)
+    since = np.minimum(np.searchsorted(total, total[1:] - least_chars, "right") - 1, at)
+    on, back = to <= end, since >= begin
+    back &= to[np.maximum(since, 0)] != at + 1  # else it is that of its first line too
+    doc, first, stop = np.concatenate([doc[on], doc[back]]), np.concatenate([at[on], since[back]]), np.concatenate([to[on], at[back] + 1])
+    power, inverse = (np.cumprod(np.full(n, x, "u8")) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(hashes * power, dtype="u8")])
+    x = (sums[stop] - sums[first]) * inverse[first] + (stop - first).astype("u8")
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return doc, x, first - begin[first], stop - 1 - begin[first]
+
+
+def repeated_lines(docs: DataFrame, least_chars: int = 20, rare: int | None = None) -> DataFrame:
+    """doc_id, gone (array<int>): places of lines, from 0, of blocks that an earlier document has.
+
+    ``docs``: doc_id, text; ids not null and distinct. A block is a run of
+    neighbouring lines that hold ``least_chars`` characters together. With
+    ``rare``, only lines that so many documents share or fewer are aligned, each
+    with the first document that has it, and others stand for themselves.
     """
+    if rare is not None:
+        return _by_rare_lines(docs, least_chars, rare)
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    sequences = lines.select("doc_id", F.transform("lines", lambda x: F.xxhash64(x, F.lit(7))).alias("seq"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
+
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("seq")).to_numpy(zero_copy_only=False)
+            seq, chars = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("seq", "chars"))
+            doc, h, first, last = windows(lengths, seq.view("u8"), chars, least_chars)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(h.view("i8")), pa.array(first.astype("i4")), pa.array(last.astype("i4"))], names=["doc_id", "h", "first", "last"])
+
+    found = materialize(sequences.mapInArrow(window, "doc_id long, h long, first int, last int"), "line-windows")
+    # Written, so that the join below has shuffles of its own on both sides, which Spark can split where a window is hot.
+    owned = found.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest")).where("latest > owner").select("h", "owner")
+    owned = materialize(owned, "window-owners")
+    shared = materialize(found.join(owned, "h").where("doc_id > owner").select("doc_id", "owner", "first", "last"), "shared-windows")
+    pairs = shared.select("doc_id", "owner").distinct()
+    early = sequences.select(F.col("doc_id").alias("owner"), F.col("seq").alias("owner_seq"))
+    both = pairs.join(early, "owner").join(sequences, "doc_id")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, a, b, chars in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "owner_seq", "seq", "chars")), strict=True):
+                made += [(i, run[0], run[-1]) for run in blocks(patience(a, b)) if sum(chars[k] for k in run) >= least_chars]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "first", "last"])
+
+    aligned = both.select("doc_id", "owner_seq", "seq", "chars").mapInArrow(align, "doc_id long, first int, last int")
+    spans = aligned.unionByName(shared.drop("owner")).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = []
+            for first, last in zip(*(batch.column(c).to_pylist() for c in ("first", "last")), strict=True):
+                depth = np.bincount(first, minlength=max(last) + 2) - np.bincount(np.array(last) + 1, minlength=max(last) + 2)
+                gone.append(np.flatnonzero(np.cumsum(depth)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+
+    return spans.mapInArrow(merge, "doc_id long, gone array<int>")
+
+
+def _by_rare_lines(docs: DataFrame, least_chars: int, rare: int) -> DataFrame:
+    """``repeated_lines`` where the caller bounds how many documents may share a line that is aligned."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     hashed = lines.select("doc_id", "place", F.xxhash64("line", F.lit(7)).alias("h"), F.length("line").alias("chars"))
     sequences = docs.select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", F.transform("lines", lambda x: F.xxhash64(x, F.lit(7))).alias("seq"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
@@ -123,14 +202,14 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, rare: int = 100) -> D
     return every.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 20, rare: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 20, rare: int | None = None) -> DataFrame:
     """``docs`` with its columns, its text without repeated lines, and n_lines and n_removed.
 
     Lines are split at newlines only. The first document (smallest id) that has
     a block keeps it. A null text is the empty one, of one empty line. A row
     with a null id is compared with none and keeps its lines; rows that repeat
     an id are one document, whose lines are those of any one of them when
-    others are compared with it. Columns named n_lines, n_removed or gone are
+    others are compared with it. ``rare`` as in ``repeated_lines``. Columns named n_lines, n_removed or gone are
     replaced.
     """
     tune(docs.sparkSession)

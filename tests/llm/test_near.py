@@ -69,6 +69,17 @@ def test_line_dedup(spark, rare):
     assert got == brute_lines(rows, rare=rare)
 
 
+def removed(spark, rows):
+    return {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+
+
+def test_a_block_of_short_lines_goes_however_many_documents_share_it(spark):
+    verse = "first verse\nsecond\n\nthird verse"
+    rows = [(i, f"{verse}\nown line of document {i}") for i in range(130)]
+    got = removed(spark, rows)
+    assert got == {i: t if i == 0 else f"own line of document {i}" for i, t in rows}
+
+
 def test_line_dedup_edges(spark):
     df = frame(spark, [(None, "a" * 30), (None, "a" * 30)])
     assert [r.n_removed for r in line_dedup.dedup_lines(df).collect()] == [0, 0]
