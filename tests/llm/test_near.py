@@ -69,6 +69,19 @@ def test_line_dedup(spark, rare):
     assert got == brute_lines(rows, rare=rare)
 
 
+def common_blocks(rows, least=20):
+    """Places of lines of runs that stand in an earlier document, by trying every run; and those that patience diff aligns with any earlier document."""
+    texts = {i: (t or "").split("\n") for i, t in rows}
+    gone, aligned = {i: set() for i in texts}, {i: set() for i in texts}
+    for i, b in texts.items():
+        for o, a in texts.items():
+            if o < i:
+                runs = {tuple(a[p:q]) for p in range(len(a)) for q in range(p + 1, len(a) + 1)}
+                gone[i] |= {k for p in range(len(b)) for q in range(p + 1, len(b) + 1) if sum(map(len, b[p:q])) >= least and tuple(b[p:q]) in runs for k in range(p, q)}
+                aligned[i] |= {k for run in line_dedup.blocks(line_dedup.patience(a, b)) if sum(len(b[k]) for k in run) >= least for k in run}
+    return gone, aligned
+
+
 def removed(spark, rows):
     return {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
 
@@ -80,6 +93,20 @@ def test_a_block_of_short_lines_goes_however_many_documents_share_it(spark):
     assert got == {i: t if i == 0 else f"own line of document {i}" for i, t in rows}
 
 
+def test_windows_remove_every_common_block(spark):
+    rng = random.Random(13)
+    pool = ["", *(sentence(rng, rng.randrange(1, 6)) for _ in range(12))]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.7 else sentence(rng, 3) for _ in range(rng.randrange(1, 10))]
+        rows.append((i, "\n".join(lines)))
+    rows += [(70, rows[5][1]), (71, rows[5][1]), (72, None), (73, "\n\n"), (74, "\n\n"), (75, "short"), (76, "short")]
+    gone, aligned = common_blocks(rows)
+    assert any(gone.values()) and all(aligned[i] <= gone[i] for i in gone)
+    want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]) for i, t in rows}
+    assert removed(spark, rows) == want
+
+
 def test_line_dedup_edges(spark):
     df = frame(spark, [(None, "a" * 30), (None, "a" * 30)])
     assert [r.n_removed for r in line_dedup.dedup_lines(df).collect()] == [0, 0]
