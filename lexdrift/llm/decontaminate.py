@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment (operator 3).
-
-The benchmark is taken in blocks of bounded size, however large it is. For each
-block one scan counts in how many documents each of its n-grams occurs; the
-rare ones, and the rarest of every few neighbours whatever their counts, become
-seeds. A second scan joins seeds to texts and aligns the words around them with
-the item by Smith-Waterman. Neither scan shuffles documents.
+"""Benchmark decontamination: n-gram seeds, then local alignment (operator 3).
+
+The benchmark is taken in blocks of bounded size, however large it is. Every
+n-gram of a block's items is a seed, whatever its frequency: the grams that
+edits left whole may be the commonest of an item where many documents hold
+edited copies of it. One scan joins seeds to texts and aligns the words around
+them with the item by Smith-Waterman, unless too few of the item's words stand
+there. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -86,17 +87,12 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def seeds(items: list[np.ndarray], counts: dict[int, int], rare: int, neighbours: int = 4) -> dict[int, set[int]]:
-    """Gram -> items it is a seed of: grams that ``rare`` documents or fewer have, and the rarest of each few neighbours."""
+def seeds(items: list[np.ndarray]) -> dict[int, set[int]]:
+    """Gram -> items that have it."""
     out: dict[int, set[int]] = {}
     for k, words in enumerate(items):
-        grams = grams_of(words).tolist()
-        ranks = [counts.get(g, 0) for g in grams]
-        chosen = {j for j, r in enumerate(ranks) if r <= rare}
-        for j in range(max(1, len(grams) - neighbours + 1)):
-            chosen.add(min(range(j, min(j + neighbours, len(grams))), key=lambda i: (ranks[i], i)))
-        for j in chosen:
-            out.setdefault(grams[j], set()).add(k)
+        for g in grams_of(words).tolist():
+            out.setdefault(g, set()).add(k)
     return out
 
 
@@ -112,7 +108,7 @@ def blocks_of(benchmark: DataFrame, most_bytes: int, least_words: int) -> Iterat
             yield items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, rare_share: float = 0.0005, least_words: int = 8, most_bytes: int = 8 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least_words: int = 8, most_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: documents that hold an item, whole or edited, once for each item.
 
     ``score`` is the best local alignment (match 2, mismatch and gap -1) over
@@ -127,7 +123,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ra
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    parts = [_of_block(rows, items, threshold, rare_share) for items in blocks_of(benchmark, most_bytes, least_words)]
+    parts = [_of_block(rows, items, threshold) for items in blocks_of(benchmark, most_bytes, least_words)]
     if not parts:
         return spark.createDataFrame([], FOUND)
     out = parts[0]
@@ -136,26 +132,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ra
     return out
 
 
-def _of_block(rows: DataFrame, items: list[tuple[int | None, np.ndarray]], threshold: float, rare_share: float) -> DataFrame:
+def _of_block(rows: DataFrame, items: list[tuple[int | None, np.ndarray]], threshold: float) -> DataFrame:
     spark = rows.sparkSession
     words = [w for _, w in items]
     vocabulary = np.unique(np.concatenate(words))
-    grams = np.unique(np.concatenate([grams_of(w) for w in words]))
-    shipped = spark.sparkContext.broadcast((vocabulary, grams))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(*shipped.value)
-        seen, n = np.zeros(len(lookup.grams), "i8"), 0
-        for _, texts in each_text(batches):
-            n += len(texts)
-            for text in texts:
-                seen[np.unique(lookup.find(words_of(text))[1])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *seen[at].tolist()], pa.int64())], names=["gram", "docs"])
-
-    counted = {r.gram: r.docs for r in rows.mapInArrow(count, "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect()}
-    n_docs = counted.pop(-1, 0)
-    chosen = seeds(words, {int(grams[k]): v for k, v in counted.items()}, max(10, int(rare_share * n_docs)))
+    chosen = seeds(words)
     order = np.array(sorted(chosen), "u8")
     plan = spark.sparkContext.broadcast((items, vocabulary, order, [sorted(chosen[g]) for g in order.tolist()]))
 

@@ -234,6 +234,14 @@ def test_a_leak_in_most_documents_is_found(spark):
     assert decontaminate.find_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 60
 
 
+def test_a_group_of_equally_edited_copies_is_found(spark):
+    rng = random.Random(10)
+    item = sentence(rng, 41).split()
+    df = frame(spark, [(i, " ".join([sentence(rng, 20), *(f"edit{rng.randrange(10**6)}" if k % 6 == 5 else w for k, w in enumerate(item)), sentence(rng, 5)])) for i in range(60)])
+    found = decontaminate.find_leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == set(range(60)) and all(0.7 < r.score < 0.8 for r in found)
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
