@@ -37,7 +37,14 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of base64, over line breaks (as in MIME, or escaped) too; possessive, so that long runs are read once.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[\x20\t]*+\r?\n[\x20\t]*+|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)*+={0,2}")
+BREAKS = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
+LEAST_BASE64 = 16
+#: Bytes that are no text (as read with surrogateescape), and the shortest text that can hold a secret.
+NO_TEXT = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]")
+HAS_TEXT = re.compile("[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd")
 
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_added long, n_layers long, n_cut long"
 
@@ -92,102 +99,151 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    """Bytes that are not UTF-8 become replacement characters."""
     out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
+    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        n = 3 * len(c.encode("utf-8", "surrogateescape"))
+        out.append(("\ufffd" if "\ud800" <= c < "\ue000" else c, at, at + n))
         at += n
     return out
 
 
-def _escapes(run: str) -> list[tuple[str, int, int]] | None:
+def _percent_bytes(run: str) -> list[tuple[str, int, int]]:
+    """One character a byte."""
+    return [(chr(x), 3 * k, 3 * k + 3) for k, x in enumerate(bytes.fromhex(run.replace("%", "")))]
+
+
+def _escapes(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for m in ONE_ESCAPE.finditer(run):
         code = int(m[1], 16)
         if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1][0]) < 0xDC00:
             high = out.pop()
             out.append((chr(0x10000 + (ord(high[0]) - 0xD800 << 10) + code - 0xDC00), high[1], m.end()))
-        elif code > 0x10FFFF:
-            return None
         else:
+            code = 0xFFFD if code > 0x10FFFF else code
             out.append((chr(code), m.start(), m.end()))
     return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Decompress gzip, zlib, bzip2 or zstd data; (content, whether it was cut at ``most`` bytes), or None if it is none of these."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
-            machine = zlib.decompressobj(47)
-            out = machine.decompress(data, most)
-            return (out, bool(machine.unconsumed_tail)) if out else None
-        if data[:3] == b"BZh":
-            machine = bz2.BZ2Decompressor()
-            out = machine.decompress(data, most)
-            return (out, not machine.eof and not machine.needs_input) if out else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
+def _inflate(data: memoryview, most: int) -> tuple[bytes, bool, int] | None:
+    """Decompress gzip, zlib, bzip2 or zstd data, with all its members; (content, whether it was cut at ``most`` bytes, bytes read), or None."""
+    packed, rest, out = bytes(data[:3]), data, []
+    room, cut = most, False
+    while rest and not cut:
+        try:
+            if packed[:1] in (b"\x1f", b"\x78"):
+                machine = zlib.decompressobj(47)
+                part = machine.decompress(rest, room)
+                cut = bool(machine.unconsumed_tail)
+            elif packed == b"BZh":
+                machine = bz2.BZ2Decompressor()
+                part = machine.decompress(rest, room)
+                cut = not machine.eof and not machine.needs_input
+            else:
+                return _zstd(data, most)
+        except (zlib.error, OSError, EOFError, ValueError):
+            break
+        out.append(part)
+        room -= len(part)
+        rest = b"" if cut or not machine.eof else machine.unused_data
+        if rest[:3] != packed or packed[:1] == b"\x78":
+            break
+        if room <= 0:
+            cut = True
+    content = b"".join(out)
+    return (content, cut, len(data) - len(rest)) if content else None
+
+
+def _zstd(data: memoryview, most: int) -> tuple[bytes, bool, int] | None:
+    import zstandard
+
+    for across in (True, False):  # with other bytes behind, only the first frame can be read at once
+        try:
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=across) as r:
                 out = r.read(most)
-                return (out, bool(r.read(1))) if out else None
-    except (zlib.error, OSError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+                return (out, bool(r.read(1)), len(data) if across else 4) if out else None
+        except zstandard.ZstdError:
+            continue
     return None
 
 
-def _visible(data: bytes) -> str | None:
-    """The text that ``data`` is in UTF-8, if it has no control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def _unpacked(data: bytes, most: int) -> Iterator[tuple[bytes, bool, int, int]]:
+    """(content, whether cut, first and last byte, exclusive) of compressed data anywhere in ``data``, and in such content."""
+    seen, work = {data}, [(data, None)]
+    while work:
+        data, span = work.pop()
+        at = 0
+        while (m := PACKED.search(data, at)) is not None:
+            got = _inflate(memoryview(data)[m.start() :], most)
+            at = m.start() + (got[2] if got else 1)
+            if got and got[0] not in seen:
+                seen.add(got[0])
+                where = span or (m.start(), at)
+                yield got[0], got[1], *where
+                work.append((got[0], where))
+
+
+def _packed_layers(data: bytes, most: int, origin) -> Iterator[tuple[Layer, bool]]:
+    """Layers of the text in compressed data within ``data``; ``origin`` gives the span of a stretch of its bytes."""
+    for content, cut, a, b in _unpacked(data, most):
+        text = content.decode("utf-8", "surrogateescape")
+        if cut or HAS_TEXT.search(text):
+            n, (x, y) = len(text), origin(a, b)
+            yield Layer(NO_TEXT.sub("�", text), np.full(n, x), np.full(n, y)), cut
 
 
 def _base64_layers(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
+    """A run may begin amid other letters, so it is read from each of four places on; bytes that are no text stand between texts."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        except binascii.Error:
+        if m.end() - m.start() < LEAST_BASE64:
             continue
-        cut, packed = False, False
-        seen = {data}
-        while (more := _inflate(data, most)) is not None and more[0] not in seen:
-            data, packed, cut = more[0], True, cut or more[1]
-            seen.add(data)
-        if (text := _visible(data)) is None:
-            if packed and cut and (text := data.decode("utf-8", "ignore")):
-                pass
-            else:
-                continue
-        whole = layer.origin(m.start(), m.end())
-        if packed:
-            n = len(text)
-            yield Layer(text, np.full(n, whole[0]), np.full(n, whole[1])), cut
+        joined_run = BREAKS.sub("", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(joined_run) < LEAST_BASE64:
             continue
-        starts, ends, at = [], [], 0
-        for c in text:  # three bytes stand in four characters
-            n = len(c.encode())
-            a, b = at, at + n - 1
-            first = m.start() + a // 3 * 4 + a % 3
-            last = m.start() + b // 3 * 4 + b % 3 + 2
-            x = layer.origin(first, min(last, m.end()))
-            starts.append(x[0])
-            ends.append(x[1])
-            at += n
-        yield Layer(text, np.array(starts), np.array(ends)), cut
+        places = None
+        for offset in range(4):
+            body = joined_run[offset:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+            text = data.decode("utf-8", "surrogateescape")
+            shows = HAS_TEXT.search(text)
+            if not shows and not PACKED.search(data):
+                continue
+            if places is None:
+                places = _letters(m)
+
+            def origin(a: int, b: int, offset=offset, size=len(data), places=places, m=m) -> tuple[int, int]:
+                # Three bytes stand in four characters; what reaches the end has the padding too.
+                last = offset + (b - 1) // 3 * 4 + (b - 1) % 3 + 1
+                end = m.end() if b == size else int(places[min(last, len(places) - 1)]) + 1
+                return layer.origin(int(places[offset + a // 3 * 4 + a % 3]), end)
+
+            yield from _packed_layers(data, most, origin)
+            if not shows:
+                continue
+            starts, ends, at = [], [], 0
+            for c in text:
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape"))
+                a, b = at, at + n - 1
+                first = offset + a // 3 * 4 + a % 3
+                last = min(offset + b // 3 * 4 + b % 3 + 1, len(places) - 1)
+                x = layer.origin(int(places[first]), int(places[last]) + 1)
+                starts.append(x[0])
+                ends.append(x[1])
+                at += n
+            yield Layer(NO_TEXT.sub("�", text), np.array(starts), np.array(ends)), False
+
+
+def _letters(m: re.Match) -> np.ndarray:
+    """Places of the letters of a run that may be broken."""
+    parts, at = [], m.start()
+    for gap in [*BREAKS.finditer(m[0]), None]:
+        stop = m.start() + (gap.start() if gap else len(m[0].rstrip("=")))
+        parts.append(np.arange(at, stop))
+        at = m.start() + gap.end() if gap else stop
+    return np.concatenate(parts)
 
 
 def scan_layers(text: str, most_bytes: int = 16 << 20, most_depth: int = 64) -> tuple[list, list, int, int]:
@@ -207,8 +263,11 @@ def scan_layers(text: str, most_bytes: int = 16 << 20, most_depth: int = 64) ->
         made: list[tuple[Layer, bool]] = []
         if "%" in layer.text and (new := _replaced(layer, PERCENT, _percent)):
             made.append((new, False))
+            whole = _replaced(layer, PERCENT, _percent_bytes)
+            made += _packed_layers(whole.text.encode("latin-1", "replace"), most_bytes, whole.origin)
         if "\\" in layer.text and (new := _replaced(layer, ESCAPE, _escapes)):
             made.append((new, False))
+            made += _packed_layers(new.text.encode("latin-1", "replace"), most_bytes, new.origin)
         made += _base64_layers(layer, most_bytes)
         for new, cut in made:
             n_cut += cut

@@ -152,6 +152,20 @@ def test_nested_secrets():
     assert secret_scan.joined(every) == "assign:3:18"
 
 
+def test_secrets_beside_other_letters_and_over_lines():
+    secret = "password=abcdef123"
+    b64 = base64.b64encode(secret.encode()).decode()
+    packed = gzip.compress("".join(f"{k} {hashlib.md5(str(k).encode()).hexdigest()[:20]}\n" for k in range(40)).encode() + secret.encode())
+    mime = base64.encodebytes(packed).decode()
+    cases = [f"https://h.example.com/{b64}", f"key_{b64}", f"/{b64}", f"ab-{b64}/tail", mime, mime.replace("\n", "\r\n"), mime.replace("\n", "\\n")]
+    cases += [base64.encodebytes(b"x" * 48 + secret.encode()).decode(), "%FF" + "".join(f"%{c:02X}" for c in secret.encode())]
+    cases += ["".join(f"%{c:02X}" for c in packed), "".join(f"\\x{c:02x}" for c in packed), base64.b64encode(b"\x00\x01" + secret.encode() + b"\xff").decode()]
+    for text in cases:
+        base, every, _, cut = secret_scan.scan_layers(text)
+        assert [k for _, k, _ in set(every) - set(base)] == [0] and not cut, text
+    assert secret_scan.scan_layers(cases[0])[1] == [(22, 0, 22 + len(b64))]
+
+
 def test_bombs_end():
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
     assert secret_scan.scan_layers(bomb, most_bytes=1 << 16)[3] == 1
