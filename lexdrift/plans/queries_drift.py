@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
@@ -149,7 +152,8 @@ def knn_graph(spark, sf_dir):
 
 @query()
 def communities_by_slice(spark, sf_dir):
-    return communities.detect_communities(knn_graph(spark, sf_dir))
+    vecs = fx.slice_vectors(spark, sf_dir)
+    return communities.detect_communities(knn.knn_graph(vecs, vecs.select("word"), K))
 
 
 @query(
@@ -350,10 +354,15 @@ def drift_trajectory(spark, sf_dir):
 
 @query()
 def word_landscape(spark, sf_dir):
-    vecs = fx.slice_vectors(spark, sf_dir).where("slice = 'y2000'").select("word", "vec")
-    counts = vecs.select("word", F.length("word").alias("cnt"))
-    domains = vecs.select(F.concat(F.lit("d"), (F.substring("word", 5, 9).cast("int") % 4).cast("string")).alias("domain"), "word")
-    return communities.landscape(vecs, counts, domains, 5)
+    rows = fx.slice_vectors(spark, sf_dir)
+
+    def of_slice(name: str) -> DataFrame:
+        vecs = rows.where(F.col("slice") == name).select("word", "vec")
+        counts = vecs.select("word", F.length("word").alias("cnt"))
+        domains = vecs.select(F.concat(F.lit("d"), (F.substring("word", 5, 9).cast("int") % 4).cast("string")).alias("domain"), "word")
+        return communities.landscape(vecs, counts, domains, 5).withColumn("slice", F.lit(name))
+
+    return reduce(DataFrame.unionByName, [of_slice(r.slice) for r in rows.select("slice").distinct().orderBy("slice").collect()])
 
 
 @query()

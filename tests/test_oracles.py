@@ -50,3 +50,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["communities_by_slice", "word_landscape"])
+def test_every_word_of_every_slice_is_there(spark, name):
+    from lexdrift.plans import fixtures as fx
+
+    want = {(r.slice, r.word) for r in fx.slice_vectors(spark, DATA).select("slice", "word").collect()}
+    assert {(r.slice, r.word) for r in QUERIES[name](spark, DATA).select("slice", "word").collect()} == want
