@@ -166,6 +166,11 @@ def test_secrets_beside_other_letters_and_over_lines():
     assert secret_scan.scan_layers(cases[0])[1] == [(22, 0, 22 + len(b64))]
 
 
+def test_every_member_of_compressed_data_is_read():
+    two = gzip.compress(b"nothing here") + gzip.compress(b"token=abcdef123")
+    assert len(secret_scan.scan_layers(base64.b64encode(two).decode())[1]) == 1
+
+
 def test_bombs_end():
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
     assert secret_scan.scan_layers(bomb, most_bytes=1 << 16)[3] == 1
