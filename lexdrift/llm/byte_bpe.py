@@ -4,10 +4,10 @@ Encoding rests on two facts about byte pair encoding by ranks. The encoding of
 any prefix of a string ends in one determined token, and a sequence of tokens is
 the encoding of its bytes exactly when every two neighbours are the encoding of
 theirs. A nondeterministic transducer therefore guesses token boundaries: a
-hypothesis is (place in the trie of tokens, last whole token). Determinising it gives states that are sets of hypotheses; they are
-built when first reached and kept in a bounded cache. Tokens that all
-hypotheses agree on can be put out, so output lags the input by about the
-longest token.
+hypothesis is (place in the trie of tokens, last whole token). Determinising it
+gives states that are sets of hypotheses; they are built when first reached and
+kept in a bounded cache. Tokens that all hypotheses agree on are put out, so
+output lags the input by about twice the longest token at most.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import Memo, each_text, file_system, text_of, tune
+from lexdrift.llm.common import Memo, each_text, file_system, handed_back, is_short, text_of, tune
 from lexdrift.llm.token_files import safe_split
 
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,20 +37,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes bytes of one pre-token: ``encode`` at once, ``stream`` as they come.
+    """Encodes the bytes of one pre-token; tokens come out after bounded lookahead.
 
     A state is the tuple of live hypotheses, each packed as trie node << 24 |
-    last whole token + 1, the longest begun first. The one at the root is the token that ends here, which
-    is the state's output; following it back by lengths gives the encoding.
+    last whole token + 1, the longest begun first. The one at the root is the
+    token that ends here, which is the state's output; following it back by
+    lengths gives the encoding. Up to ``most_states`` states are kept; once
+    they are there, words that leave them are followed without keeping more,
+    and the cache is made anew when that has happened ``RENEW`` times as often
+    as there are states.
     """
 
     ROOT = 0
+    RENEW = 20
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000, most_pairs: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000, most_pairs: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         self.inner: set[int] = set()
         for token, rank in ranks.items():
             node = self.ROOT
@@ -60,6 +66,7 @@ class Transducer:
                     self.inner.add(node)
                     self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.token_at[node] = rank
         self.length = {rank: len(token) for token, rank in ranks.items()}
@@ -73,6 +80,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.ends: list[int] = []
         self.moves: dict[int, int] = {}
+        self.outside = 0
         self.start = self._state((self.ROOT << 24,))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -103,10 +111,10 @@ class Transducer:
             return self.merge(self.bytes_of[token]) == [token]
         return self.merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
 
-    def _move(self, state: int, byte: int) -> int:
-        """Determinise one transition."""
+    def _step(self, hypotheses: tuple, byte: int) -> tuple:
+        """One transition of the set of hypotheses."""
         going, done, child, inner, token_at = [], None, self.child.get, self.inner, self.token_at
-        for hypothesis in self.states[state]:
+        for hypothesis in hypotheses:
             if (to := child(hypothesis >> 24 << 8 | byte)) is None:
                 continue
             last = hypothesis & 0xFFFFFF
@@ -117,8 +125,7 @@ class Transducer:
         if done is None:
             raise ValueError(f"no token for byte {byte}: the ranks lack single bytes")
         going.append(self.ROOT << 24 | done + 1)
-        to = self.moves[state << 8 | byte] = self._state(tuple(going))
-        return to
+        return tuple(going)
 
     def _back(self, ends: list[int], at: int) -> list[int]:
         out = []
@@ -129,12 +136,23 @@ class Transducer:
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most_states:
+        """Ids of a pre-token. Within the lookahead its end settles what is open; longer ones are streamed."""
+        if len(data) >= 2 * self.longest:
+            return list(self.stream(data))
+        if self.outside > self.RENEW * self.most_states:
             self._reset()
-        state, moves, ends, path = self.start, self.moves.get, self.ends, []
-        for byte in data:
-            if (to := moves(state << 8 | byte)) is None:
-                to = self._move(state, byte)
+        state, moves, ends, path = self.start, self.moves, self.ends, []
+        for k, byte in enumerate(data):
+            if (to := moves.get(state << 8 | byte)) is None:
+                going = self._step(self.states[state], byte)
+                if len(self.states) >= self.most_states and going not in self.number:
+                    path.append((going[-1] & 0xFFFFFF) - 1)
+                    self.outside += len(data) - k
+                    for byte in data[k + 1 :]:
+                        going = self._step(going, byte)
+                        path.append((going[-1] & 0xFFFFFF) - 1)
+                    break
+                to = moves[state << 8 | byte] = self._state(going)
             state = to
             path.append(ends[state])
         return self._back(path, len(path))
@@ -145,26 +163,18 @@ class Transducer:
         Bytes kept back are fewer than twice the longest token unless two
         encodings stay open that long.
         """
-        state, path = self.start, []
+        going, path, bound = (self.ROOT << 24,), [], 2 * self.longest
         for byte in data:
-            if (to := self.moves.get(state << 8 | byte)) is None:
-                to = self._move(state, byte)
-            state = to
-            path.append(self.ends[state])
-            if len(path) >= 2 * self.longest:
-                begun = [len(path) - self._depth(h >> 24) for h in self.states[state]]
+            going = self._step(going, byte)
+            path.append((going[-1] & 0xFFFFFF) - 1)
+            if len(path) >= bound:
+                begun = [len(path) - self.depth[h >> 24] for h in going]
                 agreed = os.path.commonprefix([self._back(path, b) for b in begun])
                 yield from agreed
                 del path[: sum(self.length[t] for t in agreed)]
+                bound = max(2 * self.longest, len(path) + self.longest // 2)
         yield from self._back(path, len(path))
 
-    def _depth(self, node: int) -> int:
-        if not hasattr(self, "_depths"):
-            self._depths = [0] * len(self.token_at)
-            for key, to in self.child.items():
-                self._depths[to] = self._depths[key >> 8] + 1
-        return self._depths[node]
-
 
 class Utf8Machine:
     """Incremental UTF-8: bytes in, text out; an unfinished character waits for its rest.
@@ -220,20 +230,20 @@ class ByteBpe:
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        encode = self.transducer.encode
-
         self.decimal = [str(i) for i in range(len(self.table))]
-        words, split = Memo(lambda w: pack_ids(encode(w.encode("utf-8", "replace"))), 200_000), self.split
-
-        def of_piece(piece: str) -> bytes:
-            return b"".join([words[w] for w in split(piece)])
+        self.pieces = Memo(self._of_piece, 300_000, is_short)
 
-        self.of_piece = of_piece
-        self.pieces = Memo(lambda p: of_piece(" " + p), 700_000)
+    def _of_piece(self, piece: str) -> bytes:
+        """Packed ids of a piece that borders on other pre-tokens: of one pre-token, or of its parts."""
+        words = self.split(piece)
+        if len(words) == 1:
+            return pack_ids(self.transducer.encode(piece.encode("utf-8", "replace")))
+        return b"".join([self.pieces[w] for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         head, *rest = safe_split(text)
-        return np.frombuffer(self.of_piece(head) + b"".join(map(self.pieces.__getitem__, rest)), "<u4")
+        get = self.pieces.__getitem__
+        return np.frombuffer(get(head) + b"".join([get(" " + p) for p in rest]), "<u4")
 
     def joined(self, ids: np.ndarray) -> str:
         """Decimal ids joined by one space."""
@@ -273,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(handed_back(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -286,14 +296,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             texts = [bpe.decode(np.array(x or [], "i8")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(handed_back(run), "doc_id long, text string")
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode each whole text and decode its ids again; give digests of both.
 
     doc_id, n_tokens, ids_sha256 (decimal ids joined by one space),
-    decoded_sha256 (the decoded bytes). One row for each input row, repeated
+    decoded_sha256 (the decoded bytes), decoded_chars (characters that the
+    incremental decoder put out). One row for each input row, repeated
     rows and null ids included; a null or empty text has no ids and the digests
     of nothing. Narrow: no shuffle, memory bounded by one batch and the memos.
     """
@@ -302,15 +313,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch, texts in each_text(batches):
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, chars = [], [], [], []
             for text in texts:
                 ids = bpe.encode(text)
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(bpe.joined(ids).encode()).hexdigest())
-                digest = hashlib.sha256()
-                for data, _ in bpe.decode_stream(ids):
+                digest, n_chars = hashlib.sha256(), 0
+                for data, text in bpe.decode_stream(ids):
                     digest.update(data)
+                    n_chars += len(text)
                 decoded.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                chars.append(n_chars)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string()), pa.array(chars, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(handed_back(run), DIGESTS)

@@ -6,7 +6,6 @@ import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -69,24 +68,58 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks; once it holds ``limit`` entries, the older half goes."""
+    """A dict that computes what it lacks and holds at most ``limit`` entries.
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    Half of them are those met lately; when these are full they become the
+    older half, whose entries come back as they are asked for again. Keys for
+    which ``worth`` is given and false are computed each time.
+    """
+
+    def __init__(self, make: Callable, limit: int = 200_000, worth: Callable | None = None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.worth, self.old = make, limit, worth, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        self.put(key, value)
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if self.worth is None or self.worth(key):
+            self.put(key, value)
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            for old in list(islice(self, self.limit // 2)):
-                del self[old]
+        if len(self) >= max(1, self.limit // 2):
+            self.old = dict(self)
+            self.clear()
         self[key] = value
 
 
+def is_short(text: str) -> bool:
+    """Whether a text is worth a place in a memo; bounds a memo's bytes."""
+    return len(text) <= 64
+
+
+def handed_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` after which the worker gives memory that it no longer uses back to the system."""
+
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return then_trim
+
+
+def trim() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
