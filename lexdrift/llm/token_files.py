@@ -9,7 +9,7 @@ Layout of a shard (all integers little-endian):
   the document ids (int64), then one byte a document: 1 where the id is known.
 
 Documents stand in ascending order of id across shards (unknown ids first;
-equal ids ordered by text). A shard knows only its own counts: its base within
+equal ids ordered by a hash of their text, then by text). A shard knows only its own counts: its base within
 the whole corpus is the prefix sum of the counts before it, taken over one
 manifest row a shard. Every task attempt writes files of its own name and only
 those named in the manifest count, so that a lost executor or a repeated task
@@ -31,26 +31,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import Memo, each_text, file_system, materialize, partitions_for, text_of, tune
+from lexdrift.llm.common import Memo, each_text, file_system, handed_back, is_short, materialize, partitions_for, text_of, tune
 
 MAGIC, VERSION = b"LXTOKEN\0", 1
 HEADER = "<8sIIQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 MANIFEST = "shard int, path string, width int, n_docs long, n_tokens long"
-# Fixed value: the split of byte-level pre-tokenizers.
-BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 _encoders: dict[str, "LibraryEncoder"] = {}
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts, with memos of what it gave for words.
-
-    A single space between two visible characters always starts a pre-token, so
-    the pieces between such spaces are encoded independently of each other.
-    Pieces met before come from a bounded memo; new ones are split as the
-    library's byte-level pre-tokenizer does and go through its model.
+    """The tokenizers library's ``encode`` over whole texts, with a memo of what it gave for pieces of them.
+
+    Where the tokenizer splits as byte-level ones do, a single space between two
+    visible characters always starts a pre-token: the library encodes the pieces
+    between such spaces as it does within the text, so new pieces are handed to
+    it strung together, and its offsets tell them apart. Texts that hold one of
+    the tokenizer's added tokens, and all texts where the tokenizer works in
+    another way, go through it as wholes.
     """
 
     def __init__(self, path: str):
@@ -58,32 +58,48 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
         split = self.library.pre_tokenizer
-        if type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space:
-            import regex
-
-            self.split, self.shown = regex.compile(BYTE_LEVEL_SPLIT).findall, shown_bytes()
-        else:
-            self.split, self.shown = lambda text: [w for w, _ in split.pre_tokenize_str(text)], None
-        self.model = self.library.model
-        self.tokens = Memo(self.of_token, 250_000)
-        self.pieces = Memo(lambda piece: self.of_piece(" " + piece), 700_000)
-
-    def of_token(self, word: str) -> bytes:
-        if self.shown is not None:
-            word = word.encode().decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(word)])
-
-    def of_piece(self, piece: str) -> bytes:
-        return b"".join([self.tokens[w] for w in self.split(piece)])
+        self.by_piece = self.library.normalizer is None and self.library.post_processor is None and type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces = Memo(self.of_text, 600_000)
+
+    def of_text(self, text: str) -> bytes:
+        """The library's ids of a text, packed."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each begin with the space before a visible character."""
+        got = self.library.encode("".join(pieces), add_special_tokens=False)
+        begins = np.fromiter((a for a, _ in got.offsets), "i8", len(got))
+        starts = np.cumsum([0, *map(len, pieces)])
+        cuts = (np.searchsorted(begins, starts) * self.width).tolist()
+        packed = np.array(got.ids, self.kind).tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed unsigned integers."""
-        split = [safe_split(t) for t in texts]
-        get = self.pieces.__getitem__
-        return [self.of_piece(s[0]) + b"".join(map(get, s[1:])) for s in split]
+        out: list[bytes] = []
+        for text in texts:
+            if not self.by_piece or any(a in text for a in self.added):
+                out.append(self.of_text(text))
+                continue
+            head, *rest = safe_split(text)
+            pieces = [" " + p for p in rest]
+            ids = list(map(self.pieces.get, pieces))
+            if None in ids:
+                missing = [k for k, x in enumerate(ids) if x is None]
+                older = self.pieces.old
+                new = list({pieces[k] for k in missing if pieces[k] not in older})
+                fresh = dict(zip(new, self.of_pieces(new), strict=True))
+                for k in missing:
+                    ids[k] = fresh[pieces[k]] if pieces[k] in fresh else older[pieces[k]]
+                for k in missing:
+                    if is_short(pieces[k]):
+                        self.pieces.put(pieces[k], ids[k])
+            out.append(self.of_text(head) + b"".join(ids))
+        return out
 
 
 def safe_split(text: str) -> list[str]:
@@ -107,13 +123,6 @@ def _odd(text: str) -> bool:
 SPACE_FIRST, SPACE_SECOND = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
 
-def shown_bytes() -> dict[int, str]:
-    """The visible character that byte-level vocabularies show each byte as: itself, or the next one from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
-
-
 def _encoder(path: str) -> LibraryEncoder:
     if path not in _encoders:
         _encoders[path] = LibraryEncoder(path)
@@ -134,7 +143,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
     fs, root = file_system(out_dir)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows that share an id, or have none, are told apart by a hash of their text, so that a hot id is cut too.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = rows.repartitionByRange(partitions_for(docs), *order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
@@ -163,7 +174,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
             index.write(np.array([i is not None for i in doc_ids], "u1").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{out_dir}/{name.rpartition('/')[2]}"], "width": pa.array([encoder.width], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
-    return materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
+    return materialize(ordered.mapInArrow(handed_back(write), MANIFEST), "manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:

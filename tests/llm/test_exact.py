@@ -53,6 +53,29 @@ def test_bpe_equals_the_library(bpe):
         assert list(own.transducer.stream(word)) == own.transducer.encode(word)
 
 
+def test_long_words_are_streamed(bpe):
+    own, library = bpe
+    rng = random.Random(11)
+    t = own.transducer
+    words = ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcdefgh") for _ in range(4000)), "é🎉" * 800, "=" * 3001, "".join(map(str, range(2000))), "".join(rng.choice(some_texts(3)[0].split()) for _ in range(900))]
+    for word in words:
+        data = word.encode()
+        assert len(data) > 2 * t.longest and t.encode(data) == t.merge(data)
+        lag = most = 0
+        it = iter(data)
+
+        def counted():
+            nonlocal lag, most
+            for byte in it:
+                lag += 1
+                most = max(most, lag)
+                yield byte
+
+        for token in t.stream(counted()):
+            lag -= t.length[token]
+        assert lag == 0 and most <= 3 * t.longest
+
+
 def test_small_caches_change_nothing(bpe):
     own, library = bpe
     tight = byte_bpe.Transducer(own.transducer.ranks, most_states=50, most_pairs=50)
@@ -78,6 +101,7 @@ def test_bpe_frames(spark, bpe):
         assert rows[k].n_tokens == len(ids)
         assert rows[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert rows[k].decoded_chars == len(t or "")
     back = byte_bpe.decode(byte_bpe.encode(df, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert {r.doc_id: r.text for r in back.collect()} == {k: t or "" for k, t in enumerate(ODD)}
     assert byte_bpe.encode_decode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
@@ -89,7 +113,6 @@ def test_token_files(spark, tmp_path):
     df = docs(spark, texts, start="clash", n_tokens=1)
     got = token_files.read_token_files(token_files.write_token_files(df, path, f"file://{tmp_path}/t")).collect()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     start = 0
     rows = {r.doc_id: r for r in got}
     assert len(rows) == len(texts)
@@ -99,6 +122,26 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
 
 
+def test_token_ids_equal_the_library_as_it_comes():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    own.pieces.limit = 500
+    every = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    texts = ["hi <|endoftext|> x", "<|endoftext|><|endoftext|>", "a<|endoftext|>b  c", "\u00a0 x\u3000 y", " a\u2003b ", *(t or "" for t in ODD), *every]
+    got = own.encode_batch(texts)
+    for text, packed in zip(texts, got, strict=True):
+        assert np.frombuffer(packed, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(got[0], own.kind).tolist() == [5303, 220, 50256, 2124]
+
+
+def test_rows_of_one_id_are_dealt_to_several_shards(spark, tmp_path):
+    df = spark.range(400).selectExpr("cast(if(id < 200, null, 7) as long) as doc_id", "concat('text ', id) as text").repartition(4)
+    manifest = token_files.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "t"))
+    assert [r.n_docs < 200 for r in manifest.collect()] == [True] * 4
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(manifest).collect())
+    assert [i for _, i, _ in rows] == [None] * 200 + [7] * 200 and all(a + n == b for (a, _, n), (b, _, _) in zip(rows, rows[1:]))
+
+
 def test_token_files_with_unknown_and_repeated_ids(spark, tmp_path):
     df = spark.createDataFrame([(None, "b"), (3, "a"), (3, "a"), (1, None)], "doc_id long, text string")
     rows = sorted(token_files.read_token_files(token_files.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "t"))).collect(), key=lambda r: r.start)
