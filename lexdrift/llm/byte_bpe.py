@@ -299,12 +299,12 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(handed_back(run), "doc_id long, text string")
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_chars: bool = False) -> DataFrame:
     """Encode each whole text and decode its ids again; give digests of both.
 
     doc_id, n_tokens, ids_sha256 (decimal ids joined by one space),
-    decoded_sha256 (the decoded bytes), decoded_chars (characters that the
-    incremental decoder put out). One row for each input row, repeated
+    decoded_sha256 (the decoded bytes)[, decoded_chars (characters that the
+    incremental decoder put out)]. One row for each input row, repeated
     rows and null ids included; a null or empty text has no ids and the digests
     of nothing. Narrow: no shuffle, memory bounded by one batch and the memos.
     """
@@ -326,4 +326,5 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
                 chars.append(n_chars)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string()), pa.array(chars, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(handed_back(run), DIGESTS)
+    out = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(handed_back(run), DIGESTS)
+    return out if with_chars else out.drop("decoded_chars")

@@ -3,11 +3,12 @@
 Documents overlap where they share blocks: runs of neighbouring lines that hold
 ``least_chars`` characters together. Every such run is covered by its shortest
 ones, of which a document has at most two a line: one begins and one ends at
-each. Each of these windows names the first document that has it, by an
-aggregate over hashes, however many documents share it. The pairs that windows
-name are aligned by patience diff and the aligned common blocks go from the
-later document; what alignment with the first documents leaves (blocks that
-are moved, or whose pieces other documents had first) goes by the windows.
+each. The hashes of these windows find the pairs: each names the first document
+that has it and its place there, by an aggregate, however many documents share
+it. A pair is aligned over the stretches that its windows span, by patience
+diff; where blocks stand in another order, so that one diff cannot hold them
+all, the windows left over are aligned at the places that they name and grown
+as far as both documents agree. Aligned blocks go from the later document.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import materialize, text_of, tune
+from lexdrift.llm.common import handed_back, materialize, text_of, tune
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -117,107 +118,118 @@ def windows(lengths: np.ndarray, hashes: np.ndarray, chars: np.ndarray, least_ch
     return doc, x, first - begin[first], stop - 1 - begin[first]
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = 20, rare: int | None = None) -> DataFrame:
-    """doc_id, gone (array<int>): places of lines, from 0, of blocks that an earlier document has.
+def aligned_blocks(a: list, b: list, chars: list[int], seeds: list[tuple[int, int, int]], least_chars: int) -> list[tuple[int, int]]:
+    """First and last place in ``b`` of blocks of ``least_chars`` characters that ``a`` has too.
 
-    ``docs``: doc_id, text; ids not null and distinct. A block is a run of
-    neighbouring lines that hold ``least_chars`` characters together. With
-    ``rare``, only lines that so many documents share or fewer are aligned, each
-    with the first document that has it, and others stand for themselves.
+    Patience diff first; then each seed (place in a, place in b, lines) that is
+    not covered yet, grown on both sides.
     """
-    if rare is not None:
-        return _by_rare_lines(docs, least_chars, rare)
-    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    sequences = lines.select("doc_id", F.transform("lines", lambda x: F.xxhash64(x, F.lit(7))).alias("seq"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
+    out = [(0, len(b) - 1)] if a == b else [(run[0], run[-1]) for run in blocks(patience(a, b))]
+    out = [(x, y) for x, y in out if sum(chars[x : y + 1]) >= least_chars]
+    covered = bytearray(len(b))
+    for x, y in out:
+        covered[x : y + 1] = b"\1" * (y + 1 - x)
+    for p, q, n in seeds:
+        if 0 not in covered[q : q + n] or a[p : p + n] != b[q : q + n]:
+            continue
+        stop = q + n
+        while stop < len(b) and p + stop - q < len(a) and a[p + stop - q] == b[stop]:
+            stop += 1
+        while p and q and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+        out.append((q, stop - 1))
+        covered[q:stop] = b"\1" * (stop - q)
+    return out
+
+
+def kept_runs(first: list[int], last: list[int]) -> tuple[list[tuple[int, int]], int]:
+    """(place from 1, lines) of each run between the spans, the last one open; and how many lines the spans cover."""
+    out, at, gone = [], 0, 0
+    for a, b in sorted(zip(first, last)):
+        if a > at:
+            out.append((at + 1, a - at))
+        gone += max(0, b + 1 - max(a, at))
+        at = max(at, b + 1)
+    return [*out, (at + 1, OPEN)], gone
+
+
+#: Length of a run that goes on to the last line.
+OPEN = 1 << 30
+WINDOWS = "doc_id long, sig long, h long, first int, last int"
+KEPT = "doc_id long, sig long, kept array<struct<a:int,n:int>>, n_removed long"
+
+
+def repeated_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
+    """doc_id, sig, kept (array of (place from 1, lines)), n_removed: documents that lose blocks which an earlier one has.
+
+    ``docs``: doc_id, sig (a hash of the text), text; ids not null. Rows of one
+    id are not compared with each other; those that differ in text are told
+    apart by ``sig``. Two hashes a line, 96 bits together, stand for its text.
+    """
+    lines = docs.select("doc_id", "sig", F.split("text", "\n").alias("lines"))
+    lines = lines.select("doc_id", "sig", F.transform("lines", lambda x: F.xxhash64(x, F.lit(7))).alias("seq"), F.transform("lines", lambda x: F.hash(x)).alias("check"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
+    sequences = materialize(lines.dropDuplicates(["doc_id", "sig"]), "line-hashes")
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.list_value_length(batch.column("seq")).to_numpy(zero_copy_only=False)
             seq, chars = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("seq", "chars"))
             doc, h, first, last = windows(lengths, seq.view("u8"), chars, least_chars)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(h.view("i8")), pa.array(first.astype("i4")), pa.array(last.astype("i4"))], names=["doc_id", "h", "first", "last"])
-
-    found = materialize(sequences.mapInArrow(window, "doc_id long, h long, first int, last int"), "line-windows")
-    # Written, so that the join below has shuffles of its own on both sides, which Spark can split where a window is hot.
-    owned = found.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest")).where("latest > owner").select("h", "owner")
-    owned = materialize(owned, "window-owners")
-    shared = materialize(found.join(owned, "h").where("doc_id > owner").select("doc_id", "owner", "first", "last"), "shared-windows")
-    pairs = shared.select("doc_id", "owner").distinct()
-    early = sequences.select(F.col("doc_id").alias("owner"), F.col("seq").alias("owner_seq"))
-    both = pairs.join(early, "owner").join(sequences, "doc_id")
+            ids, sigs = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(h.view("i8")), pa.array(first.astype("i4")), pa.array(last.astype("i4"))], names=["doc_id", "sig", "h", "first", "last"])
+
+    found = materialize(sequences.select("doc_id", "sig", "seq", "chars").mapInArrow(handed_back(window), WINDOWS), "line-windows")
+    # Tables, so that the joins below have shuffles of their own on both sides, which Spark can split where a window or a first document is hot.
+    owned = found.groupBy("h").agg(F.min(F.struct("doc_id", "sig", "first")).alias("o"), F.max("doc_id").alias("latest")).where("latest > o.doc_id")
+    owned = materialize(owned.select("h", F.col("o.doc_id").alias("owner"), F.col("o.sig").alias("owner_sig"), F.col("o.first").alias("at")), "window-owners")
+    shared = found.join(owned, "h").where("doc_id > owner")
+    pairs = shared.groupBy("doc_id", "sig", "owner", "owner_sig").agg(F.collect_list(F.struct("at", "first", (F.col("last") - F.col("first") + 1).alias("n"))).alias("seeds"), F.min("at").alias("a0"), F.max(F.col("at") + F.col("last") - F.col("first")).alias("a1"), F.min("first").alias("b0"), F.max("last").alias("b1"))
+    pairs = materialize(pairs, "line-pairs")
+
+    def stretch(column: str, a: str, b: str):
+        return F.slice(column, F.col(a) + 1, F.col(b) - F.col(a) + 1)
+
+    early = sequences.select(F.col("doc_id").alias("owner"), F.col("sig").alias("owner_sig"), F.col("seq").alias("owner_seq"), F.col("check").alias("owner_check"))
+    both = pairs.join(early, ["owner", "owner_sig"]).withColumns({"owner_seq": stretch("owner_seq", "a0", "a1"), "owner_check": stretch("owner_check", "a0", "a1")}).drop("a1", "owner", "owner_sig")
+    both = both.join(sequences, ["doc_id", "sig"]).withColumns({c: stretch(c, "b0", "b1") for c in ("seq", "check", "chars")}).drop("b1")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for i, a, b, chars in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "owner_seq", "seq", "chars")), strict=True):
-                made += [(i, run[0], run[-1]) for run in blocks(patience(a, b)) if sum(chars[k] for k in run) >= least_chars]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "first", "last"])
+            for i, sig, a0, b0, seeds, *sides, chars in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sig", "a0", "b0", "seeds", "owner_seq", "owner_check", "seq", "check", "chars")), strict=True):
+                a, b = list(zip(*sides[:2])), list(zip(*sides[2:]))
+                at = [(s["at"] - a0, s["first"] - b0, s["n"]) for s in seeds]
+                made += [(i, sig, b0 + x, b0 + y) for x, y in aligned_blocks(a, b, chars, at, least_chars)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "sig", "first", "last"])
 
-    aligned = both.select("doc_id", "owner_seq", "seq", "chars").mapInArrow(align, "doc_id long, first int, last int")
-    spans = aligned.unionByName(shared.drop("owner")).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    aligned = both.select("doc_id", "sig", "a0", "b0", "seeds", "owner_seq", "owner_check", "seq", "check", "chars").mapInArrow(handed_back(align), "doc_id long, sig long, first int, last int")
+    spans = aligned.groupBy("doc_id", "sig").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for first, last in zip(*(batch.column(c).to_pylist() for c in ("first", "last")), strict=True):
-                depth = np.bincount(first, minlength=max(last) + 2) - np.bincount(np.array(last) + 1, minlength=max(last) + 2)
-                gone.append(np.flatnonzero(np.cumsum(depth)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
-
-    return spans.mapInArrow(merge, "doc_id long, gone array<int>")
-
-
-def _by_rare_lines(docs: DataFrame, least_chars: int, rare: int) -> DataFrame:
-    """``repeated_lines`` where the caller bounds how many documents may share a line that is aligned."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    hashed = lines.select("doc_id", "place", F.xxhash64("line", F.lit(7)).alias("h"), F.length("line").alias("chars"))
-    sequences = docs.select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", F.transform("lines", lambda x: F.xxhash64(x, F.lit(7))).alias("seq"), F.transform("lines", lambda x: F.length(x)).alias("chars"))
-    whole = sequences.select("doc_id", F.xxhash64("seq").alias("w1"), F.hash("seq", F.lit(11)).alias("w2"), F.size("seq").alias("n"), F.aggregate("chars", F.lit(0), lambda s, x: s + x).alias("total"))
-    same = whole.groupBy("w1", "w2", "n", "total").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    # Equal documents: all but the first lose every line and seed nothing.
-    copies = whole.join(same, ["w1", "w2", "n", "total"]).where("doc_id > owner").select("doc_id", "n", "total")
-    copied = copies.where(F.col("total") >= least_chars).select("doc_id", F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
-    seeds = hashed.where("chars > 0").join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "h").agg(F.max("chars").alias("chars"))
-    seeds = materialize(seeds, "line-seeds")
-    # Written, so that the join below has shuffles of its own on both sides, which Spark can split where a line is hot.
-    owned = materialize(seeds.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "line-owners")
-    shared = materialize(seeds.join(owned, "h").where("doc_id > owner"), "shared-lines")
-    pairs = shared.where(F.col("df") <= rare).select("doc_id", "owner").distinct()
-    frequent = shared.where((F.col("df") > rare) & (F.col("chars") >= least_chars)).groupBy("doc_id").agg(F.collect_set("h").alias("frequent"))
-
-    early = sequences.select(F.col("doc_id").alias("owner"), F.col("seq").alias("owner_seq"))
-    both = pairs.join(early, "owner").join(sequences, "doc_id")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = []
-            for a, b, chars in zip(*(batch.column(c).to_pylist() for c in ("owner_seq", "seq", "chars")), strict=True):
-                gone.append([k for run in blocks(patience(a, b)) if sum(chars[k] for k in run) >= least_chars for k in run])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            made = [kept_runs(a, b) for a, b in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)]
+            kept = pa.array([[{"a": a, "n": n} for a, n in runs] for runs, _ in made], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), kept, pa.array([n for _, n in made], pa.int64())], names=["doc_id", "sig", "kept", "n_removed"])
 
-    aligned = both.select("doc_id", "owner_seq", "seq", "chars").mapInArrow(align, "doc_id long, gone array<int>")
-    single = frequent.join(sequences, "doc_id").select("doc_id", F.filter(F.sequence(F.lit(0), F.size("seq") - 1), lambda k: F.array_contains("frequent", F.get("seq", k))).alias("gone"))
-    every = aligned.unionByName(single).unionByName(copied)
-    return every.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return spans.mapInArrow(handed_back(merge), KEPT)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 20, rare: int | None = None) -> DataFrame:
-    """``docs`` with its columns, its text without repeated lines, and n_lines and n_removed.
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = 20, counts: bool = True) -> DataFrame:
+    """``docs`` with its columns, its text without repeated lines, and with ``counts`` n_lines and n_removed.
 
     Lines are split at newlines only. The first document (smallest id) that has
-    a block keeps it. A null text is the empty one, of one empty line. A row
-    with a null id is compared with none and keeps its lines; rows that repeat
-    an id are one document, whose lines are those of any one of them when
-    others are compared with it. ``rare`` as in ``repeated_lines``. Columns named n_lines, n_removed or gone are
-    replaced.
+    a block keeps it. A document all of whose lines go stays, with an empty
+    text. A null text is the empty one, of one empty line. A row with a null id
+    is compared with none and keeps its lines. Rows that repeat an id are each
+    compared with smaller ids, not with each other. With ``counts``, columns
+    named n_lines and n_removed are replaced; all other columns stay as they are.
     """
     tune(docs.sparkSession)
-    rows = docs.drop("n_lines", "n_removed", "gone").withColumn(text_column, text_of(text_column))
-    keyed = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    found = repeated_lines(keyed, least_chars, rare)
-    found = found.withColumnRenamed("doc_id", "__id")
-    joined = rows.join(found, F.col(id_column).cast("long") == F.col("__id"), "left").drop("__id")
+    ident, text = F.col(id_column).cast("long"), text_of(text_column)
+    keyed = docs.select(ident.alias("doc_id"), text.alias("text")).where("doc_id is not null").withColumn("sig", F.xxhash64("text"))
+    found = repeated_lines(keyed, least_chars).select(*(F.col(c).alias(f"__line_{c}") for c in ("doc_id", "sig", "kept", "n_removed")))
+    joined = docs.withColumns({text_column: text}).join(found, (ident == F.col("__line_doc_id")) & (F.xxhash64(text_column) == F.col("__line_sig")), "left")
     lines = F.split(text_column, "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n"))
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), text_column: kept}).drop("gone").withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    kept = F.when(F.col("__line_kept").isNull(), F.col(text_column)).otherwise(F.array_join(F.flatten(F.transform("__line_kept", lambda r: F.slice(lines, r["a"], r["n"]))), "\n"))
+    made = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce("__line_n_removed", F.lit(0)).cast("long")} if counts else {}
+    return joined.select(*(F.col(c) for c in docs.columns if c != text_column and c not in made), *(v.alias(k) for k, v in made.items()), kept.alias(text_column)).select(*(c for c in docs.columns if c not in made), *made)

@@ -95,7 +95,7 @@ def test_bpe_frames(spark, bpe):
     own, library = bpe
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = docs(spark, ODD, ids="clash", n_tokens="clash")
-    rows = {r.doc_id: r for r in byte_bpe.encode_decode(df, path, public_tokenizers.PATTERN).collect()}
+    rows = {r.doc_id: r for r in byte_bpe.encode_decode(df, path, public_tokenizers.PATTERN, with_chars=True).collect()}
     for k, t in enumerate(ODD):
         ids = library.encode_ordinary(t or "")
         assert rows[k].n_tokens == len(ids)
