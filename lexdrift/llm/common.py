@@ -26,9 +26,12 @@ def tune(spark: SparkSession, batch_bytes: int = 4 << 20, batch_rows: int = 20_0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    sc = spark.sparkContext
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may do without."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = LOCAL_CHECKPOINTS
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,7 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/lexdrift-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexdrift-{what}-{uuid.uuid4().hex}"
+    written_paths(spark).append(path)
+    return path
+
+
+def written_paths(spark: SparkSession) -> list[str]:
+    """Paths that this application has taken below the shared folder and not dropped."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lexdrift_paths"):
+        sc._lexdrift_paths = []
+    return sc._lexdrift_paths
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -44,7 +57,26 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexdrift_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once what reads them has been written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t._lexdrift_path)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, of: Iterable[str] | None = None) -> None:
+    """Delete what operators wrote below the shared folder, or of that the paths ``of``, but for the table ``keep``.
+
+    For a caller that has written its results: tables that lazy results still read must stay until then.
+    """
+    kept = getattr(keep, "_lexdrift_path", None)
+    for path in list(written_paths(spark) if of is None else of):
+        if path != kept:
+            drop_path(spark, path)
 
 
 def reclaim(spark: SparkSession) -> None:
@@ -58,6 +90,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in (paths := written_paths(spark)):
+        paths.remove(path)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -12,7 +12,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, label (the least node of its component) of every node of ``edges`` (u, v: long).
 
     Each round joins the edges with one least neighbour a node: aggregates are
-    combined before their shuffle and Spark can split the edges of a hot node.
+    combined before their shuffle, and written, so that the joins have shuffles
+    of their own on both sides, which Spark can split where a node is hot.
     Edges are written to the shared folder after each round. No edge, node or
     label comes to the driver, which sees the sums that tell the end.
     """
@@ -35,9 +36,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(lower, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import handed_back, materialize, text_of, tune
+from lexdrift.llm.common import drop_tables, handed_back, materialize, text_of, tune
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -185,6 +185,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     shared = found.join(owned, "h").where("doc_id > owner")
     pairs = shared.groupBy("doc_id", "sig", "owner", "owner_sig").agg(F.collect_list(F.struct("at", "first", (F.col("last") - F.col("first") + 1).alias("n"))).alias("seeds"), F.min("at").alias("a0"), F.max(F.col("at") + F.col("last") - F.col("first")).alias("a1"), F.min("first").alias("b0"), F.max("last").alias("b1"))
     pairs = materialize(pairs, "line-pairs")
+    drop_tables(found, owned)
 
     def stretch(column: str, a: str, b: str):
         return F.slice(column, F.col(a) + 1, F.col(b) - F.col(a) + 1)
