@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lexdrift.llm.common import each_text, materialize, text_of, tune
+from lexdrift.llm.common import drop_tables, each_text, handed_back, materialize, text_of, tune
 
 BITS = 22
 SKIPS = (1, 2, 3)
@@ -106,54 +107,60 @@ class Model:
         return squashed(float(table[at].astype("f8").sum()) + self.bias)
 
 
+def smallest_by_hash(known: DataFrame, most_rows: int) -> DataFrame:
+    """The ``most_rows`` rows whose id has the smallest hash. Of many rows only those below a bound, twice as many as needed, are sorted."""
+    order, n = F.xxhash64("doc_id"), known.count()
+    if n > 4 * most_rows:
+        below = known.where(order <= int(-(1 << 63) + (1 << 64) * (2 * most_rows / n)))
+        if below.count() >= most_rows:
+            known = below
+    return known.orderBy(order, "doc_id").limit(most_rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from labelled texts: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic).
 
     Rows with a null id or label teach nothing; an id with several labels counts
-    once, as its highest. Features are made on all executors; one task then
-    reads at most ``most_rows`` of them in the order of a hash. With no usable
-    row the model has no weights and scores one half.
+    once, as its highest; one of several texts of an id is taken, that with the
+    smallest hash. Features are made on all executors; one task then reads at
+    most ``most_rows`` of them, once an epoch, in the order of a hash, and holds
+    a batch at a time. With no usable row the model has no weights and scores
+    one half.
     """
     spark = docs.sparkSession
     tune(spark)
-    order = F.xxhash64("doc_id")
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    taken = known.orderBy(order, "doc_id").limit(settings.most_rows)
+    taken = smallest_by_hash(known, settings.most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(taken), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
             made = [np.unique(features(t)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(made, pa.binary())], names=["doc_id", "toxic", "places"])
 
-    sample = materialize(rows.mapInArrow(featured, "doc_id long, toxic int, places binary"), "toxic-sample")
+    sample = materialize(rows.mapInArrow(handed_back(featured), "doc_id long, toxic int, places binary"), "toxic-sample")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(np.frombuffer(p, "u4"), y) for b in batches for p, y in zip(b.column("places").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
-        learner = Ftrl(settings)
-        for _ in range(settings.epochs):
-            for places, label in seen:
-                learner.learn(places, label)
-        at, w = learner.sparse()
-        yield pa.RecordBatch.from_pydict({"places": [at.tobytes()], "weights": [w.tobytes()], "bias": [learner.bias_weight()]})
-
-    found = sample.repartition(1).sortWithinPartitions(order, "doc_id", "places").select("toxic", "places").mapInArrow(fit, "places binary, weights binary, bias double").collect()
+        learner, n = Ftrl(settings), 0
+        for batch in batches:
+            for places, label in zip(batch.column("places"), batch.column("toxic").to_pylist(), strict=True):
+                learner.learn(np.frombuffer(places.as_buffer(), "u4"), label)
+                n += 1
+        if n:
+            at, w = learner.sparse()
+            yield pa.RecordBatch.from_pydict({"places": [at.tobytes()], "weights": [w.tobytes()], "bias": [learner.bias_weight()]})
+
+    # One task reads the sorted sample again for each epoch; nothing is shuffled.
+    epoch = sample.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("toxic", "places")
+    found = reduce(DataFrame.unionAll, [epoch] * settings.epochs).coalesce(1).mapInArrow(handed_back(fit), "places binary, weights binary, bias double").collect()
+    drop_tables(sample)
     if not found:
         return Model(np.zeros(0, "i4"), np.zeros(0, "f4"), 0.0)
     row = found[0]
     return Model(np.frombuffer(bytes(row.places), "i4"), np.frombuffer(bytes(row.weights), "f4"), row.bias)
 
 
-_table: list = [None, None]
-
-
-def table_of(model: Model, mark: str) -> np.ndarray:
-    """The dense table of a broadcast model, made once a worker process."""
-    if _table[0] != mark:
-        _table[:] = [mark, model.table()]
-    return _table[1]
-
-
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` with its columns, then score (double, 0 to 1) and predicted (int).
 
@@ -161,22 +168,34 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     one by one: no shuffle, repeated rows keep their rows. Columns of ``docs``
     named score or predicted are replaced.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    shipped = spark.sparkContext.broadcast(model)
-    mark = f"{zlib.crc32(model.places.tobytes())}-{zlib.crc32(model.weights.tobytes())}-{model.bias}"
+    tune(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        table = table_of(model, mark)
+        table = model.table()
         for batch, texts in each_text(batches):
             scores = [model.score(t, table) for t in texts]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(handed_back(run), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """``docs``, with all its columns as they are, without the rows that ``score`` predicts to be toxic."""
+    tune(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        table = model.table()
+        for batch, texts in each_text(batches):
+            yield batch.filter(pa.array([model.score(t, table) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(handed_back(run), docs.schema)
 
 
 def remainder(column: str = "doc_id"):
