@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, text_of, tune
+from lexdrift.llm.common import each_text, handed_back, text_of, tune
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -33,30 +34,46 @@ def words_of(text: str) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), "u4", len(words))
 
 
-def grams_of(words: np.ndarray) -> np.ndarray:
-    n = len(words) - GRAM + 1
+def grams_of(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, "u8")
     x = np.zeros(n, "u8")
-    for k in range(GRAM):
+    for k in range(size):
         x = (x ^ words[k : k + n].astype("u8")) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
     return x
 
 
 class Lookup:
-    """Finds grams of a block in texts: a table of words rules out most places before any gram is made."""
+    """The grams of a block of items, in flat arrays, found in texts by a table of words and a search.
 
-    def __init__(self, vocabulary: np.ndarray, grams: np.ndarray):
-        self.known = np.zeros(1 << TABLE_BITS, bool)
-        self.known[vocabulary & np.uint32((1 << TABLE_BITS) - 1)] = True
-        self.grams = grams  # sorted
+    ``grams`` are distinct and sorted; ``begin`` gives where each one's entries
+    stand in ``item``, ``low`` and ``high``: an item that has the gram, and its
+    first and last place there.
+    """
+
+    def __init__(self, items: list[np.ndarray]):
+        self.vocabulary = np.unique(np.concatenate(items)) if items else np.zeros(0, "u4")
+        parts = [grams_of(w) for w in items]
+        gram, sizes = np.concatenate(parts) if parts else np.zeros(0, "u8"), np.array([len(p) for p in parts], "i8")
+        item = np.repeat(np.arange(len(parts), dtype="i4"), sizes)
+        place = np.concatenate([np.arange(n, dtype="i4") for n in sizes.tolist()]) if parts else np.zeros(0, "i4")
+        order = np.lexsort((place, item, gram))
+        gram, item, place = gram[order], item[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])])[: len(gram)])
+        self.item, self.low, self.high = item[first], place[first], place[np.append(first[1:], len(gram))[: len(first)] - 1]
+        self.grams, begin = np.unique(gram[first], return_index=True)
+        self.begin = np.append(begin, len(first))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``words`` and numbers of the grams that begin there."""
         none = np.zeros(0, "i8")
         if len(words) < GRAM or not len(self.grams):
             return none, none
+        if not hasattr(self, "known"):
+            self.known = np.zeros(1 << TABLE_BITS, bool)
+            self.known[self.vocabulary & np.uint32((1 << TABLE_BITS) - 1)] = True
         k = self.known[words & np.uint32((1 << TABLE_BITS) - 1)]
         n = len(words) - GRAM + 1
         at = np.flatnonzero(k[:n] & k[1 : n + 1] & k[2 : n + 2])
@@ -70,6 +87,56 @@ class Lookup:
         hit = self.grams[number] == x
         return at[hit], number[hit]
 
+    def spans(self, words: np.ndarray, sizes: list[int]) -> dict[int, list[list[int]]]:
+        """For each item with a gram in ``words``: stretches of words where it may stand, apart and in order.
+
+        A gram's first and last place in the item bound where the item begins,
+        so a text or an item that repeats itself gives one stretch a place.
+        """
+        out: dict[int, list[list[int]]] = {}
+        at, number = self.find(words)
+        for place, a, b in zip(at.tolist(), self.begin[number].tolist(), self.begin[number + 1].tolist()):
+            for e in range(a, b):
+                k = int(self.item[e])
+                slack = sizes[k] // 2 + 2
+                low, high = max(0, place - int(self.high[e]) - slack), min(len(words), place - int(self.low[e]) + sizes[k] + slack)
+                spans = out.setdefault(k, [])
+                if spans and low <= spans[-1][1] and high >= spans[-1][0]:
+                    spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
+                else:
+                    spans.append([low, high])
+        return {k: joined(spans) for k, spans in out.items()}
+
+
+def joined(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return out
+
+
+class Runs:
+    """Items too short to align: found where all their words run."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({len(w) for _, w in items}):
+            numbers = np.array([k for k, w in items if len(w) == size], "i8")
+            hashes = np.array([grams_of(w, size)[0] for _, w in items if len(w) == size], "u8")
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[size] = hashes[order], numbers[order]
+
+    def find(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end) of the first run of each item."""
+        for size, (hashes, numbers) in self.by_size.items():
+            x, places = np.unique(grams_of(words, size), return_index=True)
+            lows, highs = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+            for k in np.flatnonzero(highs > lows).tolist():
+                yield from ((number, int(places[k]), int(places[k]) + size) for number in numbers[lows[k] : highs[k]].tolist())
+
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local score, and the end (exclusive) in the item and in the text of an alignment that has it."""
@@ -87,24 +154,15 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def seeds(items: list[np.ndarray]) -> dict[int, set[int]]:
-    """Gram -> items that have it."""
-    out: dict[int, set[int]] = {}
-    for k, words in enumerate(items):
-        for g in grams_of(words).tolist():
-            out.setdefault(g, set()).add(k)
-    return out
-
-
-def blocks_of(benchmark: DataFrame, most_bytes: int, least_words: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+def blocks_of(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """Items of each block: about ``most_bytes`` of text at a time come to the driver."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // most_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        items = [(r.item_id, words_of(r.text)) for r in part.collect()]
-        if items := sorted(((i, w) for i, w in items if len(w) >= least_words), key=lambda x: (x[0] is not None, x[0] or 0)):
+        items = [(r.item_id, words_of(r.text)) for r in part.toLocalIterator()]
+        if items := sorted(((i, w) for i, w in items if len(w)), key=lambda x: (x[0] is not None, x[0] or 0)):
             yield items
 
 
@@ -116,70 +174,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, le
     quarter of its words replaced. Places count words of the text, from 0, end
     exclusive. Words are compared in lower case without ASCII punctuation. Null
     texts are empty; null ids are kept as such; repeated rows are reported each
-    time. Items under ``least_words`` words could stand anywhere by chance and
-    are not looked for. No items or no documents: no rows. Other columns are
+    time. Edited copies of items under ``least_words`` words could stand
+    anywhere by chance: those are found where all their words run, and score 1.
+    Items without words, no items or no documents: no rows. Other columns are
     ignored.
     """
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    parts = [_of_block(rows, items, threshold) for items in blocks_of(benchmark, most_bytes, least_words)]
+    parts = [_of_block(rows, items, threshold, least_words) for items in blocks_of(benchmark, most_bytes)]
     if not parts:
         return spark.createDataFrame([], FOUND)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _of_block(rows: DataFrame, items: list[tuple[int | None, np.ndarray]], threshold: float) -> DataFrame:
-    spark = rows.sparkSession
-    words = [w for _, w in items]
-    vocabulary = np.unique(np.concatenate(words))
-    chosen = seeds(words)
-    order = np.array(sorted(chosen), "u8")
-    plan = spark.sparkContext.broadcast((items, vocabulary, order, [sorted(chosen[g]) for g in order.tolist()]))
+def _of_block(rows: DataFrame, items: list[tuple[int | None, np.ndarray]], threshold: float, least_words: int) -> DataFrame:
+    aligned = [(i, w) for i, w in items if len(w) >= max(least_words, GRAM)]
+    runs = Runs([(k, w) for k, (_, w) in enumerate(items) if len(w) < max(least_words, GRAM)])
+    names = [i for i, _ in items]
+    plan = rows.sparkSession.sparkContext.broadcast((aligned, Lookup([w for _, w in aligned]), names, runs))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, vocabulary, order, owners = plan.value
-        lookup = Lookup(vocabulary, order)
-        places = []  # of each item: gram -> its places
-        for _, w in items:
-            at: dict[int, list[int]] = {}
-            for k, g in enumerate(grams_of(w).tolist()):
-                at.setdefault(g, []).append(k)
-            places.append(at)
+        aligned, lookup, names, runs = plan.value
+        sizes = [len(w) for _, w in aligned]
         for batch, texts in each_text(batches):
             made: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 words = words_of(text)
-                at, number = lookup.find(words)
-                if not len(at):
-                    continue
-                starts: dict[int, list[int]] = {}
-                for place, g in zip(at.tolist(), number.tolist()):
-                    for k in owners[g]:
-                        starts.setdefault(k, []).extend(place - p for p in places[k][int(order[g])])
-                for k, begun in starts.items():
-                    if (hit := best_in(items[k][1], words, begun, threshold)) is not None:
-                        made.append((doc_id, items[k][0], *hit))
+                for k, spans in lookup.spans(words, sizes).items():
+                    if (hit := best_in(aligned[k][1], words, spans, threshold)) is not None:
+                        made.append((doc_id, aligned[k][0], *hit))
+                made += [(doc_id, names[k], 1.0, a, b) for k, a, b in runs.find(words)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-    return rows.mapInArrow(align, FOUND)
+    return rows.mapInArrow(handed_back(align), FOUND)
 
 
-def best_in(item: np.ndarray, words: np.ndarray, begun: list[int], threshold: float) -> tuple[float, int, int] | None:
-    """The best alignment of the item near the places where it may begin, if it reaches the threshold."""
-    size, slack = len(item), len(item) // 2 + 2
-    spans: list[list[int]] = []
-    for b in sorted(set(begun)):
-        low, high = max(0, b - slack), min(len(words), b + size + slack)
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = max(high, spans[-1][1])
-        else:
-            spans.append([low, high])
+def best_in(item: np.ndarray, words: np.ndarray, spans: list[list[int]], threshold: float) -> tuple[float, int, int] | None:
+    """The best alignment of the item within the stretches, if it reaches the threshold."""
     values, copies = np.unique(item, return_counts=True)
-    needed, best = threshold * size, None
+    needed, best = threshold * len(item), None
     for low, high in spans:
         text = words[low:high]
         found, n = np.unique(text[np.isin(text, values)], return_counts=True)
@@ -187,7 +221,7 @@ def best_in(item: np.ndarray, words: np.ndarray, begun: list[int], threshold: fl
         if np.minimum(n, copies[np.searchsorted(values, found)]).sum() < needed:
             continue
         top, i, j = smith_waterman(item, text)
-        score = top / (MATCH * size)
+        score = top / (MATCH * len(item))
         if score >= threshold and (best is None or score > best[0]):
             _, _, back = smith_waterman(item[:i][::-1], text[:j][::-1])
             best = (score, low + j - back, low + j)
