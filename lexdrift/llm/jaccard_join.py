@@ -4,23 +4,25 @@ Documents with equal shingle sets are one class from the start: only its
 representative goes on. Band and row counts follow from the recall asked for.
 A bucket of equal band hashes links its members to its least one, a row a
 member, and what hangs together by such links is a cluster. Each clustered
-representative's full shingle set is sent once to its cluster's task, where
-every pair is verified: a large cluster is cut into blocks, and each pair of
-blocks is a task. Tasks put out counts and spanning edges, never pairs.
+representative's full shingle set is sent to its cluster's task, where every
+pair is verified. A large cluster is cut into blocks of members that share
+their least leader, and a task verifies two blocks that have a bucket in
+common: what only a chain of others connects is not compared. Tasks put out
+counts and spanning edges, never pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, materialize, text_of, tune
+from lexdrift.llm.common import drop_tables, each_text, handed_back, materialize, text_of, tune
 from lexdrift.llm.components import components
 
 #: Representatives of one block: bounds the memory of a verifying task.
@@ -43,7 +45,7 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "replace").split()
     if not words:
         return np.zeros(0, "i8")
-    h = np.fromiter(map(zlib.crc32, words), "u4", len(words)).astype("u8")
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
     size = min(n, len(h))
     x = np.full(len(h) - size + 1, size if size < n else 0, "u8")
     for k in range(size):
@@ -52,6 +54,10 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     return np.unique(x.view("i8"))
 
 
+def digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets of ``count`` hash functions, the same at every run."""
     draw = np.random.Generator(np.random.PCG64(20240229))
@@ -81,12 +87,12 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
             sets = [shingles(t, n) for t in texts]
-            sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            sigs = [digest(s) for s in sets]
             made = [band_hashes(s, factors, offsets, bands, rows) for s in sets]
             starts = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype("i4"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(starts, pa.array(np.concatenate(made)))], names=["doc_id", "sig", "n_shingles", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, n_shingles int, bands array<long>")
+    return docs.mapInArrow(handed_back(run), "doc_id long, sig binary, n_shingles int, bands array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -140,6 +146,34 @@ def verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np
         root = new
 
 
+def placement(clusters: DataFrame, edges: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, cluster, block, whole) of every clustered representative, and (block, tasks: array of (i, j)) of blocks that meet others.
+
+    A cluster of up to ``BLOCK`` members is one block, ``whole``. In larger ones
+    members go by the least leader of their buckets: a leader with many is cut
+    by hash, others share a block by hash. Blocks that have a bucket in common
+    meet in a task, and each block meets itself.
+    """
+    count = F.count(F.lit(1))
+    # Tables, so that the joins have shuffles of their own on both sides, which Spark can split where a cluster or leader is hot.
+    large = materialize(clusters.groupBy("cluster").agg(count.alias("size")).where(F.col("size") > BLOCK), "large-clusters")
+    small = clusters.join(large, "cluster", "left_anti").select("rep", "cluster", F.xxhash64("cluster").alias("block"), F.lit(True).alias("whole"))
+    homes = edges.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("home"))
+    members = materialize(clusters.join(large, "cluster").join(homes, "rep", "left").withColumn("home", F.coalesce("home", "rep")), "large-members")
+    groups = materialize(members.groupBy("cluster", "home").agg(count.alias("n")), "leaders")
+    own = F.xxhash64("cluster", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    mixed = F.xxhash64("cluster", F.pmod(F.xxhash64("home", F.lit(5)), F.ceil(F.col("size") / BLOCK)))
+    cut = members.join(groups, ["cluster", "home"]).select("rep", "cluster", F.when(F.col("n") >= BLOCK, own).otherwise(mixed).alias("block"), F.lit(False).alias("whole"))
+    placed = materialize(small.unionByName(cut), "placed")
+    drop_tables(large, members, groups)
+    cut = placed.where("not whole").select("rep", "block")
+    held = materialize(buckets.join(cut, "rep").select("band", "block").distinct(), "blocks-of-buckets")
+    met = held.join(held.select("band", F.col("block").alias("other")), "band").where("block < other").select(F.col("block").alias("i"), F.col("other").alias("j"))
+    met = met.unionByName(cut.select(F.col("block").alias("i"), F.col("block").alias("j"))).distinct()
+    tasks = met.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).groupBy("block").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
+    return placed, materialize(tasks, "block-pairs")
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.997, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, n_shingles, one row a document.
 
@@ -150,8 +184,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     1 - ``recall`` a pair; a link that is reported is exact. A text of fewer
     than ``n`` words has one shingle of them all; a null or empty one has none
     and no link. Rows with a null id come back with a null class and no links.
-    An id that repeats is one document, of any one of its texts. Other columns
-    are ignored.
+    An id that repeats is one document, of that of its texts whose shingle set
+    has the least digest. Other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -164,29 +198,31 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     edges = buckets.join(leaders, "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    clusters = components(edges).withColumnRenamed("label", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = clusters.join(sizes, "cluster").select(F.col("node").alias("rep"), "cluster", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("rep", "copies"), "rep")
+    clusters = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    placed, pairs = placement(clusters, edges, buckets)
+    placed = placed.join(classes.select("rep", "copies", "sig"), "rep").join(pairs, "block", "left")
+    here = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
+    placed = placed.select(F.col("rep").alias("doc_id"), "sig", "cluster", "block", "whole", "copies", F.coalesce("tasks", here).alias("tasks"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
-            sets = pa.array([shingles(t, n).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "cluster", "blocks", "block", "copies")), sets], names=["rep", "cluster", "blocks", "block", "copies", "items"])
+            sets = [shingles(t, n) for t in texts]
+            own = pa.array([digest(s) == sig for s, sig in zip(sets, batch.column("sig").to_pylist())], pa.bool_())  # another text of the id
+            names = ["doc_id", "cluster", "whole", "block", "copies", "tasks"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", *names[1:], "items"]).filter(own)
 
-    sets = keyed.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "cluster", "blocks", "block", "copies").mapInArrow(packed, "rep long, cluster long, blocks int, block int, copies long, items binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = sets.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    sets = keyed.join(placed, "doc_id").select("doc_id", "text", "sig", "cluster", "whole", "block", "copies", "tasks")
+    sets = sets.mapInArrow(handed_back(packed), "rep long, cluster long, whole boolean, block long, copies long, tasks array<struct<i:long,j:long>>, items binary")
+    tasks = sets.select("rep", "cluster", "whole", "block", "copies", "items", F.explode("tasks").alias("task")).select("*", "task.*")
 
     def check(group: pa.Table) -> pa.Table:
         ids = group.column("rep").to_numpy()
         ids, at = np.unique(ids, return_index=True)
         items = group.column("items").take(pa.array(at)).to_pylist()
         links, roots = verify(ids, group.column("copies").to_numpy()[at], group.column("block").to_numpy()[at], [np.frombuffer(x, "i8") for x in items], threshold)
-        return pa.table({"rep": ids, "root": roots, "links": links, "whole": group.column("blocks").take(pa.array(at)).to_numpy() == 1})
+        return pa.table({"rep": ids, "root": roots, "links": links, "whole": group.column("whole").take(pa.array(at))})
 
-    found = materialize(tasks.select("rep", "cluster", "i", "j", "block", "blocks", "copies", "items").groupBy("cluster", "i", "j").applyInArrow(check, "rep long, root long, links long, whole boolean"), "links")
+    found = materialize(tasks.select("rep", "cluster", "i", "j", "block", "whole", "copies", "items").groupBy("cluster", "i", "j").applyInArrow(check, "rep long, root long, links long, whole boolean"), "links")
     parts = found.where("not whole and rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
     labels = found.where("whole and rep <> root").select(F.col("rep").alias("node"), F.col("root").alias("label")).unionByName(components(parts))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
