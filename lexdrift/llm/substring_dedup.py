@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, materialize, reclaim, text_of, tune
+from lexdrift.llm.common import drop_tables, each_text, handed_back, materialize, reclaim, text_of, tune
 from lexdrift.llm.fm_index import SEPARATOR, FmIndex
 
 GROUP = 5
@@ -31,6 +31,7 @@ FILTER_PARTS = 64
 SHARD_STRETCHES = 50_000
 #: An anchor with more stretches than this is dealt out window by window.
 HOT_ANCHOR = 100_000
+HOT_PART_BITS = 1 << 16
 SENT_KEYS = 300_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -158,44 +159,51 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def matched_windows(docs: DataFrame, window: int = 13, part_bits: int = 1 << 22) -> DataFrame:
-    """doc_id, runs (array of [from, to) window places) of windows that start in a smaller document too; ``docs``: doc_id, text, no null ids."""
+    """doc_id, sig, runs (array of [from, to) window places) of windows that start in a smaller document too.
+
+    ``docs``: doc_id, sig (a hash of the text), text; no null ids. Rows of one
+    id that differ in text are told apart by ``sig``.
+    """
     spark = docs.sparkSession
     shared = materialize(shared_anchors(docs, window), "anchors")
     reclaim(spark)
+    # Both filters are of fixed size; an anchor taken for hot by mistake is dealt out by windows everywhere, which finds the same.
     shipped = spark.sparkContext.broadcast(filter_of(shared, part_bits))
+    hot = spark.sparkContext.broadcast(filter_of(shared.where(F.col("n") > HOT_ANCHOR), HOT_PART_BITS))
     n_stretches = shared.agg(F.sum("n")).first()[0] or 0
-    hot = spark.sparkContext.broadcast(np.array(sorted(r.anchor for r in shared.where(F.col("n") > max(HOT_ANCHOR, n_stretches // 10_000)).select("anchor").collect()), "i8"))
+    drop_tables(shared)
     n_shards = max(1, -(-n_stretches // SHARD_STRETCHES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, single, sent = AnchorFilter(shipped.value, part_bits), hot.value, set()
+        known, hot_ones, sent = AnchorFilter(shipped.value, part_bits), AnchorFilter(hot.value, HOT_PART_BITS), set()
         for batch, texts in each_text(batches):
-            shards, ids, places, contents = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+            shards, ids, sigs, places, contents = [], [], [], [], []
+            for doc_id, sig, text in zip(batch.column("doc_id").to_pylist(), batch.column("sig").to_pylist(), texts, strict=True):
                 words = words_of(text)
                 anchor = anchors(words, window)
                 a, b = stretches(anchor)
                 keep = known.has(anchor[a])
                 a, b = a[keep], b[keep]
-                by_window = np.isin(anchor[a], single) if len(single) else np.zeros(len(a), bool)
+                by_window = hot_ones.has(anchor[a])
                 for x, y, m, alone in zip(a.tolist(), b.tolist(), anchor[a].tolist(), by_window.tolist()):
                     for p, q in ([(k, k + 1) for k in range(x, y)] if alone else [(x, y)]):
                         content = b" ".join(words[p : q + window - 1])
                         shards.append((zlib.crc32(content) if alone else m) % n_shards)
                         ids.append(doc_id)
+                        sigs.append(sig)
                         places.append(p)
                         contents.append(content)
             keys = [hashlib.blake2b(c, digest_size=12).digest() for c in contents]
-            sizes = [c.count(b" ") + 2 - window for c in contents]
+            at = [p << 32 | c.count(b" ") + 2 - window for p, c in zip(places, contents)]
             if len(sent) > SENT_KEYS:
                 sent.clear()
             for k, key in enumerate(keys):  # a task need not send a content twice
                 if key in sent:
                     contents[k] = None
                 sent.add(key)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(contents, pa.binary())], names=["shard", "key", "doc_id", "place", "n_windows", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(at, pa.int64()), pa.array(contents, pa.binary())], names=["shard", "key", "doc_id", "sig", "at", "content"])
 
-    found = materialize(docs.mapInArrow(emit, "shard int, key binary, doc_id long, place int, n_windows int, content binary"), "stretches")
+    found = materialize(docs.mapInArrow(handed_back(emit), "shard int, key binary, doc_id long, sig long, at long, content binary"), "stretches")
     reclaim(spark)
     owners = found.groupBy("shard", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     contents = found.where("content is not null").select("shard", "key", "content")
@@ -211,11 +219,13 @@ def matched_windows(docs: DataFrame, window: int = 13, part_bits: int = 1 << 22)
         return pa.table({"key": keys.take(pa.array(keep)), "first": first[keep], "own": flat})
 
     results = owners.groupBy("shard").cogroup(contents.groupBy("shard")).applyInArrow(search, "key binary, first long, own array<struct<a:int,b:int>>")
-    occurring = found.select("key", "doc_id", "place", "n_windows").join(results, "key")
-    whole = F.array(F.struct(F.col("place").alias("a"), (F.col("place") + F.col("n_windows")).alias("b")))
-    shifted = F.transform("own", lambda r: F.struct((r.a + F.col("place")).alias("a"), (r.b + F.col("place")).alias("b")))
-    spans = occurring.select("doc_id", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(shifted).alias("runs")).where(F.size("runs") > 0)
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # ``at`` is the place, and in its lower half the number of windows.
+    place, n_windows = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    occurring = found.select("key", "doc_id", "sig", "at").join(results, "key")
+    whole = F.array(F.struct(place.alias("a"), (place + n_windows).alias("b")))
+    shifted = F.transform("own", lambda r: F.struct((r.a + place).alias("a"), (r.b + place).alias("b")))
+    spans = occurring.select("doc_id", "sig", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(shifted).alias("runs")).where(F.size("runs") > 0)
+    return spans.groupBy("doc_id", "sig").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -224,21 +234,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     A word goes if a window that covers it also starts in a row with a smaller
     id; windows are those of the input. A null text has no words. A null id is
     neither smaller nor larger than another: its row keeps all words. Rows
-    with equal ids are judged against smaller ids alone, as one document: what
-    any of them shares is looked up by place, so rows of one id must hold one
-    text; otherwise give them ids of their own. Other columns are ignored.
+    with equal ids are each judged against smaller ids alone, whatever their
+    texts. Other columns are ignored.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).select("doc_id", F.xxhash64("text").alias("sig"), "text")
     found = matched_windows(rows.where("doc_id is not null"), window)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch, texts in each_text(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([squeeze(t.encode("utf-8", "replace")) for t in texts], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array([squeeze(t.encode("utf-8", "replace")) for t in texts], pa.binary())], names=["doc_id", "sig", "packed"])
 
     # Texts cross the shuffle packed: half of what Spark's own codec leaves.
-    joined = rows.mapInArrow(pack, "doc_id long, packed binary").join(found, "doc_id", "left")
+    joined = rows.mapInArrow(handed_back(pack), "doc_id long, sig long, packed binary").join(found, ["doc_id", "sig"], "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -258,5 +267,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
                 kept.append(rest.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = joined.mapInArrow(keep, RESULT)
+    out = joined.mapInArrow(handed_back(keep), RESULT)
     return out if with_text else out.drop("kept")
