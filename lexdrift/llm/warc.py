@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import file_system, materialize, partitions_for, tune
+from lexdrift.llm.common import file_system, handed_back, materialize, partitions_for, tune
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -39,13 +39,13 @@ def resolve(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
 
     ``headers``: key, page_id, digest, payload_bytes. The largest page_id of a
     digest is the original; payloads under ``least_bytes`` stay out. The count
-    is combined before its shuffle, and the join that follows carries headers
-    only and is one that Spark can split where a digest is hot.
+    is combined before its shuffle and written: the join that follows then has
+    shuffles of its own on both sides, which Spark can split where a digest is
+    hot, and carries headers only.
     """
     large = headers.where(F.col("payload_bytes") >= least_bytes)
     repeated = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and original is not null")
-    # Reversed twice, the digests hide how they are dealt out: the join then shuffles for itself, and Spark can split a hot digest.
-    repeated = repeated.select(F.reverse(F.reverse("digest")).alias("digest"), "original")
+    repeated = materialize(repeated.select("digest", "original"), "digests")
     return large.select("key", "digest").join(repeated, "digest").distinct()
 
 
@@ -69,7 +69,7 @@ def write_archives(pages: DataFrame, out_dir: str, least_bytes: int = 1000, id_c
     ident = F.col(id_column).cast("long")
     rows = pages.select(ident.alias("page_id"), F.col(url_column).cast("string").alias("url"), body.alias("body")).withColumns({"key": F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest": F.sha1("body")})
     headers = pages.select(ident.alias("page_id"), body.alias("body")).select("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"), F.sha1("body").alias("digest"), F.octet_length("body").alias("payload_bytes"))
-    decided = resolve(headers, least_bytes)
+    decided = resolve(materialize(headers, "headers"), least_bytes)
     placed = rows.repartition(partitions_for(pages), "key", "digest").join(decided, ["key", "digest"], "left").sortWithinPartitions("key", "digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, out_dir: str, least_bytes: int = 1000, id_c
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
 
-    return materialize(placed.mapInArrow(write, MANIFEST), "archives")
+    return materialize(placed.mapInArrow(handed_back(write), MANIFEST), "archives")
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
