@@ -265,6 +265,13 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (2, f"{a} {b}"), (2, c), (2, c), (2, None), (3, f"x {b}"), (None, a)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    assert got == sorted([("1", 20, 0, a), ("2", 40, 20, b), ("2", 20, 0, c), ("2", 20, 0, c), ("2", 0, 0, ""), ("3", 21, 20, "x"), ("None", 20, 0, a)])
+
+
 def test_fm_index_matches():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 6, 500)
@@ -305,6 +312,26 @@ def test_top_k(spark, monkeypatch):
     assert pivot_topk.top_k(df.limit(0), df, 5).count() == pivot_topk.top_k(df, df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 3e5])
+def test_search_in_one_block_evaluates_by_bounds(spark, scale):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 5)) * 9
+    rows = [(k, [float(x) for x in (centres[k % 12] + rng.standard_normal(5) * 0.2) * scale]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tally = pivot_topk.Tally.on(spark)
+    asked = df.where("vec_id % 500 = 0")
+    got = sorted(tuple(r) for r in pivot_topk.top_k(df, asked, 5, tally=tally).collect())
+    assert got == brute_top(rows, range(0, 3000, 500), 5)
+    assert 0 < tally.evaluated.value < tally.met.value < 0.2 * 6 * 3000
+
+
+def test_vectors_beyond_whole_numbers_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e9, -1e9]), (2, [1e300, 0.0]), (20, [1e7, 1e7]), (3, [-1e7, 5e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in pivot_topk.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())
+    assert got == brute_top([r for r in rows if r[0] not in (1, 2)], [0, 20], 20)
+
+
 def test_warc(spark, tmp_path):
     big, other = "<p>é" * 400, "x" * 1000
     rows = [(1, "http://a", big), (5, "http://b c", big), (3, None, big), (3, "http://d", big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", other), (None, "u", big), (9, "u", "y" * 2000), (9, "v", "y" * 2000)]

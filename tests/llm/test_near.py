@@ -1,6 +1,7 @@
 """Line dedup, Jaccard join, decontamination, toxicity and the pipeline against brute force, planted cases and held-out labels."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -249,6 +250,43 @@ def test_leaks(spark, most_bytes):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def plain_alignment(item, text):
+    """The best local alignment score of two word lists by the plain recurrence, match 2, mismatch and gap -1."""
+    above, best = [0] * (len(text) + 1), 0
+    for x in item:
+        row = [0]
+        for j, y in enumerate(text, 1):
+            row.append(max(0, above[j - 1] + (2 if x == y else -1), above[j] - 1, row[-1] - 1))
+        best, above = max(best, max(row)), row
+    return best
+
+
+def test_whole_query_against_plain_alignment(spark):
+    rng = random.Random(14)
+    items = [(k, sentence(rng, rng.randrange(10, 30), 200)) for k in range(8)]
+    docs = []
+    for i in range(60):
+        leak = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(len(leak) // 3)):
+            leak[rng.randrange(len(leak))] = f"w{rng.randrange(200)}"
+        docs.append((i, f"{sentence(rng, 8, 200)} {' '.join(leak)} {sentence(rng, 8, 200)}"))
+    want = {(i, k): s for i, t in docs for k, item in items if (s := plain_alignment(item.split(), t.split()) / (2 * len(item.split()))) >= 0.6}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_short_items_are_found_as_whole_runs(spark):
+    bench = spark.createDataFrame([(1, "Who wrote the first long novel?"), (2, "alpha beta"), (3, "gamma"), (4, " "), (5, "who wrote the first long novel")], "item_id long, text string")
+    df = frame(spark, [(1, "who wrote the FIRST long novel"), (2, "who wrote the first short novel"), (3, "x alpha, beta y gamma"), (4, "beta alpha")])
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 1, 1.0), (1, 5, 1.0), (3, 2, 1.0), (3, 3, 1.0)}
+
+
+def test_repetitive_texts_and_items(spark):
+    bench = spark.createDataFrame([(1, "very " * 4000), (2, "one two three " * 20)], "item_id long, text string")
+    df = frame(spark, [(1, "very " * 6000), (2, "very " * 2000), (3, "one two three " * 5000), (4, "nothing here")])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 1), (3, 2)}
+
+
 def test_a_leak_in_most_documents_is_found(spark):
     rng = random.Random(9)
     item = sentence(rng, 30)
@@ -287,6 +325,102 @@ def test_toxicity_edges(spark):
     assert {r.score for r in none.collect()} == {0.5} and toxicity.score(docs.limit(0), model).count() == 0
 
 
+class PlainFtrl:
+    """FTRL-proximal as published, a coordinate at a time, in double precision."""
+
+    def __init__(self, s):
+        self.s, self.z, self.n = s, collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(self, i):
+        s, z, l1, l2 = self.s, self.z[i], self.s.l1, self.s.l2
+        if i is None:
+            l1 = l2 = 0
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - (l1 if z > 0 else -l1)) / ((s.beta + self.n[i] ** 0.5) / s.alpha + l2)
+
+    def learn(self, places, label):
+        every = [None, *places]
+        w = {i: self.weight(i) for i in every}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in every:
+            sigma = ((self.n[i] + g * g) ** 0.5 - self.n[i] ** 0.5) / self.s.alpha
+            self.z[i] += g - sigma * w[i]
+            self.n[i] += g * g
+
+
+def test_the_learner_is_ftrl_proximal(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, rng.randrange(1, 40), 60) + (" vile" * (i % 3 == 0))) for i in range(150)]
+    settings = toxicity.Settings(l1=0.4, epochs=2)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels, settings)
+    order = [r.doc_id for r in frame(spark, rows).orderBy(F.xxhash64("doc_id")).collect()]
+    plain = PlainFtrl(settings)
+    for _ in range(2):
+        for i in order:
+            plain.learn(sorted(set(toxicity.features(rows[i][1]).tolist())), int(i % 3 == 0))
+    want = {i: w for i in plain.z if i is not None and (w := plain.weight(i))}
+    got = dict(zip(model.places.tolist(), model.weights.tolist()))
+    assert want and {i for i, w in want.items() if abs(w) > 1e-3} <= set(got) and 0 < len(got) < len(plain.z)
+    assert all(abs(got.get(i, 0) - want.get(i, 0)) < 2e-3 for i in {*got, *want}) and abs(model.bias - plain.weight(None)) < 2e-3
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "good day")] * 3 + [(1, "vile"), (2, "vile word"), (3, "fine")]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (2, 0)], "doc_id long, toxic int")
+    settings = toxicity.Settings(l1=0.0, epochs=1)
+    one = min([(1, "good day"), (1, "vile")], key=lambda r: spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])
+    a, b = (toxicity.train(frame(spark, r), labels, settings) for r in (rows, [one, *rows[4:]]))
+    assert a.places.tolist() == b.places.tolist() and a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
+    few = toxicity.smallest_by_hash(spark.range(5000).withColumnRenamed("id", "doc_id"), 100)
+    assert [r.doc_id for r in few.collect()] == [r.doc_id for r in spark.range(5000).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id")).limit(100).collect()]
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    rng = random.Random(15)
+    long = sentence(rng, 60)
+    item = duckdb.sql(f"select text from '{DATA}/benchmark.parquet' limit 1").fetchall()[0][0]
+    rows = [(None, long), (None, None), (1, long), (2, long + " tail"), (2, "another text of id two"), (3, None), (4, ""), (5, "\n\n"), (6, f"before {item} after"), (7, "a line that is there twice"), (8, "a line that is there twice\nx"), (8, "a line that is there twice\nx")]
+    names = ["gone", "gone_id", "n_lines", "n_removed", "score", "predicted", "class_id", "sig", "h", "item_id", "place"]
+    return frame(spark, rows).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")} | {c: F.lit(f"own {c}") for c in names})
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "byte_bpe"])
+def test_each_stage_on_odd_rows(spark, odd_documents, name):
+    import corpus_pipeline
+
+    docs, stage = odd_documents, dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, DATA)
+    rows = out.collect()
+    if name == "byte_bpe":
+        assert len(rows) == docs.count()
+    else:
+        assert out.columns == docs.columns
+        own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert all(r[c] == f"own {c}" for r in rows for c in own)
+        left = sorted(str(r.doc_id) for r in rows)
+        every = sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+        # the copies of 1 and of 8; the copy of the benchmark item
+        gone = {"toxicity": [], "line_dedup": [], "ngram_jaccard_join": ["2", "2"], "benchmark_decontamination": ["6"]}[name]
+        assert left == sorted(every) if not gone else collections.Counter(every) - collections.Counter(left) == collections.Counter(gone)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_pipeline_run_equals_its_stages(spark):
+    import corpus_pipeline
+    from lexdrift.llm.common import written_paths
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+    before = set(written_paths(spark))
+    out = corpus_pipeline.run(spark, DATA)
+    assert len(set(written_paths(spark)) - before) == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
