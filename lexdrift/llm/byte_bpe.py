@@ -51,7 +51,7 @@ class Transducer:
     ROOT = 0
     RENEW = 20
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000, most_pairs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000, most_pairs: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -231,7 +231,7 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.decimal = [str(i) for i in range(len(self.table))]
-        self.pieces = Memo(self._of_piece, 300_000, is_short)
+        self.pieces = Memo(self._of_piece, 500_000, is_short)
 
     def _of_piece(self, piece: str) -> bytes:
         """Packed ids of a piece that borders on other pre-tokens: of one pre-token, or of its parts."""

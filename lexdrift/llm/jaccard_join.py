@@ -26,7 +26,7 @@ from lexdrift.llm.common import drop_tables, each_text, handed_back, materialize
 from lexdrift.llm.components import components
 
 #: Representatives of one block: bounds the memory of a verifying task.
-BLOCK = 768
+BLOCK = 384
 
 
 def bands_for(threshold: float, recall: float, most_values: int = 256) -> tuple[int, int]:

@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             made = [np.unique(features(t)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(made, pa.binary())], names=["doc_id", "toxic", "places"])
 
-    sample = materialize(rows.mapInArrow(handed_back(featured), "doc_id long, toxic int, places binary"), "toxic-sample")
+    featured_rows = rows.mapInArrow(handed_back(featured), "doc_id long, toxic int, places binary")
+    sample = materialize(featured_rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("toxic", "places"), "toxic-sample")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, n = Ftrl(settings), 0
@@ -151,9 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             at, w = learner.sparse()
             yield pa.RecordBatch.from_pydict({"places": [at.tobytes()], "weights": [w.tobytes()], "bias": [learner.bias_weight()]})
 
-    # One task reads the sorted sample again for each epoch; nothing is shuffled.
-    epoch = sample.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("toxic", "places")
-    found = reduce(DataFrame.unionAll, [epoch] * settings.epochs).coalesce(1).mapInArrow(handed_back(fit), "places binary, weights binary, bias double").collect()
+    # One task reads the sorted file again for each epoch: nothing is shuffled or sorted, and parts of one file come in their order.
+    found = reduce(DataFrame.unionAll, [sample] * settings.epochs).coalesce(1).mapInArrow(handed_back(fit), "places binary, weights binary, bias double").collect()
     drop_tables(sample)
     if not found:
         return Model(np.zeros(0, "i4"), np.zeros(0, "f4"), 0.0)
