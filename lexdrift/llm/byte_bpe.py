@@ -142,8 +142,9 @@ class Transducer:
         if self.outside > self.RENEW * self.most_states:
             self._reset()
         state, moves, ends, path = self.start, self.moves, self.ends, []
+        move = moves.get
         for k, byte in enumerate(data):
-            if (to := moves.get(state << 8 | byte)) is None:
+            if (to := move(state << 8 | byte)) is None:
                 going = self._step(self.states[state], byte)
                 if len(self.states) >= self.most_states and going not in self.number:
                     path.append((going[-1] & 0xFFFFFF) - 1)
@@ -231,19 +232,35 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.decimal = [str(i) for i in range(len(self.table))]
-        self.pieces = Memo(self._of_piece, 500_000, is_short)
+        # Pieces between single spaces, without the space before them: those met lately, and those met before.
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.most_pieces = 500_000
+
+    def _of_words(self, words: list[str]) -> bytes:
+        return b"".join([self._of_piece(w[1:]) if w[0] == " " else self._of_word(w) for w in words])
+
+    def _of_word(self, word: str) -> bytes:
+        return pack_ids(self.transducer.encode(word.encode("utf-8", "replace")))
 
     def _of_piece(self, piece: str) -> bytes:
-        """Packed ids of a piece that borders on other pre-tokens: of one pre-token, or of its parts."""
-        words = self.split(piece)
-        if len(words) == 1:
-            return pack_ids(self.transducer.encode(piece.encode("utf-8", "replace")))
-        return b"".join([self.pieces[w] for w in words])
+        """Packed ids of a piece with a space before it, which borders on other pre-tokens: of one pre-token, or of its parts."""
+        if (known := self.lately.get(piece)) is None:
+            if (known := self.before.get(piece)) is None:
+                words = self.split(" " + piece)
+                known = self._of_word(words[0]) if len(words) == 1 else self._of_words(words)
+            if len(piece) <= 64:
+                self.lately[piece] = known
+        return known
 
     def encode(self, text: str) -> np.ndarray:
         head, *rest = safe_split(text)
-        get = self.pieces.__getitem__
-        return np.frombuffer(get(head) + b"".join([get(" " + p) for p in rest]), "<u4")
+        ids = list(map(self.lately.get, rest))
+        if None in ids:
+            ids = [self._of_piece(rest[k]) if x is None else x for k, x in enumerate(ids)]
+            if len(self.lately) > self.most_pieces // 2:
+                self.lately, self.before = {}, self.lately
+        return np.frombuffer(self._of_words(self.split(head)) + b"".join(ids), "<u4")
 
     def joined(self, ids: np.ndarray) -> str:
         """Decimal ids joined by one space."""
