@@ -197,9 +197,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     reps = signs.select("doc_id", "sig", "bands").join(classes, "sig").where("doc_id = rep")
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    edges = buckets.join(leaders, "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
+    buckets = materialize(buckets.join(leaders, "band").select("rep", "band", "leader"), "buckets")
+    edges = buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     clusters = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     placed, pairs = placement(clusters, edges, buckets)
+    drop_tables(buckets)
     placed = placed.join(classes.select("rep", "copies", "sig"), "rep").join(pairs, "block", "left")
     here = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
     placed = placed.select(F.col("rep").alias("doc_id"), "sig", "cluster", "block", "whole", "copies", F.coalesce("tasks", here).alias("tasks"))
