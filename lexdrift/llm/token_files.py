@@ -41,14 +41,17 @@ DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens
 
 _encoders: dict[str, "LibraryEncoder"] = {}
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
 
 class LibraryEncoder:
     """The tokenizers library's ``encode`` over whole texts, with a memo of what it gave for pieces of them.
 
     Where the tokenizer splits as byte-level ones do, a single space between two
     visible characters always starts a pre-token: the library encodes the pieces
-    between such spaces as it does within the text, so new pieces are handed to
-    it strung together, and its offsets tell them apart. Texts that hold one of
+    between such spaces as it does within the text, and letters that a piece
+    begins with apart from what follows them. New ones are handed to it strung
+    together, and its offsets tell them apart. Texts that hold one of
     the tokenizer's added tokens, and all texts where the tokenizer works in
     another way, go through it as wholes.
     """
@@ -63,21 +66,53 @@ class LibraryEncoder:
         split = self.library.pre_tokenizer
         self.by_piece = self.library.normalizer is None and self.library.post_processor is None and type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Memo(self.of_text, 600_000)
+        # Pieces, without the space before them: those met lately, and those met before.
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.most_pieces = 1_400_000
+        self.tails = Memo(self.of_text, 100_000, is_short)
 
     def of_text(self, text: str) -> bytes:
         """The library's ids of a text, packed."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each begin with the space before a visible character."""
-        got = self.library.encode("".join(pieces), add_special_tokens=False)
+        """Ids of pieces, each with the space before it; they begin with visible characters."""
+        if not pieces:
+            return []
+        got = self.library.encode(" " + " ".join(pieces), add_special_tokens=False)
         begins = np.fromiter((a for a, _ in got.offsets), "i8", len(got))
-        starts = np.cumsum([0, *map(len, pieces)])
+        starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])
         cuts = (np.searchsorted(begins, starts) * self.width).tolist()
         packed = np.array(got.ids, self.kind).tobytes()
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def look_up(self, pieces: list[str], ids: list[bytes | None]) -> None:
+        """Fill the gaps in ``ids``."""
+        lately, before, parts, new = self.lately, self.before, [], {}
+        for k, known in enumerate(ids):
+            if known is not None:
+                continue
+            piece = pieces[k]
+            if (known := before.get(piece)) is not None:
+                ids[k] = lately[piece] = known
+                continue
+            m = LETTERS.match(piece)
+            stop = m.end() if m and m[0].isalpha() else len(piece)
+            core = piece[:stop]
+            if core not in new and core not in lately:
+                new[core] = before.get(core)
+            parts.append((k, core, piece[stop:]))
+        missing = [core for core, known in new.items() if known is None]
+        new.update(zip(missing, self.of_pieces(missing), strict=True))
+        for k, core, tail in parts:
+            found = new[core] if core in new else lately[core]
+            ids[k] = found + self.tails[tail] if tail else found
+            if len(pieces[k]) <= 64:
+                lately[core], lately[pieces[k]] = found, ids[k]
+        if len(lately) > self.most_pieces // 2:
+            self.lately, self.before = {}, lately
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed unsigned integers."""
         out: list[bytes] = []
@@ -86,18 +121,9 @@ class LibraryEncoder:
                 out.append(self.of_text(text))
                 continue
             head, *rest = safe_split(text)
-            pieces = [" " + p for p in rest]
-            ids = list(map(self.pieces.get, pieces))
+            ids = list(map(self.lately.get, rest))
             if None in ids:
-                missing = [k for k, x in enumerate(ids) if x is None]
-                older = self.pieces.old
-                new = list({pieces[k] for k in missing if pieces[k] not in older})
-                fresh = dict(zip(new, self.of_pieces(new), strict=True))
-                for k in missing:
-                    ids[k] = fresh[pieces[k]] if pieces[k] in fresh else older[pieces[k]]
-                for k in missing:
-                    if is_short(pieces[k]):
-                        self.pieces.put(pieces[k], ids[k])
+                self.look_up(rest, ids)
             out.append(self.of_text(head) + b"".join(ids))
         return out
 
