@@ -1,12 +1,14 @@
 """Secret scans through nested encodings (operator 1).
 
 Every text is scanned as it stands (the base) and then unwrapped: a worklist
-holds layers still to be looked at, each with the span of the original text
+holds layers still to be unwrapped, each with the span of the original text
 that every one of its characters comes from. Per-cent and Unicode escapes are
 replaced in place; base64 runs, and compressed data within them, become layers
 of their own. Each layer is scanned and unwrapped in turn until nothing new
 appears. A layer whose content and origin were seen before is not taken up
-again, so that data which decode to themselves end.
+again, so that data which decode to themselves end. Layers are made one at a
+time; what compressed data hold is read in windows that overlap, all with the
+span of the packed data, so that memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -16,16 +18,16 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, text_of, tune
+from lexdrift.llm.common import each_text, handed_back, text_of, tune
 
 # The kinds in their order, with the patterns of each.
 KINDS = ("assign", "access", "hex")
@@ -37,8 +39,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
-#: Runs of base64, over line breaks (as in MIME, or escaped) too; possessive, so that long runs are read once.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[\x20\t]*+\r?\n[\x20\t]*+|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)*+={0,2}")
+#: Runs of base64, over line breaks (as in MIME, or escaped) too; possessive, so that long runs are read once. What is looked ahead for passes over most words.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n|(?:\\r)?\\n))[A-Za-z0-9+/_-]++(?:(?:[\x20\t]*+\r?\n[\x20\t]*+|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)*+={0,2}")
 BREAKS = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
 LEAST_BASE64 = 16
 #: Bytes that are no text (as read with surrogateescape), and the shortest text that can hold a secret.
@@ -51,15 +53,34 @@ SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base string, spa
 
 @dataclass
 class Layer:
-    """Decoded text; ``start`` and ``end`` give each character's span in the original (None: the original itself)."""
+    """Decoded text; ``start`` and ``end`` give each character's span in the original (None: the original itself).
+
+    ``span`` is that of all characters of a window of inflated data, ``raw`` its
+    bytes, and ``after`` reads what follows them (None: nothing does).
+    """
 
     text: str
     start: np.ndarray | None = None
     end: np.ndarray | None = None
+    span: tuple[int, int] | None = None
+    raw: bytes = b""
+    after: Callable[[], Iterator[bytes]] | None = None
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
+        if self.span is not None:
+            return self.span
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
 
+    def starts(self, a: int, b: int) -> np.ndarray:
+        if self.span is not None:
+            return np.full(b - a, self.span[0])
+        return np.arange(a, b) if self.start is None else self.start[a:b]
+
+    def ends(self, a: int, b: int) -> np.ndarray:
+        if self.span is not None:
+            return np.full(b - a, self.span[1])
+        return np.arange(a + 1, b + 1) if self.end is None else self.end[a:b]
+
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the secrets in one text, leftmost and non-overlapping for each kind."""
@@ -80,8 +101,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def keep(a: int, b: int) -> None:
         parts.append(layer.text[a:b])
-        starts.append(np.arange(a, b) if layer.start is None else layer.start[a:b])
-        ends.append(np.arange(a + 1, b + 1) if layer.end is None else layer.end[a:b])
+        starts.append(layer.starts(a, b))
+        ends.append(layer.ends(a, b))
 
     for m in pattern.finditer(layer.text):
         got = decode(m[0])
@@ -127,74 +148,134 @@ def _escapes(run: str) -> list[tuple[str, int, int]]:
     return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _inflate(data: memoryview, most: int) -> tuple[bytes, bool, int] | None:
-    """Decompress gzip, zlib, bzip2 or zstd data, with all its members; (content, whether it was cut at ``most`` bytes, bytes read), or None."""
-    packed, rest, out = bytes(data[:3]), data, []
-    room, cut = most, False
-    while rest and not cut:
-        try:
-            if packed[:1] in (b"\x1f", b"\x78"):
-                machine = zlib.decompressobj(47)
-                part = machine.decompress(rest, room)
-                cut = bool(machine.unconsumed_tail)
-            elif packed == b"BZh":
-                machine = bz2.BZ2Decompressor()
-                part = machine.decompress(rest, room)
-                cut = not machine.eof and not machine.needs_input
-            else:
-                return _zstd(data, most)
-        except (zlib.error, OSError, EOFError, ValueError):
+#: Inflated data are read in windows of so many bytes, of which each repeats the end of the one before.
+WINDOW, OVERLAP, CHUNK = 1 << 20, 1 << 14, 1 << 18
+
+
+class Inflater:
+    """Inflates gzip, zlib, bzip2 or zstd data, with all members, from chunks that ``source`` yields."""
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.read, self.ended, self.starved = source, 0, False, False
+
+    def _machine(self, head: bytes):
+        if head[:1] in (b"\x1f", b"\x78"):
+            return zlib.decompressobj(47)
+        return bz2.BZ2Decompressor() if head[:3] == b"BZh" else zstandard.ZstdDecompressor().decompressobj()
+
+    def chunks(self) -> Iterator[bytes]:
+        """Content in chunks; afterwards ``read`` bytes were taken, and ``starved`` tells that more input would go on."""
+        data, machine, kind = b"", None, b""
+        while True:
+            if not data:
+                data = next(self.source, b"")
+                if not data:
+                    self.starved = machine is not None
+                    return
+            if machine is None:
+                while len(data) < 4 and (more := next(self.source, b"")):
+                    data += more
+                if kind and (data[:3] != kind or kind[:1] == b"\x78"):
+                    return
+                kind, machine = data[:3], self._machine(data)
+            try:
+                if isinstance(machine, bz2.BZ2Decompressor):
+                    part = machine.decompress(data, CHUNK)
+                    while part and not machine.eof and not machine.needs_input:
+                        yield part
+                        part = machine.decompress(b"", CHUNK)
+                elif kind[:1] in (b"\x1f", b"\x78"):
+                    part = machine.decompress(data, CHUNK)
+                    while machine.unconsumed_tail:
+                        yield part
+                        part = machine.decompress(machine.unconsumed_tail, CHUNK)
+                else:
+                    part = machine.decompress(data)
+            except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+                return
+            if part:
+                yield part
+            rest = machine.unused_data if machine.eof else b""
+            self.read += len(data) - len(rest)
+            data = rest
+            if machine.eof:
+                machine = None
+
+
+def pieces(data: bytes, size: int = 1 << 14) -> Iterator[bytes]:
+    """``data`` in small pieces, so that an inflater puts out little at a time."""
+    return (data[k : k + size] for k in range(0, len(data), size))
+
+
+def skipped(source: Iterator[bytes], n: int) -> Iterator[bytes]:
+    for data in source:
+        if n < len(data):
+            yield data[n:]
+        n = max(0, n - len(data))
+
+
+class Cut:
+    """What is left of the bytes that inflated data may come to, and how often it ran out or a run left its window."""
+
+    def __init__(self, most_bytes: int | None):
+        self.most, self.count = most_bytes, 0
+
+
+def _windows(open_source: Callable[[], Iterator[bytes]], span: tuple[int, int], inflater: Inflater, limits: Cut) -> Iterator[Layer]:
+    """Layers of the windows of what ``inflater`` puts out; ``open_source`` begins to read the packed data anew."""
+    held, at, total = bytearray(), 0, 0
+    for part in inflater.chunks():
+        total += len(part)
+        if limits.most is not None and total > limits.most:
+            limits.count += 1
+            held += part[: len(part) - (total - limits.most)]
             break
-        out.append(part)
-        room -= len(part)
-        rest = b"" if cut or not machine.eof else machine.unused_data
-        if rest[:3] != packed or packed[:1] == b"\x78":
-            break
-        if room <= 0:
-            cut = True
-    content = b"".join(out)
-    return (content, cut, len(data) - len(rest)) if content else None
-
+        held += part
+        while len(held) > WINDOW:
+            stop = at + WINDOW
+            yield _window(bytes(held[:WINDOW]), span, lambda stop=stop: skipped(Inflater(open_source()).chunks(), stop))
+            del held[: WINDOW - OVERLAP]
+            at += WINDOW - OVERLAP
+    if held and (not at or len(held) > OVERLAP):
+        yield _window(bytes(held), span, None)
+
+
+def _window(raw: bytes, span: tuple[int, int], after) -> Layer:
+    return Layer(NO_TEXT.sub("\ufffd", raw.decode("utf-8", "surrogateescape")), span=span, raw=raw, after=after)
+
+
+def _packed_layers(data: bytes, origin, limits: Cut, after=None) -> Iterator[Layer]:
+    """Layers of compressed data anywhere in ``data``; ``origin`` gives the span of a stretch of its bytes, ``after`` reads what follows them."""
+    at = 0
+    while (m := PACKED.search(data, at)) is not None:
+        begin, view = m.start(), data
+
+        def source(begin=begin) -> Iterator[bytes]:
+            yield from pieces(view[begin:])
+            if after is not None:
+                yield from after()
+
+        trial = Inflater(pieces(data[begin:]))
+        shows = next(trial.chunks(), b"")
+        if not shows:
+            at = begin + 1
+            continue
+        inflater = Inflater(source())
+        # The end is known once all is read; until then the span is that of the rest of the data.
+        size = packed_size(data, begin)
+        yield from _windows(source, origin(begin, begin + size), inflater, limits)
+        at = begin + size
 
-def _zstd(data: memoryview, most: int) -> tuple[bytes, bool, int] | None:
-    import zstandard
 
-    for across in (True, False):  # with other bytes behind, only the first frame can be read at once
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=across) as r:
-                out = r.read(most)
-                return (out, bool(r.read(1)), len(data) if across else 4) if out else None
-        except zstandard.ZstdError:
-            continue
-    return None
+def packed_size(data: bytes, begin: int) -> int:
+    """How many bytes of ``data`` the compressed data from ``begin`` on take."""
+    inflater = Inflater(pieces(data[begin:]))
+    for _ in inflater.chunks():
+        pass
+    return max(1, min(inflater.read, len(data) - begin) if not inflater.starved else len(data) - begin)
 
 
-def _unpacked(data: bytes, most: int) -> Iterator[tuple[bytes, bool, int, int]]:
-    """(content, whether cut, first and last byte, exclusive) of compressed data anywhere in ``data``, and in such content."""
-    seen, work = {data}, [(data, None)]
-    while work:
-        data, span = work.pop()
-        at = 0
-        while (m := PACKED.search(data, at)) is not None:
-            got = _inflate(memoryview(data)[m.start() :], most)
-            at = m.start() + (got[2] if got else 1)
-            if got and got[0] not in seen:
-                seen.add(got[0])
-                where = span or (m.start(), at)
-                yield got[0], got[1], *where
-                work.append((got[0], where))
-
-
-def _packed_layers(data: bytes, most: int, origin) -> Iterator[tuple[Layer, bool]]:
-    """Layers of the text in compressed data within ``data``; ``origin`` gives the span of a stretch of its bytes."""
-    for content, cut, a, b in _unpacked(data, most):
-        text = content.decode("utf-8", "surrogateescape")
-        if cut or HAS_TEXT.search(text):
-            n, (x, y) = len(text), origin(a, b)
-            yield Layer(NO_TEXT.sub("�", text), np.full(n, x), np.full(n, y)), cut
-
-
-def _base64_layers(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
+def _base64_layers(layer: Layer, limits: Cut) -> Iterator[Layer]:
     """A run may begin amid other letters, so it is read from each of four places on; bytes that are no text stand between texts."""
     for m in BASE64.finditer(layer.text):
         if m.end() - m.start() < LEAST_BASE64:
@@ -208,8 +289,8 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
             body = body[: len(body) - (len(body) % 4 == 1)]
             data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
             text = data.decode("utf-8", "surrogateescape")
-            shows = HAS_TEXT.search(text)
-            if not shows and not PACKED.search(data):
+            shows, packed = HAS_TEXT.search(text), PACKED.search(data)
+            if not shows and not packed:
                 continue
             if places is None:
                 places = _letters(m)
@@ -220,20 +301,34 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
                 end = m.end() if b == size else int(places[min(last, len(places) - 1)]) + 1
                 return layer.origin(int(places[offset + a // 3 * 4 + a % 3]), end)
 
-            yield from _packed_layers(data, most, origin)
+            yield from _packed_layers(data, origin, limits)
+            # A run that goes on in the next window holds packed data that is read there no further.
+            limits.count += bool(packed and layer.after is not None and m.end() == len(layer.text))
             if not shows:
                 continue
-            starts, ends, at = [], [], 0
-            for c in text:
-                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape"))
-                a, b = at, at + n - 1
-                first = offset + a // 3 * 4 + a % 3
-                last = min(offset + b // 3 * 4 + b % 3 + 1, len(places) - 1)
-                x = layer.origin(int(places[first]), int(places[last]) + 1)
-                starts.append(x[0])
-                ends.append(x[1])
-                at += n
-            yield Layer(NO_TEXT.sub("�", text), np.array(starts), np.array(ends)), False
+            if layer.span is not None:
+                yield Layer(NO_TEXT.sub("\ufffd", text), span=layer.span)
+                continue
+            # Each character's bytes, and for each byte the characters that it stands in.
+            sizes = np.array([1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape")) for c in text])
+            first = np.cumsum(sizes) - sizes
+            last = first + sizes - 1
+            a, b = places[offset + first // 3 * 4 + first % 3], places[np.minimum(offset + last // 3 * 4 + last % 3 + 1, len(places) - 1)]
+            yield Layer(NO_TEXT.sub("\ufffd", text), a if layer.start is None else layer.start[a], b + 1 if layer.end is None else layer.end[b])
+
+
+def layers_of(layer: Layer, limits: Cut) -> Iterator[Layer]:
+    """What one layer unwraps to, one at a time."""
+    if layer.raw:
+        yield from _packed_layers(layer.raw, lambda a, b: layer.span, limits, layer.after)
+    if "%" in layer.text and (new := _replaced(layer, PERCENT, _percent)):
+        yield new
+        whole = _replaced(layer, PERCENT, _percent_bytes)
+        yield from _packed_layers(whole.text.encode("latin-1", "replace"), whole.origin, limits)
+    if "\\" in layer.text and (new := _replaced(layer, ESCAPE, _escapes)):
+        yield new
+        yield from _packed_layers(new.text.encode("latin-1", "replace"), new.origin, limits)
+    yield from _base64_layers(layer, limits)
 
 
 def _letters(m: re.Match) -> np.ndarray:
@@ -246,50 +341,42 @@ def _letters(m: re.Match) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def scan_layers(text: str, most_bytes: int = 16 << 20, most_depth: int = 64) -> tuple[list, list, int, int]:
-    """Base spans, all spans, layers unwrapped, layers cut by a bound.
+def scan_layers(text: str, most_bytes: int | None = None) -> tuple[list, list, int, int]:
+    """Base spans, all spans, layers unwrapped, and how often a bound cut one.
 
-    ``most_bytes`` bounds what one compressed run may expand to and
-    ``most_depth`` how often layers may nest: both only guard against bombs,
-    and what they cut is counted.
+    With ``most_bytes``, compressed data is read up to so many bytes of content;
+    without, to its end. Layers wait on a stack of iterators, of which each
+    holds one window, however many there are.
     """
     base = scan(text)
-    found = set(base)
+    found, limits, n_layers = set(base), Cut(most_bytes), 0
     seen: set[tuple[bytes, int, int]] = set()
-    work: deque[tuple[Layer, int]] = deque([(Layer(text), 0)])
-    n_layers = n_cut = 0
+    work = [layers_of(Layer(text), limits)]
     while work:
-        layer, depth = work.popleft()
-        made: list[tuple[Layer, bool]] = []
-        if "%" in layer.text and (new := _replaced(layer, PERCENT, _percent)):
-            made.append((new, False))
-            whole = _replaced(layer, PERCENT, _percent_bytes)
-            made += _packed_layers(whole.text.encode("latin-1", "replace"), most_bytes, whole.origin)
-        if "\\" in layer.text and (new := _replaced(layer, ESCAPE, _escapes)):
-            made.append((new, False))
-            made += _packed_layers(new.text.encode("latin-1", "replace"), most_bytes, new.origin)
-        made += _base64_layers(layer, most_bytes)
-        for new, cut in made:
-            n_cut += cut
-            if not new.text:
-                continue
-            mark = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.start[0]), int(new.end[-1]))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            n_layers += 1
-            for a, kind, b in scan(new.text):
-                x, y = new.origin(a, b)
-                found.add((x, kind, y))
-            if depth + 1 < most_depth:
-                work.append((new, depth + 1))
-            else:
-                n_cut += 1
-    return base, sorted(found), n_layers, n_cut
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        content = new.raw or new.text.encode("utf-8", "surrogatepass")
+        mark = (hashlib.blake2b(content, digest_size=16).digest(), *new.origin(0, len(new.text)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        n_layers += 1
+        for a, kind, b in scan(new.text):
+            x, y = new.origin(a, b)
+            found.add((x, kind, y))
+        work.append(layers_of(new, limits))
+    return base, sorted(found), n_layers, limits.count
+
 
+def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_bytes: int | None = None) -> DataFrame:
+    """One row for each input row: counts of base secrets by kind, base and all spans as text, layers met, cuts.
 
-def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_bytes: int = 16 << 20) -> DataFrame:
-    """One row for each input row: counts of base secrets by kind, base and all spans as text, layers met.
+    n_cut counts what ``most_bytes`` ended, and base64 runs within inflated data
+    that hold compressed data and go on beyond a window of 1 MB, which are
+    inflated as far as the window goes. Nothing else is cut.
 
     Spans are kind:start:end in code points of the original text, end
     exclusive, by start, then kind as in ``KINDS``, then end, joined by commas.
@@ -312,4 +399,4 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_added", "n_layers", "n_cut"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(handed_back(run), SPANS)

@@ -1,10 +1,12 @@
 """Operators with exact contracts against brute force, round trips and the libraries."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -12,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 from lexdrift.llm import byte_bpe, pivot_topk, secret_scan, substring_dedup, token_files, warc
@@ -214,6 +217,28 @@ def test_every_member_of_compressed_data_is_read():
     assert len(secret_scan.scan_layers(base64.b64encode(two).decode())[1]) == 1
 
 
+def test_secrets_behind_much_filler_are_found():
+    rng = random.Random(16)
+    filler = "".join(f"{rng.randrange(10**9)} line of filler, with words.\n" for _ in range(80_000)).encode()
+    deep = filler + b"token=abcdef123" + filler
+    long = filler * 6 + deep
+    assert len(long) > 17 << 20 and len(deep) > 5 * secret_scan.WINDOW
+    for data in (gzip.compress(long, 1), zlib.compress(deep, 1), gzip.compress(filler, 1) + gzip.compress(deep, 1), gzip.compress(b"head " + gzip.compress(deep, 1), 1), bz2.compress(filler + b" token=abcdef123", 1), zstandard.compress(deep)):
+        text = f"see {base64.b64encode(data).decode()} end"
+        base, every, layers, cut = secret_scan.scan_layers(text)
+        assert {k for _, k, _ in every} == {0} and not cut and layers > 3
+
+
+def test_memory_does_not_grow_with_what_is_packed():
+    bomb = base64.b64encode(gzip.compress(b"a b " * 3_000_000, 1)).decode()
+    text = " ".join(["", bomb, bomb, bomb, "token=abcdef123"])
+    tracemalloc.start()
+    assert len(secret_scan.scan_layers(text)[0]) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_bombs_end():
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
     assert secret_scan.scan_layers(bomb, most_bytes=1 << 16)[3] == 1
