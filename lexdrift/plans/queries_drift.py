@@ -141,13 +141,10 @@ def domain_coherence(spark, sf_dir):
     return drift.coherence(vecs, domains)
 
 
-SQL_SUBSET = "select distinct word from v where substr(word, 5)::integer % 2 = 0"
-
-
-@query(f"with {SQL_SIMS}, c as ({SQL_SUBSET}), i as (select k.*, row_number() over (partition by slice, word order by rank) as r from k where rank <= {2 * K} and word in (from c) and neighbour in (from c)) select slice, least(word, neighbour) as u, greatest(word, neighbour) as v, max(greatest(sim, 0)) as weight from i where r <= {K} group by 1, 2, 3", "weight")
+@query(f"with {SQL_SIMS} select slice, least(word, neighbour) as u, greatest(word, neighbour) as v, max(greatest(sim, 0)) as weight from k where rank <= {K} group by 1, 2, 3", "weight")
 def knn_graph(spark, sf_dir):
     vecs = fx.slice_vectors(spark, sf_dir)
-    return knn.knn_graph(vecs, vecs.where(F.substring("word", 5, 9).cast("int") % 2 == 0).select("word"), K)
+    return knn.knn_graph(vecs, vecs.select("word"), K)
 
 
 @query()
@@ -296,9 +293,12 @@ def step_trend(spark, sf_dir):
     return analytics.slope(fx.steps(spark, sf_dir), ["word"], "step_distance", "year")
 
 
-@query("select event_type, avg(value) filter (day(ts) = 1) as \"1\", avg(value) filter (day(ts) = 2) as \"2\", avg(value) filter (day(ts) = 3) as \"3\" from events where day(ts) <= 3 group by 1", '"1" "2" "3"')
+HEAT_DAYS = ", ".join(f'avg(value) filter (day(ts) = {d}) as "{d}"' for d in range(1, 31))
+
+
+@query(f"select event_type, {HEAT_DAYS} from events group by 1", " ".join(f'"{d}"' for d in range(1, 31)))
 def event_heat_map(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "events").where(F.dayofmonth("ts") <= 3).select("event_type", F.dayofmonth("ts").alias("d"), "value")
+    rows = fx.table(spark, sf_dir, "events").select("event_type", F.dayofmonth("ts").alias("d"), "value")
     return analytics.heat_map(rows, "event_type", "d", "value")
 
 
@@ -381,10 +381,10 @@ def stratified_sample(spark, sf_dir):
     return sample(_means(spark, sf_dir), "mean_count", ["word"], 40, 10)
 
 
-@query(f"with {SQL_SIMS}, t as (select * from k where rank <= {K} and word like 'word000%'), e as (select word, min(slice) as a, max(slice) as b from t group by 1) select x.word, x.rank, x.slice as first_slice, x.neighbour as first_neighbour, y.slice as last_slice, y.neighbour as last_neighbour from t x join e on x.word = e.word and x.slice = a join t y on y.word = e.word and y.slice = b and y.rank = x.rank", "", "rank")
+@query(f"with {SQL_SIMS}, t as (select * from k where rank <= {K}), e as (select word, min(slice) as a, max(slice) as b from t group by 1) select x.word, x.rank, x.slice as first_slice, x.neighbour as first_neighbour, y.slice as last_slice, y.neighbour as last_neighbour from t x join e on x.word = e.word and x.slice = a join t y on y.word = e.word and y.slice = b and y.rank = x.rank", "", "rank")
 def neighbour_snapshot(spark, sf_dir):
     vecs = fx.slice_vectors(spark, sf_dir)
-    return drift.neighbour_snapshot(knn.neighbours(vecs, K), vecs.where("word like 'word000%'"), K)
+    return drift.neighbour_snapshot(knn.neighbours(vecs, K), vecs.select("word"), K)
 
 
 @query()

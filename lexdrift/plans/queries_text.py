@@ -88,8 +88,7 @@ def v_analysis(spark, sf_dir):
 
 @query(f"with c as ({SQL_COUNTS}), h as (select word, count(*) / sum(1.0 / cnt) as hmean from c group by 1 having count(distinct slice) >= 10), t as (select word, hmean, row_number() over (order by round(hmean, 9) desc, word) as rank from h) select * from t where rank <= 500", "hmean", "rank")
 def v_anchor(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
-    return vocabulary.v_anchor(counts, vocabulary.v_analysis(counts))
+    return vocabulary.anchors_of_counts(_counts(spark, sf_dir))
 
 
 @query(f"with w as (select unnest(['court', 'er', 'on', 'nosuchword', 'nt', 'tion']) as word), c as (select word, sum(cnt) as n from ({SQL_COUNTS}) group by 1) select word, coalesce(n, 0) as freq from w left join c using (word)", wholes="freq")
