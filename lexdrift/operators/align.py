@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def cross_products(vecs: DataFrame, anchors: DataFrame) -> dict[tuple[str, str], tuple[np.ndarray, int]]:
     """(earlier, later) -> (A'B over their shared anchors, how many): one d x d matrix a neighbouring pair comes to the driver.
 
-    Each anchor's outer products are summed within its task before they meet,
-    so what is gathered does not depend on the number of words.
+    Each anchor's outer products are summed within its task, and the tasks' sums
+    by pair on the executors, so what is gathered depends neither on the number
+    of words nor on that of tasks.
     """
     labels = [r[0] for r in vecs.select("slice").distinct().orderBy("slice").collect()]
     known = vecs.join(anchors.select("word").distinct(), "word", "left_semi").select("word", "slice", "vec")
@@ -31,11 +32,16 @@ def cross_products(vecs: DataFrame, anchors: DataFrame) -> dict[tuple[str, str],
         yield pd.DataFrame([(a, b, s[0].tobytes(), s[1]) for (a, b), s in sums.items()], columns=["t1", "t2", "m", "n"])
 
     by_word = known.groupBy("word").agg(F.collect_list("slice").alias("slices"), F.collect_list("vec").alias("vecs"))
+
+    def summed(key, parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(bytes(m)) for m in parts["m"])
+        return pd.DataFrame([(key[0], key[1], total.tobytes(), int(parts["n"].sum()))], columns=["t1", "t2", "m", "n"])
+
+    found = by_word.mapInPandas(products, schema).groupBy("t1", "t2").applyInPandas(summed, schema).collect()
     out: dict[tuple[str, str], tuple[np.ndarray, int]] = {}
-    for r in by_word.mapInPandas(products, schema).collect():
-        m = np.frombuffer(bytes(r.m)).reshape(int(round(len(r.m) ** 0.5 / 8**0.5)), -1)
-        old = out.get((r.t1, r.t2), (0, 0))
-        out[r.t1, r.t2] = (old[0] + m, old[1] + r.n)
+    for r in found:
+        m = np.frombuffer(bytes(r.m))
+        out[r.t1, r.t2] = (m.reshape(int(round(len(m) ** 0.5)), -1), r.n)
     return out
 
 

@@ -33,10 +33,11 @@ def shifts(vecs: DataFrame, words: DataFrame, k: int = 25, knn: DataFrame | None
     knn = neighbours(vecs, k) if knn is None else knn
     near = neighbour_sets(knn, k)
     full = vecs.select("slice", "word", "vec").join(near, ["slice", "word"], "left")
-    a = full.select(F.col("slice").alias("t1"), "word", F.col("vec").alias("v1"), F.col("near").alias("n1"))
-    b = full.select(F.col("slice").alias("t2"), "word", F.col("vec").alias("v2"), F.col("near").alias("n2"))
-    grid = words.select("word").distinct().crossJoin(F.broadcast(slice_pairs(ordered_slices(vecs))))
-    rows = grid.join(a, ["t1", "word"], "left").join(b, ["t2", "word"], "left")
+    # Each word's slices stand in order, so one join gives both sides and the neighbours are made once.
+    grid = words.select("word").distinct().crossJoin(F.broadcast(ordered_slices(vecs)))
+    every = grid.join(full.withColumnRenamed("slice", "label"), ["label", "word"], "left")
+    later = Window.partitionBy("word").orderBy("ord")
+    rows = every.select("word", F.col("label").alias("t1"), F.col("vec").alias("v1"), F.col("near").alias("n1"), *(F.lead(c).over(later).alias(d) for c, d in (("label", "t2"), ("vec", "v2"), ("near", "n2")))).where("t2 is not null")
     empty = F.array().cast("array<string>")
     n1, n2 = F.coalesce("n1", empty), F.coalesce("n2", empty)
     union = F.size(F.array_union(n1, n2))
