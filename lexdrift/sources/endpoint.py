@@ -1,13 +1,16 @@
-"""A Python data source over a SPARQL endpoint: pages are partitions, errors are raised."""
+"""A Python data source over a SPARQL endpoint, whose pages are partitions or follow each other, and a fetcher of documents."""
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -19,17 +22,39 @@ class Page(InputPartition):
 
 
 class SparqlReader(DataSourceReader):
-    """Options: endpoint, query (without OFFSET and LIMIT, ordered totally), columns, total, page_size, interval seconds between a task's requests."""
+    """Options: endpoint, query (without OFFSET and LIMIT, ordered totally), columns, total, page_size, max_items, interval seconds between a task's requests.
+
+    Without ``total`` one task reads page after page until a short one, thus at
+    one rate for the whole scan; with it pages are read side by side.
+    ``max_items`` bounds the rows of either.
+    """
 
     def __init__(self, schema: StructType, options: dict):
         self.names = schema.names
         self.options = options
 
     def partitions(self):
-        size, total = int(self.options.get("page_size", 10_000)), int(self.options["total"])
+        size, most = int(self.options.get("page_size", 10_000)), int(self.options.get("max_items", 0))
+        if "total" not in self.options:
+            return [Page(0, -1)]
+        total = min(int(self.options["total"]), most or 1 << 62)
         return [Page(k, min(size, total - k)) for k in range(0, total, size)]
 
     def read(self, page: Page):
+        if page.limit >= 0:
+            yield from self.rows(page)
+            return
+        size, most, at = int(self.options.get("page_size", 10_000)), int(self.options.get("max_items", 0)) or 1 << 62, 0
+        while at < most:
+            n = 0
+            for row in self.rows(Page(at, min(size, most - at))):
+                n += 1
+                yield row
+            at += n
+            if n < size:
+                return
+
+    def rows(self, page: Page):
         query = f"{self.options['query']}\nOFFSET {page.offset}\nLIMIT {page.limit}"
         body = urllib.parse.urlencode({"query": query}).encode()
         ask = urllib.request.Request(self.options["endpoint"], body, {"Accept": "application/sparql-results+json"})
@@ -60,3 +85,43 @@ class SparqlSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SparqlSource)
+
+
+PAGE = "celex string, lang string, html string"
+
+
+def fetch(url: str, interval: float = 0.3, attempts: int = 3, timeout: float = 30) -> str | None:
+    """A document's text; None where there is none (404). Other failures are tried again after waits that double, then raised."""
+    for attempt in range(attempts):
+        time.sleep(interval * 2**attempt)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url), timeout=timeout) as answer:
+                return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        except urllib.error.HTTPError as error:
+            if error.code == 404:
+                return None
+            if attempt + 1 == attempts:
+                raise
+        except OSError:
+            if attempt + 1 == attempts:
+                raise
+    return None
+
+
+def fetch_pages(keys: DataFrame, template: str, languages: list[str], key: str = "celex", tasks: int = 1, interval: float = 0.3) -> DataFrame:
+    """celex, lang, html of each key: the first of ``languages`` that has a document; both null where none has.
+
+    ``template`` holds {key} and {lang}. ``tasks`` fetch side by side, each at
+    its own rate; null and repeated keys are left out.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for name in frame["celex"]:
+                found = ((lang, fetch(template.format(key=urllib.parse.quote(name, safe=""), lang=lang), interval)) for lang in languages)
+                rows.append((name, *next(((lang, body) for lang, body in found if body is not None), (None, None))))
+            yield pd.DataFrame(rows, columns=["celex", "lang", "html"])
+
+    wanted = keys.select(F.col(key).cast("string").alias("celex")).where("celex is not null").distinct()
+    return wanted.repartition(tasks).mapInPandas(run, PAGE)

@@ -1,4 +1,11 @@
-from lexdrift.sources import pages, stores, triples
+import http.server
+import json
+import threading
+import urllib.parse
+
+import pytest
+
+from lexdrift.sources import endpoint, pages, stores, triples
 
 
 def test_anchor_pages():
@@ -77,3 +84,55 @@ def test_endpoint_pages():
     source = SparqlSource({"columns": "a, b", "total": "25", "page_size": "10", "endpoint": "http://x", "query": "q"})
     reader = source.reader(source.schema())
     assert [(p.offset, p.limit) for p in reader.partitions()] == [(0, 10), (10, 10), (20, 5)]
+
+
+@pytest.fixture
+def server():
+    """A stub of an endpoint with 25 rows and of documents, of which one fails once."""
+    asked, failed = [], set()
+
+    class Stub(http.server.BaseHTTPRequestHandler):
+        def answer(self, code, body=b""):
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+            offset, limit = int(query.split("OFFSET ")[1].split()[0]), int(query.split("LIMIT ")[1])
+            asked.append((offset, limit))
+            rows = [{"x": {"value": str(k)}} for k in range(25)[offset : offset + limit]]
+            self.answer(200, json.dumps({"results": {"bindings": rows}}).encode())
+
+        def do_GET(self):
+            asked.append(self.path)
+            if self.path == "/c2/en" and self.path not in failed:
+                failed.add(self.path)
+                return self.answer(503)
+            return self.answer(200, self.path.encode()) if self.path in ("/c1/fr", "/c2/en", "/c2/fr") else self.answer(404)
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Stub) as httpd:
+        threading.Thread(target=httpd.serve_forever, daemon=True).start()
+        yield f"http://127.0.0.1:{httpd.server_port}", asked
+        httpd.shutdown()
+
+
+@pytest.mark.parametrize("options, want, pages", [({}, 25, [(0, 10), (10, 10), (20, 10)]), ({"max_items": "12"}, 12, [(0, 10), (10, 2)]), ({"total": "25"}, 25, [(0, 10), (10, 10), (20, 5)])])
+def test_endpoint_is_read_page_by_page(spark, server, options, want, pages):
+    url, asked = server
+    endpoint.register(spark)
+    reader = spark.read.format("sparql").options(endpoint=url, query="select ?x", columns="x", page_size="10", interval="0", **options)
+    assert sorted(int(r.x) for r in reader.load().collect()) == list(range(want))
+    assert sorted(asked) == pages
+
+
+def test_documents_are_fetched_in_the_order_of_languages(spark, server):
+    url, asked = server
+    keys = spark.createDataFrame([("c1",), ("c2",), ("c3",), ("c1",), (None,)], "celex string")
+    rows = {r.celex: (r.lang, r.html) for r in endpoint.fetch_pages(keys, url + "/{key}/{lang}", ["en", "fr"], interval=0.01).collect()}
+    assert rows == {"c1": ("fr", "/c1/fr"), "c2": ("en", "/c2/en"), "c3": (None, None)}
+    assert asked.count("/c2/en") == 2 and "/c2/fr" not in asked
