@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lexdrift.llm.common import Memo, each_text, file_system, handed_back, is_short, text_of, tune
 from lexdrift.llm.token_files import safe_split
 
+#: Words are followed from their state after so many bytes where that is kept.
+HEAD = 6
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
 
 
@@ -80,6 +82,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.ends: list[int] = []
         self.moves: dict[int, int] = {}
+        self.heads: dict[bytes, list[int]] = {}
         self.outside = 0
         self.start = self._state((self.ROOT << 24,))
 
@@ -141,22 +144,44 @@ class Transducer:
             return list(self.stream(data))
         if self.outside > self.RENEW * self.most_states:
             self._reset()
-        state, moves, ends, path = self.start, self.moves, self.ends, []
-        move = moves.get
-        for k, byte in enumerate(data):
+        # Of each byte: the state after it, or the complement of the token that ends there.
+        state, move, path = self.start, self.moves.get, []
+        begun = self.heads.get(data[:HEAD])
+        if begun is not None:
+            path = begun.copy()
+            state = path[-1]
+        seen = path.append
+        for byte in data[HEAD:] if begun is not None else data:
             if (to := move(state << 8 | byte)) is None:
-                going = self._step(self.states[state], byte)
+                self._walk(state, data, path)
+                break
+            state = to
+            seen(to)
+        if begun is None and len(path) > HEAD and path[HEAD - 1] >= 0 and len(self.heads) < self.most_states:
+            self.heads[data[:HEAD]] = path[:HEAD]
+        ends, length, out, at = self.ends, self.length, [], len(path)
+        while at:
+            token = ends[last] if (last := path[at - 1]) >= 0 else ~last
+            out.append(token)
+            at -= length[token]
+        return out[::-1]
+
+    def _walk(self, state: int, data: bytes, path: list[int]) -> None:
+        """Go on from a state whose move is not kept yet; once no more are kept, without states."""
+        for k in range(len(path), len(data)):
+            key = state << 8 | data[k]
+            if (to := self.moves.get(key)) is None:
+                going = self._step(self.states[state], data[k])
                 if len(self.states) >= self.most_states and going not in self.number:
-                    path.append((going[-1] & 0xFFFFFF) - 1)
                     self.outside += len(data) - k
+                    path.append(~((going[-1] & 0xFFFFFF) - 1))
                     for byte in data[k + 1 :]:
                         going = self._step(going, byte)
-                        path.append((going[-1] & 0xFFFFFF) - 1)
-                    break
-                to = moves[state << 8 | byte] = self._state(going)
+                        path.append(~((going[-1] & 0xFFFFFF) - 1))
+                    return
+                to = self.moves[key] = self._state(going)
             state = to
-            path.append(ends[state])
-        return self._back(path, len(path))
+            path.append(to)
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of bytes that arrive one by one; each comes out once no live hypothesis can change it.
@@ -235,7 +260,7 @@ class ByteBpe:
         # Pieces between single spaces, without the space before them: those met lately, and those met before.
         self.lately: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.most_pieces = 500_000
+        self.most_pieces = 800_000
 
     def _of_words(self, words: list[str]) -> bytes:
         return b"".join([self._of_piece(w[1:]) if w[0] == " " else self._of_word(w) for w in words])
