@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, pivot_topk, secret_scan, substring_dedup, token_files, toxicity, warc
+from lexdrift.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, pivot_topk, prefix_trie, secret_scan, substring_dedup, token_counts, token_files, toxicity, warc, whitening
 from lexdrift.llm.common import scratch, table
 
 
@@ -57,7 +57,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pivot_topk, op3_benchmark_decontamination, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup)}
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), n_components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pivot_topk, op3_benchmark_decontamination, op4_token_binary, op5_toxicity, op6_byte_bpe, op7_warc_revisit, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup, op11_conversation_prefix_trie, op12_embedding_whitening, op13_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op2_pivot_topk": """
@@ -80,6 +92,30 @@ ORACLES: dict[str, str] = {
             sha256(array_to_string(case when places is null then words else [x for x, k in words if not list_contains(places, k)] end, ' ')) as kept_sha256
         from d left join g using (doc_id)
     """,
+    "op11_conversation_prefix_trie": """
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        k as (select conv_id, turn, sha256(length(role)::varchar || ':' || role || text) as key, strlen(text) as bytes from t),
+        o as (select conv_id, list(struct_pack(key, bytes) order by turn nulls first, key) as own from k group by 1),
+        c as (
+            select *, xor(4294967295, list_reduce([4294967295] || flatten([[ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0] for x in string_split(conv_id::varchar, '')]),
+                lambda a, x: case when xor(a, x) % 2 = 1 then xor(xor(a, x) // 2, 3988292384) else xor(a, x) // 2 end)) % 9 as h
+            from o
+        ),
+        r as (select c.conv_id, coalesce(b.own[1 : c.h], []) || c.own[c.h + 1 :] as path from c left join o b on b.conv_id = c.conv_id - c.conv_id % 5),
+        p as (select conv_id, d as depth, len(path) as n, array_to_string([x.key for x in path[1 : d]], ',') as prefix, case when d > 0 then path[d].bytes else 0 end as bytes from r, unnest(range(len(path) + 1)) as s(d)),
+        g as (
+            select depth, prefix, min(conv_id) as m, count(*) as n_convs, max(bytes) as bytes,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+            from p group by 1, 2
+        ),
+        w as (select p.conv_id, p.depth, g.m from p join g using (depth, prefix)),
+        e as (select g.*, w.m as parent from g left join w on w.conv_id = g.m and w.depth = g.depth - 1),
+        k2 as (select parent as m, depth - 1 as depth, count(*) as n_children from e where depth > 0 group by 1, 2),
+        f as (select e.*, coalesce(n_children, 0) as n_children from e left join k2 using (m, depth)),
+        u as (select w.depth, w.m, sum((f.n_children = 0)::bigint) as n_leaves, sum((f.n_convs - 1) * f.bytes) as saved from f join w on w.conv_id = f.m and w.depth <= f.depth group by 1, 2)
+        select f.m as conv_id, f.depth, f.parent as parent_conv_id, f.n_convs, f.n_children::bigint as n_children, u.n_leaves::bigint as n_leaves, u.saved::bigint as saved_tokens, f.ends_sha256
+        from f join u using (depth, m)
+    """,
     "op7_warc_revisit": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         m as (select payload_digest, max(page_id) as top from p where payload_bytes >= 1000 group by 1)
