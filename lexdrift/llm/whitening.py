@@ -61,7 +61,8 @@ def whole_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def covariance(df: DataFrame, columns: list[str], n: int) -> np.ndarray:
     """Covariances, divisor ``n``, of SQL expressions that are centred already: one sum for each pair of the upper triangle."""
     d = len(columns)
-    centred = df.selectExpr(*(f"{c} as c{i}" for i, c in enumerate(columns)))
+    # Sums of what cannot be null need no look at each value.
+    centred = df.selectExpr(*(f"coalesce({c}, 0D) as c{i}" for i, c in enumerate(columns)))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     out = np.zeros((d, d))
     for at in range(0, len(pairs), MOST_SUMS):
@@ -80,7 +81,7 @@ def fit_whitening(whole: DataFrame, n_components: int = 32) -> Whitening | None:
     n, *sums = same.agg(F.count(F.lit(1)), *(F.sum(F.get("x", F.lit(i)).cast("decimal(20,0)")) for i in range(d[0]))).first()
     sums = [int(s) for s in sums]
     # x - sum / n: the whole part is taken off exactly.
-    v = covariance(same, [f"cast(x[{i}] - {s // n}L as double) - {s % n / n!r}D" for i, s in enumerate(sums)], n)
+    v = covariance(same, [f"cast(get(x, {i}) - {s // n}L as double) - {s % n / n!r}D" for i, s in enumerate(sums)], n)
     values, components = np.linalg.eigh(v)
     order = np.argsort(values)[::-1][:n_components]
     return Whitening(n, sums, values[order], components[:, order], float(np.trace(v)))
@@ -121,7 +122,7 @@ def identity_error(whitened: DataFrame, model: Whitening) -> float:
     if not len(live):
         return 0.0
     means = whitened.agg(*(F.sum(F.get("w", F.lit(int(k)))) for k in live)).first()
-    v = covariance(whitened, [f"w[{k}] - ({m / model.n!r}D)" for k, m in zip(live, means, strict=True)], model.n)
+    v = covariance(whitened, [f"get(w, {k}) - ({m / model.n!r}D)" for k, m in zip(live, means, strict=True)], model.n)
     return float(np.abs(v - np.eye(len(live))).max())
 
 
