@@ -1,13 +1,15 @@
 """Token counts by a library's tokenizer, with overlap resynchronisation for huge documents (operator 13).
 
-A document of up to ``chunk`` characters goes through the library whole. A
-longer one is cut into windows of that length, each with an overlap into the
-next, and windows are dealt to tasks of their own. Each is encoded with
-offsets. Where a window's overlap and the next window's beginning both start a
-token at a place that is proven stable, the two are spliced there: tokens
-before it come from the first, those from it on from the second. If an overlap
-has no such place it is widened over the whole next window, and on for as long
-as needed; those windows become one and are encoded again.
+A document of up to ``chunk`` characters is counted as a whole: by the library,
+or as the sum over its pieces between spaces, which are stable places (below),
+with a bounded memo of the pieces met lately. A longer one is cut into windows
+of that length, each with an overlap into the next, and windows are dealt to
+tasks of their own. Each is encoded with offsets. Where a window's overlap and
+the next window's beginning both start a token at a place that is proven
+stable, the two are spliced there: tokens before it come from the first, those
+from it on from the second. If an overlap has no such place it is widened over
+the whole next window, and on for as long as needed; those windows become one
+and are encoded again.
 
 A place is proven stable if the tokenizer splits there whatever stands farther
 to the left or right. For tokenizers that normalise character by character and
@@ -31,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexdrift.llm.common import each_text, handed_back, materialize, partitions_for, rows_to_batch, text_of, tune
+from lexdrift.llm.common import Memo, each_text, handed_back, is_short, materialize, partitions_for, rows_to_batch, text_of, tune
 
 #: Characters in a window, and in its overlap into the next.
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 65_536, 512
 #: Characters that one call of the library gets at most, unless a single text is longer.
 CALL = 1 << 20
+#: Pieces in the memo of a worker, of up to 64 characters each.
+PIECES = 1_000_000
 #: The normaliser and pattern for which the rule of stable places is proven.
 PROVEN_STEPS = ["NFC", "Replace", "Lowercase"]
 PROVEN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,12 +71,22 @@ class Counter:
         library.no_truncation()
         library.no_padding()
         self.library = library
-        self.counts = lambda texts: [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.counts = self.of_texts
         told = json.loads(library.to_str())
         steps, splits = told["normalizer"] or {}, (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         added = [t for t in told["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not (t["content"].startswith("<|") and t["content"].endswith("|>") and t["content"][2:-2].isalpha() and t["content"].isascii())]
+        self.pieces = Memo(lambda piece: len(self.of_batch([piece])[0]), PIECES, is_short)
         self.proven = not added and [s["type"] for s in steps.get("normalizers", [])] == PROVEN_STEPS and splits[0].get("pattern") == {"Regex": PROVEN_SPLIT}
 
+    def of_batch(self, texts: list[str]) -> list:
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
+
+    def of_texts(self, texts: list[str]) -> list[int]:
+        if not self.proven:
+            return [len(e) for e in self.of_batch(texts)]
+        look = self.pieces.__getitem__
+        return [sum(map(look, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+
     def encode(self, text: str) -> np.ndarray:
         """First character of each token."""
         return np.fromiter((a for a, _ in self.library.encode(text, add_special_tokens=False).offsets), "i8")
