@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks, vectors
 from lexdrift.functions.vectors import cosine, cosine_distance, dot, mean_pairwise_cosine, scaled, total, unit, vector_means, vector_sums
-from lexdrift.operators.knn import neighbours
+from lexdrift.lineage import cut
+from lexdrift.operators.knn import close_counts, counted, neighbours, ranked, scan
 
 
 def slice_pairs(slices: DataFrame) -> DataFrame:
@@ -75,15 +76,18 @@ def dispersion(vecs: DataFrame, k: int = 25, knn: DataFrame | None = None, near:
     Mean distance to the ``k`` nearest, mean pairwise cosine among them (from
     the sum of their unit vectors), and how many words lie closer than ``near``.
     """
-    from lexdrift.operators.knn import close_counts
-
-    knn = neighbours(vecs, k) if knn is None else knn
+    if knn is None:
+        # One product of blocks gives neighbours and counts; both are read from what it wrote.
+        found = cut(scan(vecs, k, near), "neighbours")
+        knn, close = ranked(found, k), counted(found)
+    else:
+        close = close_counts(vecs, near)
     top = knn.where(F.col("rank") <= k)
     units = vecs.select("slice", F.col("word").alias("neighbour"), unit(F.col("vec")).alias("u"))
     sums = vector_sums(top.join(units, ["slice", "neighbour"]), ["slice", "word"], "u", "s")
     density = sums.select("slice", "word", mean_pairwise_cosine(F.col("s"), F.col("n")).alias("density"))
     spread = top.groupBy("slice", "word").agg(F.avg(1 - F.col("sim")).alias("dispersion"))
-    rows = spread.join(density, ["slice", "word"], "left").join(close_counts(vecs, near), ["slice", "word"], "left")
+    rows = spread.join(density, ["slice", "word"], "left").join(close, ["slice", "word"], "left")
     return rows.select("word", F.col("slice").alias("time_slice"), "dispersion", "density", F.coalesce("close", F.lit(0)).alias("neighborhood_size"))
 
 

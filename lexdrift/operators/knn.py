@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine within each slice, in blocks of bounded size."""
+"""Nearest neighbours within each slice, in pairs of blocks of bounded size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexdrift.functions.vectors import EPS
 
 BLOCK = 4096
+SCAN = "slice string, word string, neighbour string, sim double, close long"
 
 
 def blocked(vecs: DataFrame, block: int) -> DataFrame:
@@ -19,12 +20,11 @@ def blocked(vecs: DataFrame, block: int) -> DataFrame:
 
 
 def block_pairs(vecs: DataFrame, block: int):
-    """Grouped left and right sides: every block of a slice with every other."""
+    """Grouped left and right sides: every two blocks of a slice once, the one with the smaller number on the left."""
     rows = blocked(vecs, block)
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.withColumn("right", every).withColumnRenamed("block", "left").drop("blocks")
+    left = rows.select("slice", "word", "vec", F.col("block").alias("left"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("right"))
     # New names keep the two sides of one table apart.
-    right = rows.select(F.col("slice").alias("in"), F.col("word").alias("name"), F.col("vec").alias("values"), every.alias("by"), F.col("block").alias("own"))
+    right = rows.select(F.col("slice").alias("in"), F.col("word").alias("name"), F.col("vec").alias("values"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("by"), F.col("block").alias("own"))
     return left.groupBy("slice", "left", "right").cogroup(right.groupBy("in", "by", "own"))
 
 
@@ -33,44 +33,96 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
 
 
-def neighbours(vecs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """slice, word, neighbour, sim, rank (from 1): the ``k`` most similar words of each word in its slice, itself left out, ties by word.
+def cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    return unit_rows(a) @ unit_rows(b).T
 
-    Each task multiplies two blocks and keeps ``k`` a word, so what is shuffled
+
+def straight(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Negative Euclidean distances, from differences, so that near points keep their digits."""
+    x, y = np.stack(a.to_numpy()).astype("f8"), np.stack(b.to_numpy()).astype("f8")
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None] - y[None, :, i]) ** 2
+    return -np.sqrt(out)
+
+
+MEASURES = {"cosine": cosines, "euclidean": straight}
+
+
+def scan(vecs: DataFrame, k: int, near: float | None = None, block: int = BLOCK, measure: str = "cosine") -> DataFrame:
+    """slice, word, neighbour, sim, close: of each pair of blocks the ``k`` most similar a word, and rows without neighbour that count those above ``near``.
+
+    Each pair is multiplied once and tells both sides. What is shuffled
     afterwards is ``k`` rows a word and block. Rows with a null vector take no part.
     """
+    alike = MEASURES[measure]
 
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["slice", "word", "neighbour", "sim"]
-        if a.empty or b.empty:
-            return pd.DataFrame({"slice": pd.Series(dtype=str), "word": pd.Series(dtype=str), "neighbour": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
-        b = b.sort_values("name", kind="stable")
-        sims = unit_rows(a["vec"]) @ unit_rows(b["values"]).T
-        names = b["name"].to_numpy()
-        sims[a["word"].to_numpy()[:, None] == names[None, :]] = -np.inf
+    def side(name: str, words: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
+        by_name = np.argsort(others, kind="stable")
+        sims, others = sims[:, by_name], others[by_name]
         n = min(k, sims.shape[1])
         order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
         values = np.take_along_axis(sims, order, 1).ravel()
-        out = pd.DataFrame({"slice": key[0], "word": np.repeat(a["word"].to_numpy(), n), "neighbour": names[order.ravel()], "sim": values}, columns=columns)
-        return out[np.isfinite(values)]
+        out = pd.DataFrame({"slice": name, "word": np.repeat(words, n), "neighbour": others[order.ravel()], "sim": values, "close": 0})[np.isfinite(values)]
+        if near is None:
+            return out
+        return pd.concat([out, pd.DataFrame({"slice": name, "word": words, "neighbour": None, "sim": None, "close": (sims > near).sum(1)})])
+
+    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("slice", str), ("word", str), ("neighbour", str), ("sim", float), ("close", "int64"))})
+        sims = alike(a["vec"], b["values"])
+        words, names = a["word"].to_numpy(), b["name"].to_numpy()
+        sims[words[:, None] == names[None, :]] = -np.inf
+        one = side(key[0], words, names, sims)
+        return one if key[1] == key[2] else pd.concat([one, side(key[0], names, words, sims.T)])
 
-    found = block_pairs(vecs.where(F.col("vec").isNotNull()), block).applyInPandas(best, "slice string, word string, neighbour string, sim double")
+    return block_pairs(vecs.where(F.col("vec").isNotNull()), block).applyInPandas(best, SCAN)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """slice, word, neighbour, sim, rank (from 1) of what ``scan`` found; ties by word."""
     order = Window.partitionBy("slice", "word").orderBy(F.desc("sim"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.where("neighbour is not null").drop("close").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """slice, word, close of what ``scan`` found."""
+    return found.where("neighbour is null").groupBy("slice", "word").agg(F.sum("close").alias("close"))
+
+
+def neighbours(vecs: DataFrame, k: int, block: int = BLOCK, measure: str = "cosine") -> DataFrame:
+    """slice, word, neighbour, sim, rank (from 1): the ``k`` most similar words of each word in its slice, itself left out, ties by word."""
+    return ranked(scan(vecs, k, None, block, measure), k)
 
 
 def close_counts(vecs: DataFrame, near: float = 0.5, block: int = BLOCK) -> DataFrame:
     """slice, word, close: how many other words of the slice have a cosine above ``near``."""
+    return counted(scan(vecs, 0, near, block))
+
+
+def nearest_of(points: DataFrame, ground: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """id, neighbour, sim, rank: the ``k`` words of ``ground`` (word, vec) nearest to each of ``points`` (id, vec) by cosine, the point's own word included."""
+    blocks = lambda df, c: df.where("vec is not null").select(c, "vec", F.pmod(F.xxhash64(c), F.lit(max(1, -(-df.count() // block)))).cast("int").alias("b"))
+    a, b = blocks(points, "id"), blocks(ground, "word")
+    n_a, n_b = (df.agg(F.max("b")).first()[0] for df in (a, b))
+    if n_a is None or n_b is None:
+        return points.sparkSession.createDataFrame([], "id string, neighbour string, sim double, rank int")
+    left = a.select("id", "vec", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_b))).alias("j"))
+    right = b.select("word", F.col("vec").alias("values"), F.explode(F.sequence(F.lit(0), F.lit(n_a))).alias("i"), F.col("b").alias("j"))
+
+    def best(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"id": pd.Series(dtype=str), "neighbour": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
+        y = y.sort_values("word", kind="stable")
+        sims = cosines(x["vec"], y["values"])
+        n = min(k, len(y))
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), n), "neighbour": y["word"].to_numpy()[order.ravel()], "sim": np.take_along_axis(sims, order, 1).ravel()})
 
-    def count(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"slice": pd.Series(dtype=str), "word": pd.Series(dtype=str), "c": pd.Series(dtype="int64")})
-        sims = unit_rows(a["vec"]) @ unit_rows(b["values"]).T
-        other = a["word"].to_numpy()[:, None] != b["name"].to_numpy()[None, :]
-        return pd.DataFrame({"slice": key[0], "word": a["word"], "c": ((sims > near) & other).sum(1)})
-
-    found = block_pairs(vecs.where(F.col("vec").isNotNull()), block).applyInPandas(count, "slice string, word string, c long")
-    return found.groupBy("slice", "word").agg(F.sum("c").alias("close"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "id string, neighbour string, sim double")
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def knn_graph(vecs: DataFrame, words: DataFrame, k: int = 10, knn: DataFrame | None = None) -> DataFrame:
