@@ -117,3 +117,51 @@ def project(df: DataFrame, mean: np.ndarray, components: np.ndarray, vector: str
             yield frame
 
     return df.mapInPandas(run, df.schema)
+
+
+def fit_pca_by(vecs: DataFrame, k: int, vector: str = "vec") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """slice -> (mean, components [k, d]) of each slice's vectors, all in one pass.
+
+    Tasks sum vectors and their outer products a slice, executors add the sums
+    up; a d x d matrix a slice comes to the driver. Each component's largest
+    entry is positive.
+    """
+    schema = "slice string, n long, s binary, m binary"
+
+    def sums(frames):
+        parts: dict[str, list] = {}
+        for frame in frames:
+            for name, rows in frame.groupby("slice"):
+                x = np.stack(rows[vector].to_numpy()).astype("f8")
+                own = parts.setdefault(name, [0, 0.0, 0.0])
+                own[0], own[1], own[2] = own[0] + len(x), own[1] + x.sum(0), own[2] + x.T @ x
+        yield pd.DataFrame([(name, n, s.tobytes(), m.tobytes()) for name, (n, s, m) in parts.items()], columns=["slice", "n", "s", "m"])
+
+    def added(key, parts: pd.DataFrame) -> pd.DataFrame:
+        total = [sum(np.frombuffer(bytes(b)) for b in parts[c]) for c in "sm"]
+        return pd.DataFrame([(key[0], int(parts["n"].sum()), total[0].tobytes(), total[1].tobytes())], columns=["slice", "n", "s", "m"])
+
+    found = vecs.where(F.col(vector).isNotNull()).select("slice", vector).mapInPandas(sums, schema).groupBy("slice").applyInPandas(added, schema).collect()
+    out = {}
+    for r in found:
+        mean = np.frombuffer(bytes(r.s)) / r.n
+        v = np.frombuffer(bytes(r.m)).reshape(len(mean), -1) / r.n - np.outer(mean, mean)
+        parts = np.linalg.eigh(v)[1][:, ::-1][:, :k].T
+        out[r.slice] = (mean, parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None])
+    return out
+
+
+def project_by(vecs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]], dims: int, vector: str = "vec") -> DataFrame:
+    """slice, word, ``vector`` as coordinates on its slice's components; 0 where there are fewer than ``dims``."""
+    shipped = vecs.sparkSession.sparkContext.broadcast(models)
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for name, v in zip(frame["slice"], frame[vector]):
+                mean, parts = shipped.value[name]
+                at = parts @ (np.asarray(v, "f8") - mean)
+                out.append(np.concatenate([at, np.zeros(dims - len(at))]))
+            yield pd.DataFrame({"slice": frame["slice"], "word": frame["word"], vector: out})
+
+    return vecs.where(F.col(vector).isNotNull()).select("slice", "word", vector).mapInPandas(run, f"slice string, word string, {vector} array<double>")

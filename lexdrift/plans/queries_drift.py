@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
 from lexdrift.functions.slices import midpoint
-from lexdrift.operators import analytics, communities, drift, knn
+from lexdrift.operators import analytics, communities, density, drift, knn, landscape
 from lexdrift.plans import fixtures as fx
 from lexdrift.plans.registry import query
 
@@ -29,6 +27,11 @@ SQL_SERIES = f"""with cells as ({SQL_CENTROIDS}),
     s as (select word, year, c, {dist('c', 'p')} as step_distance, {dist('c', 'f')} as anchor_distance, n as n_usages from lagged)"""
 
 
+def _fourths(vecs: DataFrame) -> DataFrame:
+    """domain, word: words dealt to four domains by their number."""
+    return vecs.select("word").distinct().select(F.concat(F.lit("d"), (F.substring("word", 5, 9).cast("int") % 4).cast("string")).alias("domain"), "word")
+
+
 def _cells(spark, sf_dir):
     return drift.centroids(fx.usages(spark, sf_dir), MIN_USAGES)
 
@@ -137,8 +140,7 @@ def dispersion(spark, sf_dir):
 @query(f"with v as ({fx.SQL_VECTORS}), d as (select slice, word, vec, 'd' || (substr(word, 5)::integer % 4) as domain from v), p as (select a.domain, a.slice, avg(list_cosine_similarity(a.vec, b.vec)) as coherence from d a join d b on a.domain = b.domain and a.slice = b.slice and a.word < b.word group by 1, 2) select domain, slice as time_slice, coherence from (select distinct domain, slice from d) left join p using (domain, slice)", "coherence")
 def domain_coherence(spark, sf_dir):
     vecs = fx.slice_vectors(spark, sf_dir)
-    domains = vecs.select("word").distinct().select(F.concat(F.lit("d"), (F.substring("word", 5, 9).cast("int") % 4).cast("string")).alias("domain"), "word")
-    return drift.coherence(vecs, domains)
+    return drift.coherence(vecs, _fourths(vecs))
 
 
 @query(f"with {SQL_SIMS} select slice, least(word, neighbour) as u, greatest(word, neighbour) as v, max(greatest(sim, 0)) as weight from k where rank <= {K} group by 1, 2, 3", "weight")
@@ -354,15 +356,24 @@ def drift_trajectory(spark, sf_dir):
 
 @query()
 def word_landscape(spark, sf_dir):
-    rows = fx.slice_vectors(spark, sf_dir)
+    vecs = fx.slice_vectors(spark, sf_dir)
+    counts = vecs.select("slice", "word", F.length("word").alias("cnt"))
+    return communities.landscape(vecs, counts, _fourths(vecs), 5)
 
-    def of_slice(name: str) -> DataFrame:
-        vecs = rows.where(F.col("slice") == name).select("word", "vec")
-        counts = vecs.select("word", F.length("word").alias("cnt"))
-        domains = vecs.select(F.concat(F.lit("d"), (F.substring("word", 5, 9).cast("int") % 4).cast("string")).alias("domain"), "word")
-        return communities.landscape(vecs, counts, domains, 5).withColumn("slice", F.lit(name))
 
-    return reduce(DataFrame.unionByName, [of_slice(r.slice) for r in rows.select("slice").distinct().orderBy("slice").collect()])
+@query()
+def density_clusters(spark, sf_dir):
+    return density.density_clusters(fx.slice_vectors(spark, sf_dir), 4, 2)
+
+
+@query()
+def words_on_last_map(spark, sf_dir):
+    """Every word of every slice on the map of the last one, as a trajectory needs it."""
+    vecs = fx.slice_vectors(spark, sf_dir)
+    last = vecs.where("slice = 'y2007'")
+    placed = landscape.neighbour_map(last, epochs=100)
+    points = vecs.select(F.concat_ws("/", "slice", "word").alias("id"), "vec")
+    return landscape.place_words(points, last, placed, 10).select("id", *(F.get("place", F.lit(i)).alias(c) for i, c in enumerate("xy")))
 
 
 @query()
