@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
-from lexdrift.operators import kernels
+from lexdrift.operators import kernels, pairs
 
 QUANTILES = [("q00", 0.0), ("q10", 0.1), ("q20", 0.2), ("q30", 0.3), ("q70", 0.7), ("q80", 0.8), ("q90", 0.9), ("q100", 1.0)]
 THRESHOLDS = [10, 25, 50, 100, 200, 300]
@@ -88,20 +88,17 @@ def survival(cells: DataFrame, thresholds: tuple[int, ...] = (100, 200, 300)) ->
     return cells.groupBy("year").agg(*[F.avg((F.col("n_usages") >= t).cast("double")).alias(f"frac_ge_{t}") for t in thresholds])
 
 
-def dip_by_word_year(usages: DataFrame, min_usages: int = 150, draws: int = 200) -> DataFrame:
-    """word, year, n_usages, dip, p_value, tested: unimodality of pairwise distances; cells under ``min_usages`` are kept untested."""
-    schema = "word string, year int, n_usages int, dip double, p_value double, tested boolean"
+def dip_by_word_year(usages: DataFrame, min_usages: int = 150, draws: int = 1000, ident: str = "usage_id", null_path: str | None = None) -> DataFrame:
+    """word, year, n_usages, dip, p_value, tested: unimodality of pairwise distances; cells under ``min_usages`` are kept untested.
 
-    def test(key, cell: pd.DataFrame) -> pd.DataFrame:
-        n = len(cell)
-        row = [key[0], key[1], n, None, None, False]
-        if n >= max(min_usages, 2):
-            d = kernels.pairwise_distances(np.stack(cell["emb"].to_numpy()))
-            value = kernels.dip(d)
-            row = [key[0], key[1], n, value, kernels.dip_p_value(value, len(d), draws), True]
-        return pd.DataFrame([row], columns=["word", "year", "n_usages", "dip", "p_value", "tested"])
-
-    return usages.where(F.col("emb").isNotNull()).select("word", F.col("year").cast("int").alias("year"), "emb").groupBy("word", "year").applyInPandas(test, schema)
+    Distances come from pairs of blocks, so a cell of any size is many tasks.
+    """
+    rows = usages.where(F.col("emb").isNotNull()).withColumn("year", F.col("year").cast("int"))
+    cells = rows.groupBy("word", "year").agg(F.count(F.lit(1)).cast("int").alias("n_usages"))
+    enough = cells.where(F.col("n_usages") >= max(min_usages, 2)).select("word", "year")
+    found = pairs.distance_summaries(rows.join(enough, ["word", "year"], "left_semi"), ["word", "year"], ident, draws, null_path=null_path)
+    told = cells.join(found.select("word", "year", "dip", F.col("dip_pvalue").alias("p_value")), ["word", "year"], "left")
+    return told.select("word", "year", "n_usages", "dip", "p_value", F.col("dip").isNotNull().alias("tested"))
 
 
 def monosemy_summary(dips: DataFrame, p: float = 0.10, k_pass: int = 5, max_fails: int = 0, dip_ceiling: float | None = None) -> DataFrame:
@@ -250,25 +247,33 @@ def density_curves(usages: DataFrame, max_per_year: int = 300, min_usages: int =
     return sampled.groupBy("word").applyInPandas(curves, "word string, kind string, year int, density array<double>")
 
 
-def word_statistics(usages: DataFrame, k_max: int = 6, draws: int = 100, weight: float = 0.05, least: int = 10, seed: int = 42) -> DataFrame:
-    """One row a word: moments of pairwise and of centroid distances, dips, two-means silhouette, and the bootstrapped number of components."""
-    names = ["word", "n_usages", "mean_dist", "median_dist", "std_dist", "mean_centroid_dist", "median_centroid_dist", "std_centroid_dist", "silhouette_k2", "dip", "dip_pvalue", "centroid_dip", "centroid_dip_pvalue", "k_mode", "k_mode_freq", "k_n_valid_bootstraps"]
-    kinds = ["string", "int", *["double"] * 11, "int", "double", "int"]
+def word_statistics(usages: DataFrame, k_max: int = 6, draws: int = 100, weight: float = 0.05, least: int = 10, seed: int = 42, most: int = 1000, null_draws: int = 1000, ident: str = "usage_id") -> DataFrame:
+    """One row a word: moments of pairwise and of centroid distances, dips, two-means silhouette, and the bootstrapped number of components.
+
+    Distances are those of all usages. Clusters and components are fitted on at
+    most ``most`` usages a word, a seeded sample, as pilot studies draw them.
+    """
+    from lexdrift.operators.drift import centroid_distances
+    from lexdrift.operators.usages import sample_per_key
 
-    def stats(key, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["emb"].to_numpy()).astype("f8")
-        d = kernels.pairwise_distances(x)
-        u = kernels.unit_matrix(x)
-        mean = u.mean(0)
-        c = 1 - u @ (mean / (np.linalg.norm(mean) + 1e-10))
+    rows = usages.where(F.col("emb").isNotNull())
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n_usages"))
+    nulls = pairs.null_dips(usages.sparkSession, (counts.agg(F.max("n_usages")).first()[0] or 0) ** 2 // 2, null_draws, seed)
+    four = lambda c: F.when(F.col("n_values") > 3, F.col(c))
+    name = lambda p, d: [*(F.col(c).alias(f"{c}_{p}") for c in ("mean", "median", "std")), four("dip").alias(d), four("dip_pvalue").alias(f"{d}_pvalue")]
+    between = pairs.summaries(pairs.pair_bins(rows, ["word"], ident), ["word"], nulls).select("word", *name("dist", "dip"))
+    from_centre = pairs.summaries(pairs.value_bins(centroid_distances(rows, ["word"]), ["word"], "centroid_dist"), ["word"], nulls).select("word", *name("centroid_dist", "centroid_dip"))
+    schema = "word string, silhouette_k2 double, k_mode int, k_mode_freq double, k_n_valid_bootstraps int"
+
+    def parts(key, own: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(own["emb"].to_numpy()).astype("f8")
         enough = len(x) >= least
         silhouette = kernels.cosine_silhouette(x, kernels.kmeans(x, 2, seed)) if enough else None
-        of = lambda v: [v.mean(), np.median(v), v.std()] if len(v) else [None] * 3
-        dips = [y for v in (d, c) for y in ((kernels.dip(v), kernels.dip_p_value(kernels.dip(v), len(v))) if len(v) > 3 else (None, None))]
-        parts = kernels.bootstrap_components(x, k_max, draws, weight, seed) if enough else (None, None, 0)
-        return pd.DataFrame([[key[0], len(x), *of(d), *of(c), silhouette, *dips, *parts]], columns=names)
+        found = kernels.bootstrap_components(x, k_max, draws, weight, seed) if enough else (None, None, 0)
+        return pd.DataFrame([[key[0], silhouette, *found]], columns=["word", "silhouette_k2", "k_mode", "k_mode_freq", "k_n_valid_bootstraps"])
 
-    return usages.where(F.col("emb").isNotNull()).select("word", "emb").groupBy("word").applyInPandas(stats, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    fitted = sample_per_key(rows, ["word"], [ident], most, seed).select("word", "emb").groupBy("word").applyInPandas(parts, schema)
+    return counts.join(between, "word", "left").join(from_centre, "word", "left").join(fitted, "word", "left")
 
 
 def pages_of(df: DataFrame, order: list[Column], size: int = 25) -> DataFrame:

@@ -20,26 +20,30 @@ def pairwise_distances(rows) -> np.ndarray:
 
 
 def dip(values) -> float:
-    """Hartigan and Hartigan's dip: the least largest distance between the empirical distribution and a unimodal one.
+    """Hartigan and Hartigan's dip: the least largest distance between the empirical distribution and a unimodal one."""
+    x, n = np.unique(np.asarray(values, "f8"), return_counts=True)
+    return dip_of_counts(x, n) if len(x) else 0.0
+
+
+def dip_of_counts(x: np.ndarray, n: np.ndarray) -> float:
+    """The dip of values ``x``, ascending and different, that occur ``n`` times.
 
     For a mode interval, the best unimodal curve runs along the greatest convex
     minorant before it and the least concave majorant after it. The interval
     shrinks until the gap between the two within it no longer exceeds the gaps
     outside it.
     """
-    x = np.sort(np.asarray(values, "f8"))
-    n = len(x)
-    if n < 2 or x[0] == x[-1]:
-        return 1 / (2 * n) if n else 0.0
-    low, high, worst = 0, n - 1, 1.0
+    above = np.cumsum(n).astype("f8")
+    below, total = above - n, above[-1]
+    if len(x) < 2:
+        return 1 / (2 * total)
+    low, high, worst = 0, len(x) - 1, 1.0
     while True:
-        minor, major = hull(x, low, high, convex=True), hull(x, low, high, convex=False)
+        # Steps are touched from below by the minorant and from above by the majorant.
+        minor, major = hull(x, below, low, high, convex=True), hull(x, above, low, high, convex=False)
         at = np.arange(low, high + 1)
-        below = np.interp(x[at], x[minor], minor) if len(minor) > 1 else at.astype("f8")
-        above = np.interp(x[at], x[major], major) if len(major) > 1 else at.astype("f8")
-        # Counts at knots: the minorant touches steps from below (k), the majorant from above (k + 1).
-        gap_minor = above[minor - low] - minor + 1
-        gap_major = major - below[major - low] + 1
+        under, over = np.interp(x[at], x[minor], below[minor]), np.interp(x[at], x[major], above[major])
+        gap_minor, gap_major = over[minor - low] - below[minor], above[major] - under[major - low]
         a, b = int(gap_minor.argmax()), int(gap_major.argmax())
         gap = max(gap_minor[a], gap_major[b])
         if gap_minor[a] >= gap_major[b]:
@@ -50,26 +54,23 @@ def dip(values) -> float:
             new_low = minor[np.searchsorted(minor, new_high, side="right") - 1]
         if gap <= worst:
             break
-        left = at[(at >= low) & (at <= new_low)]
-        right = at[(at >= new_high) & (at <= high)]
-        outside_left = (left - below[left - low] + 1).max(initial=0)
-        outside_right = (above[right - low] - right + 1).max(initial=0)
-        worst = max(worst, outside_left, outside_right)
+        left, right = at[at <= new_low], at[at >= new_high]
+        worst = max(worst, (above[left] - under[left - low]).max(initial=0), (over[right - low] - below[right]).max(initial=0))
         if (new_low, new_high) == (low, high) or new_low >= new_high:
             break
         low, high = int(new_low), int(new_high)
-    return worst / (2 * n)
+    return worst / (2 * total)
 
 
-def hull(x: np.ndarray, low: int, high: int, convex: bool) -> np.ndarray:
-    """Knots of the convex minorant or concave majorant of (x, rank) between two places."""
+def hull(x: np.ndarray, y: np.ndarray, low: int, high: int, convex: bool) -> np.ndarray:
+    """Places of the knots of the convex minorant or concave majorant of (x, y) between two places."""
     knots: list[int] = []
-    sign = 1 if convex else -1
+    sign, xs, ys = 1 if convex else -1, x.tolist(), y.tolist()
     for k in range(low, high + 1):
         while len(knots) > 1:
             i, j = knots[-2], knots[-1]
             # Drop j where the slope i-j exceeds (minorant) or undercuts (majorant) the slope j-k.
-            if sign * ((j - i) * (x[k] - x[j]) - (k - j) * (x[j] - x[i])) >= 0:
+            if sign * ((ys[j] - ys[i]) * (xs[k] - xs[j]) - (ys[k] - ys[j]) * (xs[j] - xs[i])) >= 0:
                 knots.pop()
             else:
                 break
@@ -77,23 +78,38 @@ def hull(x: np.ndarray, low: int, high: int, convex: bool) -> np.ndarray:
     return np.array(knots)
 
 
+#: Sizes at which the dip's distribution under uniformity is tabulated, each about a root of two over the one before.
+DIP_SIZES = [int(round(2 ** (k / 2))) for k in range(4, 25)]
+
+
 @lru_cache(maxsize=256)
 def uniform_dips(n: int, draws: int, seed: int) -> np.ndarray:
     """Sorted dips of ``draws`` uniform samples of size ``n``."""
-    rng = np.random.default_rng(seed + n)
+    rng = np.random.default_rng([seed, n])
     return np.sort([dip(rng.random(n)) for _ in range(draws)])
 
 
-def dip_p_value(value: float, n: int, draws: int = 200, seed: int = 42, largest: int = 400) -> float:
-    """Share of uniform samples with a dip at least as large. Beyond ``largest`` the root-n scaled dip is compared at that size."""
+def dip_p_value(value: float, n: int, draws: int = 200, seed: int = 42, nulls: dict[int, np.ndarray] | None = None) -> float:
+    """Share of uniform samples of size ``n`` with a dip at least as large.
+
+    Root n times the dip is looked up at the tabulated sizes next to ``n`` and
+    interpolated along 1 / root n, in which its distribution settles. Beyond
+    the largest size the limit counts as reached. ``nulls``: sorted dips by
+    size; without them they are drawn here.
+    """
     if n < 4:
         return 1.0
-    size = min(n, largest)
-    if size > 64:  # sizes on a grid share their table
-        size = min(largest, int(round(size / 16)) * 16)
-    table = uniform_dips(size, draws, seed)
-    scaled = value * np.sqrt(n / size)
-    return float((len(table) - np.searchsorted(table, scaled, side="left")) / len(table))
+    sizes = sorted(nulls) if nulls else DIP_SIZES
+    at = int(np.searchsorted(sizes, n))
+    near = [sizes[min(at, len(sizes) - 1)]] if at == len(sizes) or sizes[at] == n or at == 0 else [sizes[at - 1], sizes[at]]
+    shares = []
+    for size in near:
+        table = nulls[size] if nulls else uniform_dips(size, draws, seed)
+        shares.append(float((len(table) - np.searchsorted(table, value * np.sqrt(n / size) * (1 - 1e-12), side="left")) / len(table)))
+    if len(near) == 1:
+        return shares[0]
+    low, high, here = (1 / np.sqrt(q) for q in (near[0], near[1], n))
+    return float(shares[0] + (shares[1] - shares[0]) * (low - here) / (low - high))
 
 
 def kde(values, grid: np.ndarray, least: int = 10) -> np.ndarray | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
 from lexdrift.functions.slices import midpoint
-from lexdrift.operators import analytics, communities, density, drift, knn, landscape
+from lexdrift.operators import analytics, communities, density, drift, knn, landscape, pairs
 from lexdrift.plans import fixtures as fx
 from lexdrift.plans.registry import query
 
@@ -336,7 +336,12 @@ def bootstrap_intervals(spark, sf_dir):
 
 @query()
 def dip_tests(spark, sf_dir):
-    return analytics.dip_by_word_year(fx.usages(spark, sf_dir), 4, 50)
+    return analytics.dip_by_word_year(fx.usages(spark, sf_dir), 4, 200)
+
+
+@query(f"with u as ({SQL_UNIT}) select a.word, count(*) as n_values, avg(1 - list_dot_product(a.u, b.u)) as mean, stddev_pop(1 - list_dot_product(a.u, b.u)) as std from u a join u b on a.word = b.word and a.usage_id < b.usage_id group by 1", "mean std", "n_values")
+def pair_moments(spark, sf_dir):
+    return pairs.summaries(pairs.pair_bins(fx.usages(spark, sf_dir), ["word"], block=64), ["word"]).select("word", "n_values", "mean", "std")
 
 
 @query()
@@ -346,7 +351,7 @@ def density_curves(spark, sf_dir):
 
 @query()
 def word_statistics(spark, sf_dir):
-    return analytics.word_statistics(fx.usages(spark, sf_dir), draws=5)
+    return analytics.word_statistics(fx.usages(spark, sf_dir), draws=5, null_draws=50)
 
 
 @query()
