@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
+from lexdrift.functions.special import correlation_p
 from lexdrift.operators import kernels, pairs
 
 QUANTILES = [("q00", 0.0), ("q10", 0.1), ("q20", 0.2), ("q30", 0.3), ("q70", 0.7), ("q80", 0.8), ("q90", 0.9), ("q100", 1.0)]
@@ -170,18 +171,12 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho, n, p_value: Pearson's r of average ranks; p by the normal limit of Fisher's transform."""
+    """rho, n, p_value: Pearson's r of average ranks; two-sided p by Student's t."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = ranks.average_rank(ranks.average_rank(rows, x, "__a"), y, "__b")
+    # Two steps, so that the correlation is one value within the long expression of p.
     out = both.agg(F.corr("__a", "__b").alias("rho"), F.count(F.lit(1)).alias("n"))
-    # t with n - 2 degrees, taken as normal after the usual correction for few degrees.
-    t = F.abs(F.col("rho")) * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    d = F.col("n") - 2
-    z = F.sqrt(d * F.log1p(t * t / d)) * (1 - 3 / (4 * d))
-    # Upper normal tail by Abramowitz and Stegun 26.2.17.
-    k = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * k * (0.31938153 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    return out.withColumn("p_value", F.when((F.col("n") > 3) & (F.abs("rho") < 1), 2 * tail).when(F.abs("rho") == 1, F.lit(0.0)))
+    return out.withColumn("p_value", correlation_p(F.col("rho"), F.col("n")))
 
 
 def summary_table(shift_rows: DataFrame, dispersion: DataFrame, terms: DataFrame, mids: Column) -> DataFrame:
@@ -276,6 +271,35 @@ def word_statistics(usages: DataFrame, k_max: int = 6, draws: int = 100, weight:
     return counts.join(between, "word", "left").join(from_centre, "word", "left").join(fitted, "word", "left")
 
 
+def cumulative_limits(shift_rows: DataFrame, value: str = "combined_shift") -> DataFrame:
+    """median, p95, n of the words' cumulative shifts; nulls add nothing, a word without a valid one counts 0."""
+    totals = shift_rows.groupBy("word").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("t"))
+    return totals.agg(F.percentile("t", F.lit(0.5)).alias("median"), F.percentile("t", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n"))
+
+
+def dip_order(summary: DataFrame) -> list[Column]:
+    """The order in which monosemous words are shown: more passing years first, then the smaller largest dip, then the larger mean p, then the word."""
+    return [F.desc("n_pass"), F.asc_nulls_last("max_dip_tested"), F.desc_nulls_last("mean_p_passing"), F.asc("word")]
+
+
+def word_arrays(usages: DataFrame, years: list[int], max_per_year: int = 300, min_usages: int = 2, points: int = 200, upto: float = 1.5, seed: int = 42) -> DataFrame:
+    """word, mean, var (years x years), within (years x points), consecutive (years - 1 x points): the four arrays of a word on one grid of years.
+
+    Entries without enough usages are null; a word needs two years with enough.
+    """
+    moments = block_moments(usages, max_per_year, min_usages, seed)
+    curves = density_curves(usages, max_per_year, min_usages, points, upto, seed)
+    several = moments.where("year_a < year_b").select("word").distinct()
+    cells = moments.unionByName(moments.where("year_a < year_b").select("word", F.col("year_b").alias("year_a"), F.col("year_a").alias("year_b"), "mean_dist", "var_dist", "n_pairs"))
+    grid = F.array(*[F.lit(y) for y in years])
+    wide = cells.groupBy("word").agg(*[F.map_from_entries(F.collect_list(F.struct(F.struct("year_a", "year_b"), c))).alias(c) for c in ("mean_dist", "var_dist")])
+    square = lambda c: F.transform(grid, lambda a: F.transform(grid, lambda b: F.try_element_at(c, F.struct(a.alias("year_a"), b.alias("year_b")))))
+    lines = curves.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "year"), "density"))).alias("d"))
+    row = lambda kind, ys: F.transform(ys, lambda y: F.try_element_at(F.col("d"), F.struct(F.lit(kind).alias("kind"), y.alias("year"))))
+    out = wide.join(several, "word", "left_semi").join(lines, "word", "left")
+    return out.select("word", square(F.col("mean_dist")).alias("mean"), square(F.col("var_dist")).alias("var"), row("within", grid).alias("within"), row("consecutive", F.slice(grid, 1, max(0, len(years) - 1))).alias("consecutive"))
+
+
 def pages_of(df: DataFrame, order: list[Column], size: int = 25) -> DataFrame:
     """``df`` with page (from 0) of a fixed number of rows in the given order."""
     return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))

@@ -91,6 +91,12 @@ def dispersion(vecs: DataFrame, k: int = 25, knn: DataFrame | None = None, near:
     return rows.select("word", F.col("slice").alias("time_slice"), "dispersion", "density", F.coalesce("close", F.lit(0)).alias("neighborhood_size"))
 
 
+def neighbourhood_sizes(vecs: DataFrame, words: DataFrame, near: float = 0.5) -> DataFrame:
+    """word, time_slice, neighborhood_size of each given word in each slice; a word that a slice lacks counts 0."""
+    grid = words.select("word").distinct().crossJoin(F.broadcast(vecs.select("slice").distinct()))
+    return grid.join(close_counts(vecs, near), ["slice", "word"], "left").select("word", F.col("slice").alias("time_slice"), F.coalesce("close", F.lit(0)).alias("neighborhood_size"))
+
+
 def coherence(vecs: DataFrame, domains: DataFrame) -> DataFrame:
     """domain, time_slice, coherence: mean pairwise cosine of a domain's words in a slice; null below two. ``domains``: domain, word."""
     rows = vecs.join(F.broadcast(domains), "word").select("domain", "slice", unit(F.col("vec")).alias("u"))
@@ -110,8 +116,10 @@ def cumulative_shift(shift_rows: DataFrame, value: str = "cosine_shift", name: s
     return shift_rows.withColumn(name, F.when(F.col(value).isNotNull(), F.sum(value).over(run)))
 
 
-def top_drifters(shift_rows: DataFrame, n: int = 12) -> DataFrame:
-    return total_drift(shift_rows).orderBy(F.desc("total_drift"), "word").limit(n)
+def top_drifters(shift_rows: DataFrame, n: int = 12, most_stable: bool = False) -> DataFrame:
+    """The ``n`` words that moved most, or least; ties by word."""
+    by = F.asc("total_drift") if most_stable else F.desc("total_drift")
+    return total_drift(shift_rows).orderBy(by, "word").limit(n)
 
 
 def frequency_percentiles(means: DataFrame, bins: int = 100) -> DataFrame:

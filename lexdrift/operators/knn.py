@@ -63,10 +63,12 @@ def scan(vecs: DataFrame, k: int, near: float | None = None, block: int = BLOCK,
         n = min(k, sims.shape[1])
         order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
         values = np.take_along_axis(sims, order, 1).ravel()
-        out = pd.DataFrame({"slice": name, "word": np.repeat(words, n), "neighbour": others[order.ravel()], "sim": values, "close": 0})[np.isfinite(values)]
-        if near is None:
-            return out
-        return pd.concat([out, pd.DataFrame({"slice": name, "word": words, "neighbour": None, "sim": None, "close": (sims > near).sum(1)})])
+        found = np.isfinite(values)
+        columns = {"word": np.repeat(words, n)[found], "neighbour": others[order.ravel()][found], "sim": values[found], "close": np.zeros(found.sum(), "i8")}
+        if near is not None:
+            more = {"word": words, "neighbour": np.full(len(words), None), "sim": np.full(len(words), np.nan), "close": (sims > near).sum(1)}
+            columns = {c: np.concatenate([v, more[c]]) for c, v in columns.items()}
+        return pd.DataFrame({"slice": name} | columns)
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

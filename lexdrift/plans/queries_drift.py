@@ -310,10 +310,42 @@ def shift_correlation(spark, sf_dir):
     return analytics.pearson(rows, "c", "j")
 
 
-@query(f"with c as (select n_usages as x, step_distance as y from ({fx.SQL_CELLS}) join ({fx.SQL_STEPS}) using (word, year)), r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as a, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as b from c) select corr(a, b) as rho, count(*) as n from r", "rho")
+# Two-sided p by Simpson's rule over the angle of Student's t.
+@query(
+    f"""with c as (select n_usages as x, step_distance as y from ({fx.SQL_CELLS}) join ({fx.SQL_STEPS}) using (word, year)),
+    r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as a, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as b from c),
+    o as (select corr(a, b) as rho, count(*) as n, asin(least(1.0, abs(corr(a, b)))) as top from r),
+    i as (select sum(case when k in (0, 20000) then 1 when k % 2 = 1 then 4 else 2 end * pow(cos(top * k / 20000), n - 3)) * any_value(top) / 20000 / 3 as area from o, range(20001) as t(k))
+    select rho, n, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * area as p_value from o, i""",
+    "rho p_value")
 def count_step_spearman(spark, sf_dir):
     rows = fx.cells(spark, sf_dir).join(fx.steps(spark, sf_dir), ["word", "year"])
-    return analytics.spearman(rows, "n_usages", "step_distance").drop("p_value")
+    return analytics.spearman(rows, "n_usages", "step_distance")
+
+
+@query(f"select word, coalesce(sum(combined_shift), 0) as total_drift, count(combined_shift) as n_pairs from ({fx.SQL_SHIFTS}) group by 1 order by 2, 1 limit 25", "total_drift")
+def most_stable_words(spark, sf_dir):
+    return drift.top_drifters(fx.shift_rows(spark, sf_dir), 25, most_stable=True)
+
+
+@query(f"select quantile_cont(t, 0.5) as median, quantile_cont(t, 0.95) as p95, count(*) as n from (select word, coalesce(sum(combined_shift), 0) as t from ({fx.SQL_SHIFTS}) group by 1)", "median p95")
+def cumulative_limits(spark, sf_dir):
+    return analytics.cumulative_limits(fx.shift_rows(spark, sf_dir))
+
+
+SQL_MONO = f"select word, count(*) filter (tested and p_value >= 0.1) as n_pass, max(dip) as max_dip_tested, avg(p_value) filter (p_value >= 0.1) as mean_p_passing from ({fx.SQL_DIPS}) group by 1"
+
+
+@query(f"select word, (row_number() over (order by n_pass desc, max_dip_tested nulls last, mean_p_passing desc nulls last, word) - 1) // 25 as page from ({SQL_MONO})", wholes="page")
+def monosemy_pages(spark, sf_dir):
+    summary = analytics.monosemy_summary(fx.dips(spark, sf_dir), 0.10, 5, 1)
+    return analytics.pages_of(summary, analytics.dip_order(summary), 25).select("word", "page")
+
+
+@query(f"with v as ({fx.SQL_VECTORS}), w as (select distinct word from v union select 'absent'), c as (select a.slice, a.word, count(*) filter (list_dot_product(a.vec, b.vec) / ((sqrt(list_dot_product(a.vec, a.vec)) + 1e-10) * (sqrt(list_dot_product(b.vec, b.vec)) + 1e-10)) > 0.3) as n from v a join v b on a.slice = b.slice and a.word <> b.word group by 1, 2) select w.word, s.slice as time_slice, coalesce(n, 0) as neighborhood_size from w cross join (select distinct slice from v) s left join c on c.slice = s.slice and c.word = w.word", wholes="neighborhood_size")
+def neighbourhood_sizes(spark, sf_dir):
+    vecs = fx.slice_vectors(spark, sf_dir)
+    return drift.neighbourhood_sizes(vecs, vecs.select("word").unionByName(spark.createDataFrame([("absent",)], "word string")), 0.3)
 
 
 @query(f"with t as (select word, sum(combined_shift) as total from ({fx.SQL_SHIFTS}) group by 1 having sum(combined_shift) is not null), p as (select word, total, (select count(*) from t b where b.total >= a.total) as place, 100.0 * (select count(*) from t b where b.total < a.total) / (select count(*) from t) as percentile from t a), s as (select word, case when count(*) >= 5 then regr_slope(step_distance, year) end as trend from ({fx.SQL_STEPS}) group by 1) select p.*, trend from p left join s using (word) where word like 'u1%'", "total percentile trend", "place")
@@ -344,9 +376,23 @@ def pair_moments(spark, sf_dir):
     return pairs.summaries(pairs.pair_bins(fx.usages(spark, sf_dir), ["word"], block=64), ["word"]).select("word", "n_values", "mean", "std")
 
 
-@query()
+SQL_CURVES = f"""u as ({SQL_UNIT}), ok as (select word, year from u group by 1, 2 having count(*) >= {MIN_USAGES}), v as (select u.* from u join ok using (word, year)),
+    d as (select a.word, 'within' as kind, a.year, 1 - list_dot_product(a.u, b.u) as x from v a join v b on a.word = b.word and a.year = b.year and a.usage_id < b.usage_id
+        union all select a.word, 'consecutive', a.year, 1 - list_dot_product(a.u, b.u) from v a join v b on a.word = b.word and b.year = a.year + 1),
+    k as (select word, kind, year, count(*) as n, stddev_samp(x) * pow(count(*), -0.2) as h from d group by 1, 2, 3)"""
+
+
+@query(
+    f"""with {SQL_CURVES}, g as (select word, kind, year, p, sum(exp(-0.5 * pow((1.5 * p / 199 - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) as y from d join k using (word, kind, year), range(200) as t(p) where n >= 10 and h > 0 group by 1, 2, 3, 4),
+    c as (select word, kind, year, list(round(y, 6) + 0.0 order by p) as density from g group by 1, 2, 3) select k.word, k.kind, k.year, c.density from k left join c on c.word = k.word and c.kind = k.kind and c.year = k.year""",
+    wholes="year")
 def density_curves(spark, sf_dir):
-    return analytics.density_curves(fx.usages(spark, sf_dir)).withColumn("density", F.transform("density", lambda x: F.round(x, 6)))
+    return analytics.density_curves(fx.usages(spark, sf_dir)).withColumn("density", F.transform("density", lambda x: F.round(x, 6) + 0.0))
+
+
+@query()
+def word_arrays(spark, sf_dir):
+    return analytics.word_arrays(fx.usages(spark, sf_dir), list(range(2000, 2008)), points=50)
 
 
 @query()
@@ -403,7 +449,13 @@ def neighbour_snapshot(spark, sf_dir):
     return drift.neighbour_snapshot(knn.neighbours(vecs, K), vecs.select("word"), K)
 
 
-@query()
+@query(
+    f"""with {SQL_SIMS}, o as (select neighbour from k where slice = 'y2000' and word = 'word0003' and rank <= {K}), n as (select neighbour from k where slice = 'y2001' and word = 'word0003' and rank <= {K}),
+    l as (select word, vec from v where slice = 'y2001'), e as (select i, avg(vec[i]) as x from l join o on o.neighbour = l.word, range(1, 65) as t(i) group by 1), f as (select i, avg(vec[i]) as x from l join n on n.neighbour = l.word, range(1, 65) as t(i) group by 1),
+    d as (select list(f.x - e.x order by i) as direction from e join f using (i))
+    select 'word0003' as word, list_transform(direction, lambda x: round(x, 6) + 0.0) as direction, sqrt(list_dot_product(direction, direction)) as magnitude,
+        coalesce((select list(neighbour order by neighbour) from n where neighbour not in (select neighbour from o)), []) as gained, coalesce((select list(neighbour order by neighbour) from o where neighbour not in (select neighbour from n)), []) as lost from d""",
+    "magnitude")
 def directional_shift(spark, sf_dir):
     found = drift.directional_shift(fx.slice_vectors(spark, sf_dir), "word0003", "y2000", "y2001", K)
-    return found.withColumn("direction", F.transform("direction", lambda x: F.round(x, 6)))
+    return found.withColumn("direction", F.transform("direction", lambda x: F.round(x, 6) + 0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import slices
 from lexdrift.functions.wordlists import CITATIONS, LATIN_PHRASES, STOP_WORDS
+from lexdrift.lineage import cut
 from lexdrift.operators import phrases, text, usages, vocabulary
 from lexdrift.plans import fixtures as fx
 from lexdrift.plans.registry import query
@@ -91,6 +92,12 @@ def v_anchor(spark, sf_dir):
     return vocabulary.anchors_of_counts(_counts(spark, sf_dir))
 
 
+@query(f"with c as ({SQL_COUNTS}), a as (select word from ({SQL_SPREAD}) where n_slices >= 12), h as (select word, count(*) / sum(1.0 / cnt) as hmean from c semi join a using (word) group by 1 having count(*) >= 3), t as (select word, hmean, row_number() over (order by round(hmean, 9) desc, word) as rank from h) select * from t where rank <= 100", "hmean", "rank")
+def anchors_of_a_tier(spark, sf_dir):
+    counts = cut(_counts(spark, sf_dir), "counts")
+    return vocabulary.v_anchor(counts, vocabulary.v_analysis(counts, 3, 12, []), 100)
+
+
 @query(f"with w as (select unnest(['court', 'er', 'on', 'nosuchword', 'nt', 'tion']) as word), c as (select word, sum(cnt) as n from ({SQL_COUNTS}) group by 1) select word, coalesce(n, 0) as freq from w left join c using (word)", wholes="freq")
 def corpus_frequency(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in ("court", "er", "on", "nosuchword", "nt", "tion")], "word string")
@@ -103,9 +110,27 @@ def shared_vocabulary(spark, sf_dir):
     return vocabulary.intersect_vocabularies(counts.where("slice = 'y2001'"), counts.where("slice = 'y2002'"))
 
 
-@query(f"select word, n_slices, ceil(len(word) / 3.0) as n_subwords from ({SQL_SPREAD}) where n_slices >= 3 and not contains(word, '_') and len(word) >= 4 and len(word) <= 15", wholes="n_subwords")
+def _pieces(words):
+    """piece: beginnings of up to four letters and later parts of up to three that three words or more share."""
+    lengths = lambda most: F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")
+    begins = words.select("word", lengths(4)).where("length(word) >= n").select("word", F.expr("substring(word, 1, n)").alias("piece"))
+    inner = words.where("length(word) > 1").select("word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("at")).select("word", "at", lengths(3)).where("at + n - 1 <= length(word)").select("word", F.expr("concat('##', substring(word, at, n))").alias("piece"))
+    return begins.unionByName(inner).groupBy("piece").agg(F.countDistinct("word").alias("n")).where("n >= 3").select("piece")
+
+
+@query(
+    f"""with recursive w as materialized (select word, n_slices from ({SQL_SPREAD}) where n_slices >= 3),
+    p as materialized (select piece from (select word, substr(word, 1, n) as piece from w, unnest([1, 2, 3, 4]) as t(n) where len(word) >= n
+        union all select word, '##' || substr(word, i, n) from w, unnest(range(2, len(word) + 1)) as s(i), unnest([1, 2, 3]) as t(n) where i + n - 1 <= len(word)) group by 1 having count(distinct word) >= 3),
+    f as materialized (select word, n_slices from w where not contains(word, '_') and len(word) >= 4),
+    e as materialized (select f.word, s.i, max(n) as n from f, unnest(range(1, len(f.word) + 1)) as s(i), unnest([1, 2, 3, 4]) as t(n) join p on p.piece = case when s.i = 1 then '' else '##' end || substr(f.word, s.i, t.n) where s.i + t.n - 1 <= len(f.word) group by 1, 2),
+    c as (select word, 1 as i, 0 as k from f union all select c.word, c.i + e.n, c.k + 1 from c join e on e.word = c.word and e.i = c.i),
+    d as materialized (select c.word, max(case when c.i = len(c.word) + 1 then c.k end) as k from c group by 1)
+    select f.word, f.n_slices, coalesce(d.k, 1) as n_subwords from f join d on d.word = f.word where coalesce(d.k, 1) <= 5""",
+    wholes="n_subwords")
 def v_bert(spark, sf_dir):
-    return vocabulary.v_bert(vocabulary.v_global(_counts(spark, sf_dir)), F.ceil(F.length("word") / 3.0))
+    words = cut(vocabulary.v_global(_counts(spark, sf_dir)), "words")
+    return vocabulary.v_bert(words, _pieces(words.select("word")))
 
 
 SQL_PAIRS = f"""s as ({SQL_SENTENCES}), w as (select word, count(*) as n from (select unnest(tokens) as word from s) where word <> 'without' group by 1),
