@@ -1,32 +1,65 @@
-"""A Python data source over a SPARQL endpoint, whose pages are partitions or follow each other, and a fetcher of documents."""
+"""A Python data source over a SPARQL endpoint, whose pages are dealt to lanes or follow each other, and a fetcher of documents.
+
+Whatever is read by several tasks keeps one rate in all: time since a common
+start is cut into slots of ``interval`` seconds, and the k-th of n lanes sends
+only at the beginnings of slots k, k + n, k + 2 n and so on. A lane that is late
+waits for its next slot, so no two requests are closer than the interval,
+however long answers take and however many lanes run at once. Clocks of the
+machines are taken to agree.
+"""
 
 from __future__ import annotations
 
+import http.client
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: What a request may end with and be tried again.
+FAILURES = (OSError, http.client.HTTPException, ValueError)
+
+
+class Slots:
+    """The times at which one of ``lanes`` lanes may send."""
+
+    def __init__(self, start: float, interval: float, lane: int = 0, lanes: int = 1):
+        self.start, self.interval, self.lane, self.lanes, self.last = start, interval, lane, lanes, -1
+
+    def next(self, now: float) -> float:
+        """The beginning of this lane's first slot from ``now`` on that it has not used."""
+        turn = max(self.last + 1, math.ceil(((now - self.start) / self.interval - self.lane) / self.lanes) if self.interval else 0)
+        self.last = turn
+        return self.start + (self.lane + turn * self.lanes) * self.interval
+
+    def wait(self) -> None:
+        if self.interval:
+            time.sleep(max(0.0, self.next(time.time()) - time.time()))
 
-class Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        super().__init__((offset, limit))
-        self.offset, self.limit = offset, limit
+
+class Lane(InputPartition):
+    """Every ``lanes``-th page from ``lane`` on of ``pages`` (offset, limit); without pages it reads until a short one."""
+
+    def __init__(self, lane: int, lanes: int, start: float, pages: list[tuple[int, int]] | None):
+        super().__init__((lane, lanes))
+        self.lane, self.lanes, self.start, self.pages = lane, lanes, start, pages
 
 
 class SparqlReader(DataSourceReader):
-    """Options: endpoint, query (without OFFSET and LIMIT, ordered totally), columns, total, page_size, max_items, interval seconds between a task's requests.
+    """Options: endpoint, query (without OFFSET and LIMIT, ordered totally), columns, total, page_size, max_items, tasks, interval seconds between any two requests.
 
-    Without ``total`` one task reads page after page until a short one, thus at
-    one rate for the whole scan; with it pages are read side by side.
-    ``max_items`` bounds the rows of either.
+    Without ``total`` one task reads page after page until a short one; with it
+    ``tasks`` lanes (4) read pages side by side, at one rate in all. ``max_items``
+    bounds the rows of either.
     """
 
     def __init__(self, schema: StructType, options: dict):
@@ -34,37 +67,43 @@ class SparqlReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        size, most = int(self.options.get("page_size", 10_000)), int(self.options.get("max_items", 0))
+        size, most, now = int(self.options.get("page_size", 10_000)), int(self.options.get("max_items", 0)), time.time()
         if "total" not in self.options:
-            return [Page(0, -1)]
+            return [Lane(0, 1, now, None)]
         total = min(int(self.options["total"]), most or 1 << 62)
-        return [Page(k, min(size, total - k)) for k in range(0, total, size)]
-
-    def read(self, page: Page):
-        if page.limit >= 0:
-            yield from self.rows(page)
+        pages = [(k, min(size, total - k)) for k in range(0, total, size)]
+        lanes = max(1, min(int(self.options.get("tasks", 4)), len(pages)))
+        return [Lane(k, lanes, now, pages[k::lanes]) for k in range(lanes)]
+
+    def read(self, lane: Lane):
+        slots = Slots(lane.start, float(self.options.get("interval", 1.0)), lane.lane, lane.lanes)
+        if lane.pages is not None:
+            for offset, limit in lane.pages:
+                yield from self.rows(offset, limit, slots)
             return
         size, most, at = int(self.options.get("page_size", 10_000)), int(self.options.get("max_items", 0)) or 1 << 62, 0
         while at < most:
             n = 0
-            for row in self.rows(Page(at, min(size, most - at))):
+            for row in self.rows(at, min(size, most - at), slots):
                 n += 1
                 yield row
             at += n
             if n < size:
                 return
 
-    def rows(self, page: Page):
-        query = f"{self.options['query']}\nOFFSET {page.offset}\nLIMIT {page.limit}"
+    def rows(self, offset: int, limit: int, slots: Slots):
+        query = f"{self.options['query']}\nOFFSET {offset}\nLIMIT {limit}"
         body = urllib.parse.urlencode({"query": query}).encode()
         ask = urllib.request.Request(self.options["endpoint"], body, {"Accept": "application/sparql-results+json"})
         for attempt in range(3):
-            time.sleep(float(self.options.get("interval", 1.0)) * 2**attempt)
+            if attempt:
+                time.sleep(slots.interval * 2**attempt)
+            slots.wait()
             try:
                 with urllib.request.urlopen(ask, timeout=30) as answer:
                     found = json.load(answer)
                 break
-            except OSError:
+            except FAILURES:
                 if attempt == 2:
                     raise
         for row in found["results"]["bindings"]:
@@ -87,41 +126,60 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SparqlSource)
 
 
-PAGE = "celex string, lang string, html string"
+PAGE = "celex string, url string, language string, html string, status string, error string"
+# Fixed value: what the document service is asked for.
+ACCEPT = "application/xhtml+xml, text/html"
 
 
-def fetch(url: str, interval: float = 0.3, attempts: int = 3, timeout: float = 30) -> str | None:
-    """A document's text; None where there is none (404). Other failures are tried again after waits that double, then raised."""
+def fetch(url: str, language: str | None, slots: Slots, attempts: int = 3, timeout: float = 30) -> str | None:
+    """A document's text in a language, which the request's header asks for; None where there is none.
+
+    404 is an answer. Anything else is tried again after waits that double, and
+    counts as none in this language after the last attempt.
+    """
+    headers = {"Accept": ACCEPT} | ({"Accept-Language": language} if language else {})
     for attempt in range(attempts):
-        time.sleep(interval * 2**attempt)
+        if attempt:
+            time.sleep(slots.interval * 2**attempt)
+        slots.wait()
         try:
-            with urllib.request.urlopen(urllib.request.Request(url), timeout=timeout) as answer:
-                return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:
+                body = answer.read()
+                return body.decode(answer.headers.get_content_charset() or "utf-8", "replace") or None
         except urllib.error.HTTPError as error:
             if error.code == 404:
                 return None
-            if attempt + 1 == attempts:
-                raise
-        except OSError:
-            if attempt + 1 == attempts:
-                raise
+        except FAILURES:
+            pass
     return None
 
 
 def fetch_pages(keys: DataFrame, template: str, languages: list[str], key: str = "celex", tasks: int = 1, interval: float = 0.3) -> DataFrame:
-    """celex, lang, html of each key: the first of ``languages`` that has a document; both null where none has.
+    """celex, url, language, html, status, error of each key: the page in the first of ``languages`` that has one.
 
-    ``template`` holds {key} and {lang}. ``tasks`` fetch side by side, each at
-    its own rate; null and repeated keys are left out.
+    ``template`` holds {key}, and {lang} where languages have addresses of their
+    own. A key without a page in any language, and one whose requests all
+    failed, has status ``not_found`` and says what was tried; neither ends the
+    job. ``tasks`` fetch side by side, at one rate in all. Null and repeated keys
+    are left out.
     """
+    start = time.time()
 
     def run(frames):
+        here = TaskContext.get()
+        slots = Slots(start, interval, here.partitionId() if here else 0, tasks)
         for frame in frames:
             rows = []
             for name in frame["celex"]:
-                found = ((lang, fetch(template.format(key=urllib.parse.quote(name, safe=""), lang=lang), interval)) for lang in languages)
-                rows.append((name, *next(((lang, body) for lang, body in found if body is not None), (None, None))))
-            yield pd.DataFrame(rows, columns=["celex", "lang", "html"])
+                url = lambda lang: template.format(key=urllib.parse.quote(name, safe=""), lang=lang)  # noqa: B023, E731
+                for lang in languages:
+                    if (body := fetch(url(lang), lang, slots)) is not None:
+                        rows.append((name, url(lang), lang, body, "ok", None))
+                        break
+                else:
+                    rows.append((name, url(languages[0]) if languages else None, None, None, "not_found", f"Not available in: {', '.join(languages)}"))
+            yield pd.DataFrame(rows, columns=["celex", "url", "language", "html", "status", "error"])
 
     wanted = keys.select(F.col(key).cast("string").alias("celex")).where("celex is not null").distinct()
+    # By number, so that partition k is lane k.
     return wanted.repartition(tasks).mapInPandas(run, PAGE)

@@ -1,11 +1,17 @@
 import http.server
 import json
+import random
 import threading
+import time
 import urllib.parse
 
+import numpy as np
 import pytest
 
-from lexdrift.sources import endpoint, pages, stores, triples
+from lexdrift.sources import archives, endpoint, pages, stores, triples
+
+#: When the stub server got its queries.
+times: list[float] = []
 
 
 def test_anchor_pages():
@@ -83,13 +89,28 @@ def test_endpoint_pages():
 
     source = SparqlSource({"columns": "a, b", "total": "25", "page_size": "10", "endpoint": "http://x", "query": "q"})
     reader = source.reader(source.schema())
-    assert [(p.offset, p.limit) for p in reader.partitions()] == [(0, 10), (10, 10), (20, 5)]
+    lanes = reader.partitions()
+    assert [p.pages for p in lanes] == [[(0, 10)], [(10, 10)], [(20, 5)]] and {p.lanes for p in lanes} == {3}
+
+
+def test_lanes_never_share_a_slot():
+    rng, sent = random.Random(4), []
+    for lane in range(4):
+        slots, now = endpoint.Slots(100.0, 0.5, lane, 4), 100.0 + rng.random() * 9
+        for _ in range(50):
+            at = slots.next(now)
+            assert at >= now - 1e-9
+            sent.append(at)
+            now = at + rng.random() * rng.choice([0.01, 7.0])
+    sent.sort()
+    assert min(b - a for a, b in zip(sent, sent[1:])) > 0.5 - 1e-9
 
 
 @pytest.fixture
 def server():
     """A stub of an endpoint with 25 rows and of documents, of which one fails once."""
     asked, failed = [], set()
+    times.clear()
 
     class Stub(http.server.BaseHTTPRequestHandler):
         def answer(self, code, body=b""):
@@ -102,15 +123,23 @@ def server():
             query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
             offset, limit = int(query.split("OFFSET ")[1].split()[0]), int(query.split("LIMIT ")[1])
             asked.append((offset, limit))
+            times.append(time.time())
             rows = [{"x": {"value": str(k)}} for k in range(25)[offset : offset + limit]]
             self.answer(200, json.dumps({"results": {"bindings": rows}}).encode())
 
         def do_GET(self):
-            asked.append(self.path)
-            if self.path == "/c2/en" and self.path not in failed:
-                failed.add(self.path)
+            lang = self.headers.get("Accept-Language")
+            asked.append((time.time(), self.path, lang, self.headers.get("Accept")))
+            if self.path == "/c2" and (self.path, lang) not in failed:
+                failed.add((self.path, lang))
                 return self.answer(503)
-            return self.answer(200, self.path.encode()) if self.path in ("/c1/fr", "/c2/en", "/c2/fr") else self.answer(404)
+            if self.path == "/broken":  # fewer bytes than were said
+                self.send_response(200)
+                self.send_header("Content-Length", "99")
+                self.end_headers()
+                return self.wfile.write(b"x")
+            there = {("/c1", "fra"), ("/c2", "eng"), ("/c2", "fra"), ("/empty", "fra")}
+            return self.answer(200, b"" if (self.path, lang) == ("/empty", "eng") else f"{self.path} {lang}".encode()) if (self.path, lang) in there | {("/empty", "eng")} else self.answer(404)
 
         def log_message(self, *args):
             pass
@@ -131,8 +160,52 @@ def test_endpoint_is_read_page_by_page(spark, server, options, want, pages):
 
 
 def test_documents_are_fetched_in_the_order_of_languages(spark, server):
+    """The header names the language; an empty page counts as none, a failure is tried again, and neither ends the job."""
     url, asked = server
-    keys = spark.createDataFrame([("c1",), ("c2",), ("c3",), ("c1",), (None,)], "celex string")
-    rows = {r.celex: (r.lang, r.html) for r in endpoint.fetch_pages(keys, url + "/{key}/{lang}", ["en", "fr"], interval=0.01).collect()}
-    assert rows == {"c1": ("fr", "/c1/fr"), "c2": ("en", "/c2/en"), "c3": (None, None)}
-    assert asked.count("/c2/en") == 2 and "/c2/fr" not in asked
+    keys = spark.createDataFrame([("c1",), ("c2",), ("c3",), ("c1",), ("empty",), ("broken",), (None,)], "celex string")
+    rows = {r.celex: (r.language, r.html, r.status, r.error) for r in endpoint.fetch_pages(keys, url + "/{key}", ["eng", "fra"], tasks=3, interval=0.01).collect()}
+    lost = (None, None, "not_found", "Not available in: eng, fra")
+    assert rows == {"c1": ("fra", "/c1 fra", "ok", None), "c2": ("eng", "/c2 eng", "ok", None), "c3": lost, "empty": ("fra", "/empty fra", "ok", None), "broken": lost}
+    paths = [(p, lang) for _, p, lang, _ in asked]
+    assert paths.count(("/c2", "eng")) == 2 and ("/c2", "fra") not in paths and paths.count(("/broken", "fra")) == 3
+    assert {accept for *_, accept in asked} == {endpoint.ACCEPT}
+
+
+def test_tasks_share_one_rate(spark, server):
+    url, asked = server
+    endpoint.register(spark)
+    reader = spark.read.format("sparql").options(endpoint=url, query="select ?x", columns="x", page_size="2", interval="0.15", total="25", tasks="4")
+    assert reader.load().count() == 25 and len(times) == 13
+    sent = sorted(times)
+    assert min(b - a for a, b in zip(sent, sent[1:])) > 0.1
+    asked.clear()
+    keys = spark.createDataFrame([(f"k{k}",) for k in range(9)], "celex string")
+    assert endpoint.fetch_pages(keys, url + "/{key}", ["eng"], tasks=4, interval=0.15).count() == 9
+    sent = sorted(t for t, *_ in asked)
+    assert len(sent) == 9 and min(b - a for a, b in zip(sent, sent[1:])) > 0.1
+
+
+def test_array_archives(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    sets = {year: {w: rng.normal(size=(n, 4)).astype("f2") for w, n in words.items()} for year, words in {1999: {"a": 3, "b": 2}, 2000: {"a": 1, "c": 5}, 2001: {"b": 0, "d": 2}}.items()}
+    for year, words in sets.items():
+        np.savez(tmp_path / f"{year}.npz", **{("w::" + w if w != "c" else w): x for w, x in words.items()})
+    (tmp_path / "notes.txt").write_text("no archive")
+    archives.register(spark)
+    rows = spark.read.format("npz").load(str(tmp_path))
+    assert rows.columns == ["word", "year", "usage_id", "emb"]
+    got = {(r.word, r.year, r.usage_id): r.emb for r in rows.collect()}
+    want = {(w, year, k): v for year, words in sets.items() for w, x in words.items() for k, v in enumerate(x.astype("f4").tolist())}
+    assert got == want
+    pruned = rows.where("year >= 2000 and word in ('a', 'b')")
+    assert {(r.word, r.year) for r in pruned.collect()} == {("a", 2000)}
+    reader = archives.ArchiveReader({"path": str(tmp_path)})
+    assert sum(len(p.names) for p in reader.partitions()) == 6
+    from pyspark.sql.datasource import EqualTo, In, IsNotNull
+
+    left = list(reader.pushFilters([EqualTo(("year",), 1999), In(("word",), ("a", "x")), IsNotNull(("emb",))]))
+    assert left == [IsNotNull(("emb",))] and [p.names for p in reader.partitions()] == [["w::a.npy"]]
+    assert spark.read.format("npz").load(str(tmp_path / "notes.txt")).count() == 0
+    archives.write_archives(rows, str(tmp_path / "out"))
+    again = spark.read.format("npz").load(str(tmp_path / "out"))
+    assert {(r.word, r.year, r.usage_id): r.emb for r in again.collect()} == want
