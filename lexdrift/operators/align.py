@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexdrift.lineage import cut
+from lexdrift.operators.usages import Encoder, hashed_order
+
 
 def cross_products(vecs: DataFrame, anchors: DataFrame) -> dict[tuple[str, str], tuple[np.ndarray, int]]:
     """(earlier, later) -> (A'B over their shared anchors, how many): one d x d matrix a neighbouring pair comes to the driver.
@@ -119,8 +124,8 @@ def project(df: DataFrame, mean: np.ndarray, components: np.ndarray, vector: str
     return df.mapInPandas(run, df.schema)
 
 
-def fit_pca_by(vecs: DataFrame, k: int, vector: str = "vec") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """slice -> (mean, components [k, d]) of each slice's vectors, all in one pass.
+def fit_pca_by(vecs: DataFrame, k: int, vector: str = "vec") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """slice -> (mean, components [k, d], variances along them, divisor n - 1) of each slice's vectors, all in one pass.
 
     Tasks sum vectors and their outer products a slice, executors add the sums
     up; a d x d matrix a slice comes to the driver. Each component's largest
@@ -146,12 +151,13 @@ def fit_pca_by(vecs: DataFrame, k: int, vector: str = "vec") -> dict[str, tuple[
     for r in found:
         mean = np.frombuffer(bytes(r.s)) / r.n
         v = np.frombuffer(bytes(r.m)).reshape(len(mean), -1) / r.n - np.outer(mean, mean)
-        parts = np.linalg.eigh(v)[1][:, ::-1][:, :k].T
-        out[r.slice] = (mean, parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None])
+        values, parts = np.linalg.eigh(v)
+        parts = parts[:, ::-1][:, :k].T
+        out[r.slice] = (mean, parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None], np.maximum(values[::-1][:k], 0) * r.n / max(r.n - 1, 1))
     return out
 
 
-def project_by(vecs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]], dims: int, vector: str = "vec") -> DataFrame:
+def project_by(vecs: DataFrame, models: dict[str, tuple[np.ndarray, ...]], dims: int, vector: str = "vec") -> DataFrame:
     """slice, word, ``vector`` as coordinates on its slice's components; 0 where there are fewer than ``dims``."""
     shipped = vecs.sparkSession.sparkContext.broadcast(models)
 
@@ -159,9 +165,50 @@ def project_by(vecs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]
         for frame in frames:
             out = []
             for name, v in zip(frame["slice"], frame[vector]):
-                mean, parts = shipped.value[name]
+                mean, parts = shipped.value[name][:2]
                 at = parts @ (np.asarray(v, "f8") - mean)
                 out.append(np.concatenate([at, np.zeros(dims - len(at))]))
             yield pd.DataFrame({"slice": frame["slice"], "word": frame["word"], vector: out})
 
     return vecs.where(F.col(vector).isNotNull()).select("slice", "word", vector).mapInPandas(run, f"slice string, word string, {vector} array<double>")
+
+
+def sampled_tokens(paragraphs: DataFrame, encoder: Encoder, most_paragraphs: int = 2_000, most_tokens: int = 200_000, seed: int = 42) -> DataFrame:
+    """slice (empty), vec of the subwords of a seeded sample of paragraphs (text), up to ``most_tokens`` of them.
+
+    Both bounds are the sample's. Paragraphs come in the order of a seeded hash;
+    the last one is cut where the bound is met, by the running sum of what those
+    before it have.
+    """
+    chosen = paragraphs.where("text is not null and text <> ''").select(hashed_order(seed, "text").alias("o"), "text").orderBy("o", "text").limit(most_paragraphs)
+
+    def encode(frames):
+        for frame in frames:
+            yield pd.DataFrame({"o": frame["o"], "key": frame["text"].map(lambda t: hashlib.sha256(t.encode()).hexdigest()), "vecs": [[v.astype("f4") for v in states] for _, states in encoder(frame["text"].tolist())]})
+
+    told = cut(chosen.mapInPandas(encode, "o long, key string, vecs array<array<float>>").withColumn("row", F.monotonically_increasing_id()), "tokens")
+    # A row of two numbers for each of the sampled paragraphs.
+    before = Window.orderBy("o", "key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    room = told.select("row", (F.lit(most_tokens) - F.coalesce(F.sum(F.size("vecs")).over(before), F.lit(0))).cast("int").alias("room")).where("room > 0")
+    return told.join(room, "row").select(F.lit("").alias("slice"), F.explode(F.slice("vecs", F.lit(1), F.col("room"))).alias("vec"))
+
+
+def token_pca(paragraphs: DataFrame, encoder: Encoder, k: int, folder: str, most_paragraphs: int = 2_000, most_tokens: int = 200_000, seed: int = 42, encoder_key: str = "", refit: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components, variances) of sampled tokens; kept below ``folder`` by a hash of all that it depends on, and read from there the next time.
+
+    What it depends on are the settings, ``encoder_key`` and the paragraphs
+    themselves, of which number and sum of hashes are taken.
+    """
+    spark = paragraphs.sparkSession
+    mark = paragraphs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("text").cast("decimal(38,0)"))).first()
+    key = hashlib.sha256(repr((k, most_paragraphs, most_tokens, seed, encoder_key, *map(str, mark))).encode()).hexdigest()
+    path = f"{folder}/pca-{key}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if refit or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        found = fit_pca_by(sampled_tokens(paragraphs, encoder, most_paragraphs, most_tokens, seed), k)
+        if not found:
+            raise ValueError("no paragraph has a token")
+        mean, parts, values = found[""]
+        spark.createDataFrame([(mean.tolist(), parts.tolist(), values.tolist())], "mean array<double>, components array<array<double>>, variances array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+    row = spark.read.parquet(path).first()
+    return np.array(row["mean"]), np.array(row["components"]), np.array(row["variances"])

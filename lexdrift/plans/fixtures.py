@@ -123,6 +123,31 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CASES = "select o_orderkey as k, o_custkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') as date, '6' || year(o_orderdate) || ['CJ', 'TJ', 'CO'][(o_orderkey % 3 + 1)::integer] || lpad(o_orderkey::varchar, 8, '0') as celex, o_orderkey % 3 < 2 as judgment from orders"
 
 
+#: Runs of white space as the page reader takes them.
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
+
+def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """celex, html: documents' lines as numbered paragraphs, in turn in the three formats of judgment pages; the later half is operative."""
+    texts = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    lines = texts.select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda t: F.trim(F.regexp_replace(t, BLANKS, " "))), lambda t: t != "").alias("t")).where(F.size("t") > 0)
+    half = F.ceil(F.size("t") / 2)
+    safe = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    anchors = F.transform("t", lambda t, i: F.concat(F.when(i == half, F.lit("<a name='DI'></a>")).otherwise(""), F.lit("<p>"), (i + 1).cast("string"), F.lit(". "), safe(t), F.lit("</p>")))
+
+    def rows(prefix: str):
+        marked = lambda t, i: F.concat(F.when(i == half, F.lit("On those grounds, ")).otherwise(""), safe(t))
+        cells = F.transform("t", lambda t, i: F.concat(F.lit(f"<tr><td><p class='{prefix}count'>"), (i + 1).cast("string"), F.lit(f"</p></td><td><p class='{prefix}normal'>"), marked(t, i), F.lit("</p></td></tr>")))
+        return F.concat(F.lit("<table>"), F.array_join(cells, ""), F.lit("</table>"))
+
+    kind = F.pmod("doc_id", F.lit(3))
+    page = F.when(kind == 0, F.concat(F.lit("<a name='MO'></a>"), F.array_join(anchors, "\n"))).when(kind == 1, rows("coj-")).otherwise(rows(""))
+    return lines.select(F.col("doc_id").cast("string").alias("celex"), F.concat(F.lit("<html><body>"), page, F.lit("</body></html>")).alias("html"))
+
+
+SQL_LINES = f"select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '{BLANKS}', ' ', 'g'))), lambda t: t <> '') as t from documents where text is not null"
+
+
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slice, word, community_id made up from embeddings: words wander between labels."""
     rows = slice_vectors(spark, sf_dir).select("slice", "word")

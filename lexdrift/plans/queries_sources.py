@@ -48,9 +48,12 @@ def subject_taxonomy(spark, sf_dir):
     return triples.subject_taxonomy(moved)
 
 
-@query("with t as (select unnest(['CJ', 'GC', 'CST']) as court, unnest([14, 7, 6]) as n_types) select * from t", wholes="n_types")
+@query(f"with {C}, t as (select unnest(['CJ', 'GC', 'CST']) as court, unnest([14, 7, 6]) as n_types), n as (select case substr(celex, 6, 1) when 'C' then 'CJ' when 'T' then 'GC' end as court, count(*) as n_decisions from c group by 1) select court, n_types, coalesce(n_decisions, 0) as n_decisions from t left join n using (court)", wholes="n_types")
 def document_types(spark, sf_dir):
-    return triples.doc_type_table(spark).groupBy("court").agg(F.count(F.lit(1)).alias("n_types"))
+    types = triples.doc_type_table(spark)
+    found = fx.triples(spark, sf_dir).where("p = 'resource_legal_id_celex'").select(F.substring("o", 6, 2).alias("code"))
+    counts = found.join(F.broadcast(types), "code").groupBy("court").agg(F.count(F.lit(1)).alias("n_decisions"))
+    return types.groupBy("court").agg(F.count(F.lit(1)).alias("n_types")).join(counts, "court", "left").select("court", "n_types", F.coalesce("n_decisions", F.lit(0)).alias("n_decisions"))
 
 
 @query("select conv_id, arg_min(text, case role when 'assistant' then 1 when 'user' then 2 end * 100000 + turn) as text from conversations where role in ('assistant', 'user') and turn < 100000 group by 1")
@@ -80,6 +83,25 @@ def page_paragraphs(spark, sf_dir):
     return pages.parse_pages(fx.table(spark, sf_dir, "pages").withColumnRenamed("page_id", "celex"))
 
 
+SQL_PARTS = f"select doc_id, t, i, (len(t) + 1) // 2 as half, doc_id % 3 as kind from ({fx.SQL_LINES}), unnest(range(1, len(t) + 1)) as s(i)"
+
+
+@query(
+    f"""with p as ({SQL_PARTS}) select doc_id::varchar as celex, i - 1 as para_idx, doc_id || '_' || case when i > half then 'OP' else 'P' end || lpad(i::varchar, greatest(4, len(i::varchar))::integer, '0') as para_id, i::varchar as para_num,
+    case when i > half then 'operative' else 'grounds' end as section, md5(case when kind > 0 and i = half + 1 then 'On those grounds, ' else '' end || t[i]) as digest from p""",
+    wholes="para_idx")
+def judgment_paragraphs(spark, sf_dir):
+    found = pages.parse_pages(fx.judgments(spark, sf_dir))
+    return found.select("celex", "para_idx", "para_id", "para_num", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"select doc_id::varchar as celex, doc_id % 2 = 0 as summary_only from ({fx.SQL_LINES}) where len(t) > 0")
+def judgment_notices(spark, sf_dir):
+    """Pages with a notice: every second one is a judgment all the same."""
+    notice = F.concat(F.lit("<html><body><div class='listNotice'><p>Summary</p></div></body></html>"), F.when(F.col("celex").cast("long") % 2 != 0, F.col("html")).otherwise(""))
+    return pages.flag_summaries(fx.judgments(spark, sf_dir).withColumn("html", notice)).select("celex", "summary_only")
+
+
 @query("select page_id, false as summary_only from pages")
 def page_summaries(spark, sf_dir):
     return pages.flag_summaries(fx.table(spark, sf_dir, "pages")).select("page_id", "summary_only")

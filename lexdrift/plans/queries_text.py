@@ -169,9 +169,11 @@ def usage_embeddings(spark, sf_dir):
     return out.withColumn("emb", F.transform("emb", lambda x: F.round(x.cast("double"), 4)))
 
 
-@query("select 'w' || s || '_' || (s + 4) as label, s as start_year, s + 4 as end_year, s + 2.0 as mid, s - 1999 as ord from unnest(range(2000, 2016)) as t(s)", "mid", "start_year end_year ord")
+@query("with y as (select min(2000 + substr(source, 4)::integer) as a, max(2000 + substr(source, 4)::integer) as b from documents) select 'w' || s || '_' || (s + 4) as label, s as start_year, s + 4 as end_year, s + 2.0 as mid, s - a + 1 as ord from y, lateral (select unnest(range(a, b - 3)) as s)", "mid", "start_year end_year ord")
 def sliding_windows(spark, sf_dir):
-    return slices.sliding_windows(spark, 2000, 2019)
+    year = 2000 + F.substring("source", 4, 9).cast("int")
+    first, last = fx.table(spark, sf_dir, "documents").agg(F.min(year), F.max(year)).first()
+    return slices.sliding_windows(spark, first, last)
 
 
 @query(f"with w as (select s, 'w' || s || '_' || (s + 4) as slice from unnest(range(2000, 2016)) as t(s)) select slice, count(*) as n from ({SQL_SENTENCES}) join w on year between s and s + 4 group by 1")

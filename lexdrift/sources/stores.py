@@ -78,3 +78,28 @@ def year_of(date: Column) -> Column:
 
 def in_years(df: DataFrame, first: int, last: int, date: str = "date") -> DataFrame:
     return df.withColumn("year", year_of(F.col(date))).where(F.col("year").between(first, last))
+
+
+def read_word_settings(path: str) -> tuple[dict, dict[str, list[str]]]:
+    """(settings, words by category) of a YAML file: lists are categories of words, everything else is a setting."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        told = yaml.safe_load(f) or {}
+    lists = {k: [str(w) for w in v] for k, v in told.items() if isinstance(v, list)}
+    return {k: v for k, v in told.items() if k not in lists}, lists
+
+
+def write_word_settings(path: str, settings: dict, words: dict[str, list[str]]) -> None:
+    """The same file again, settings first, in the order given; it takes its name once it is whole."""
+    import os
+
+    import yaml
+
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        yaml.safe_dump(settings | words, f, sort_keys=False, allow_unicode=True)
+    os.replace(f"{path}.new", path)
+
+
+def categories(spark: SparkSession, words: dict[str, list[str]]) -> DataFrame:
+    return spark.createDataFrame([(c, w) for c, own in words.items() for w in own], "category string, word string")

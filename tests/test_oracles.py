@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, db, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"trained_vectors", "phrase_sentences"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     rows = QUERIES[name](spark, DATA)
     assert rows.columns
