@@ -1,11 +1,15 @@
 """Benchmark decontamination: n-gram seeds, then local alignment (operator 3).
 
-The benchmark is taken in blocks of bounded size, however large it is. Every
-n-gram of a block's items is a seed, whatever its frequency: the grams that
-edits left whole may be the commonest of an item where many documents hold
-edited copies of it. One scan joins seeds to texts and aligns the words around
-them with the item by Smith-Waterman, unless too few of the item's words stand
-there. Documents are not shuffled.
+The benchmark is taken in blocks of bounded size, however large it is. Seeds are
+pairs of neighbouring words of an item, whatever their frequency, and so many
+of them are asked for as every alignment that reaches the threshold must have:
+of n words m match and at most 2 m - 2 t n are edited (t: threshold), and an edit
+parts two matched words at most, so 2 t n - m - 1 or more neighbours stay
+neighbours, at least (2 t - 1) n - 1 of them. No edit, not even a word put in after
+every second one, can hide an item. One scan joins seeds to texts, counts them
+in windows by sorting, and aligns the words around them with the item by
+Smith-Waterman, unless too few of the item's words stand there. Documents are
+not shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.llm.common import each_text, handed_back, text_of, tune
 
-GRAM = 3
+GRAM = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Letters of any script and digits are kept; other ASCII separates words.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -75,8 +79,7 @@ class Lookup:
             self.known = np.zeros(1 << TABLE_BITS, bool)
             self.known[self.vocabulary & np.uint32((1 << TABLE_BITS) - 1)] = True
         k = self.known[words & np.uint32((1 << TABLE_BITS) - 1)]
-        n = len(words) - GRAM + 1
-        at = np.flatnonzero(k[:n] & k[1 : n + 1] & k[2 : n + 2])
+        at = np.flatnonzero(k[:-1] & k[1:])
         if not len(at):
             return none, none
         x = np.zeros(len(at), "u8")
@@ -87,24 +90,40 @@ class Lookup:
         hit = self.grams[number] == x
         return at[hit], number[hit]
 
-    def spans(self, words: np.ndarray, sizes: list[int]) -> dict[int, list[list[int]]]:
-        """For each item with a gram in ``words``: stretches of words where it may stand, apart and in order.
+    def spans(self, words: np.ndarray, sizes: np.ndarray, threshold: float) -> dict[int, list[list[int]]]:
+        """For each item with seeds enough in ``words``: stretches of words where it may stand, apart and in order.
 
         A gram's first and last place in the item bound where the item begins,
         so a text or an item that repeats itself gives one stretch a place.
         """
-        out: dict[int, list[list[int]]] = {}
         at, number = self.find(words)
-        for place, a, b in zip(at.tolist(), self.begin[number].tolist(), self.begin[number + 1].tolist()):
-            for e in range(a, b):
-                k = int(self.item[e])
-                slack = sizes[k] // 2 + 2
-                low, high = max(0, place - int(self.high[e]) - slack), min(len(words), place - int(self.low[e]) + sizes[k] + slack)
-                spans = out.setdefault(k, [])
-                if spans and low <= spans[-1][1] and high >= spans[-1][0]:
-                    spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
-                else:
-                    spans.append([low, high])
+        if not len(at):
+            return {}
+        many = self.begin[number + 1] - self.begin[number]
+        entry = np.repeat(self.begin[number] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item, place = self.item[entry], np.repeat(at, many)
+        order = np.lexsort((place, item))
+        item, place, entry = item[order], place[order], entry[order]
+        # So many seeds lie in some window as long as an alignment can be.
+        size = sizes[item]
+        slack = np.ceil((2 - 2 * threshold) * size).astype("i8") + 1
+        needed = np.maximum(1, np.ceil((2 * threshold - 1) * size - 1 - 1e-9)).astype("i8")
+        here = np.arange(len(item))
+        last = np.minimum(here + needed - 1, len(item) - 1)
+        enough = (here + needed - 1 < len(item)) & (item[last] == item) & (place[last] - place <= size + slack)
+        marks = np.zeros(len(item) + 1, "i8")
+        np.add.at(marks, here[enough], 1)
+        np.add.at(marks, last[enough] + 1, -1)
+        kept = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        low = np.maximum(0, place - self.high[entry] - slack)
+        high = np.minimum(len(words), place - self.low[entry] + size + slack)
+        out: dict[int, list[list[int]]] = {}
+        for k, x, y in zip(item[kept].tolist(), low[kept].tolist(), high[kept].tolist()):
+            spans = out.setdefault(k, [])
+            if spans and x <= spans[-1][1] and y >= spans[-1][0]:
+                spans[-1] = [min(x, spans[-1][0]), max(y, spans[-1][1])]
+            else:
+                spans.append([x, y])
         return {k: joined(spans) for k, spans in out.items()}
 
 
@@ -171,7 +190,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, le
 
     ``score`` is the best local alignment (match 2, mismatch and gap -1) over
     the highest possible; ``threshold`` 0.6 is passed by a copy with about a
-    quarter of its words replaced. Places count words of the text, from 0, end
+    quarter of its words replaced. Above half, and with ``least_words`` over
+    2 / (2 threshold - 1), every alignment that reaches it is found. Places count words of the text, from 0, end
     exclusive. Words are compared in lower case without ASCII punctuation. Null
     texts are empty; null ids are kept as such; repeated rows are reported each
     time. Edited copies of items under ``least_words`` words could stand
@@ -196,12 +216,12 @@ def _of_block(rows: DataFrame, items: list[tuple[int | None, np.ndarray]], thres
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned, lookup, names, runs = plan.value
-        sizes = [len(w) for _, w in aligned]
+        sizes = np.array([len(w) for _, w in aligned], "i8")
         for batch, texts in each_text(batches):
             made: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 words = words_of(text)
-                for k, spans in lookup.spans(words, sizes).items():
+                for k, spans in lookup.spans(words, sizes, threshold).items():
                     if (hit := best_in(aligned[k][1], words, spans, threshold)) is not None:
                         made.append((doc_id, aligned[k][0], *hit))
                 made += [(doc_id, names[k], 1.0, a, b) for k, a, b in runs.find(words)]

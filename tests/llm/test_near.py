@@ -275,6 +275,26 @@ def test_whole_query_against_plain_alignment(spark):
     assert got == want and len(got) > 20
 
 
+@pytest.mark.parametrize("kind", ["put in", "left out", "replaced", "all"])
+def test_no_edit_hides_an_item(spark, kind):
+    """Every alignment over the threshold is found, at edit rates up to where none is left, with common words around."""
+    rng = random.Random(kind)
+    items = [(k, sentence(rng, rng.randrange(8, 40), 60 if k % 2 else 3000)) for k in range(10)]
+    docs = []
+    for i in range(150):
+        rate, leak = rng.random() * 0.8, []
+        for w in rng.choice(items)[1].split():
+            what = rng.choice(["put in", "left out", "replaced"]) if kind == "all" else kind
+            edit = rng.random() < rate
+            leak += [w, f"w{rng.randrange(60)}"] if edit and what == "put in" else [f"w{rng.randrange(60)}"] if edit and what == "replaced" else [] if edit else [w]
+        docs.append((i, f"{sentence(rng, 8, 60)} {' '.join(leak)} {sentence(rng, 8, 60)}"))
+    item = items[0][1].split()
+    docs.append((999, " ".join(w + (f" x{k}" if k % 2 else "") for k, w in enumerate(item))))
+    want = {(i, k): s for i, t in docs for k, own in items if (s := plain_alignment(own.split(), t.split()) / (2 * len(own.split()))) >= 0.6}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(got) > 20 and (999, 0) in got
+
+
 def test_short_items_are_found_as_whole_runs(spark):
     bench = spark.createDataFrame([(1, "Who wrote the first long novel?"), (2, "alpha beta"), (3, "gamma"), (4, " "), (5, "who wrote the first long novel")], "item_id long, text string")
     df = frame(spark, [(1, "who wrote the FIRST long novel"), (2, "who wrote the first short novel"), (3, "x alpha, beta y gamma"), (4, "beta alpha")])
