@@ -4,11 +4,12 @@ Documents with equal shingle sets are one class from the start: only its
 representative goes on. Band and row counts follow from the recall asked for.
 A bucket of equal band hashes links its members to its least one, a row a
 member, and what hangs together by such links is a cluster. Each clustered
-representative's full shingle set is sent to its cluster's task, where every
-pair is verified. A large cluster is cut into blocks of members that share
-their least leader, and a task verifies two blocks that have a bucket in
-common: what only a chain of others connects is not compared. Tasks put out
-counts and spanning edges, never pairs.
+representative's full shingle set is sent to its cluster's task, where pairs
+with a bucket in common are verified. A large cluster is cut into blocks of
+members that share their least leader, and a task verifies two blocks that have
+a bucket in common; every pair with one meets there, so what is linked does not
+depend on how a cluster is cut. Tasks put out counts and spanning edges, never
+pairs.
 """
 
 from __future__ import annotations
@@ -115,10 +116,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def share_a_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of band hashes have one in common with which."""
+    out = np.zeros((len(left), len(right)), bool)
+    for a, b in zip(left.T, right.T):
+        out |= a[:, None] == b[None, :]
+    return out
+
+
+def verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each representative within a pair of blocks, copies counted, and its root among those linked with it.
 
-    Sets of one block meet each other; sets of two blocks meet those of the other block alone.
+    Sets of one block meet each other; sets of two blocks meet those of the
+    other block alone. A link needs a band in common, as in any other cluster.
     """
     two = block.min() != block.max()
     left = np.flatnonzero(block == block.min()) if two else np.arange(len(ids))
@@ -126,7 +136,7 @@ def verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np
     sizes = np.array([len(s) for s in sets], "f8")
     inter = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype("f8")
     union = sizes[left][:, None] + sizes[right][None, :] - inter
-    near = inter >= threshold * union - 1e-9
+    near = (inter >= threshold * union - 1e-9) & share_a_band(bands[left], bands[right])
     if not two:
         np.fill_diagonal(near, False)
     links = np.zeros(len(ids), "i8")
@@ -202,29 +212,31 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     clusters = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     placed, pairs = placement(clusters, edges, buckets)
     drop_tables(buckets)
-    placed = placed.join(classes.select("rep", "copies", "sig"), "rep").join(pairs, "block", "left")
-    here = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
-    placed = placed.select(F.col("rep").alias("doc_id"), "sig", "cluster", "block", "whole", "copies", F.coalesce("tasks", here).alias("tasks"))
+    placed = placed.join(classes.select("rep", "copies", "sig"), "rep").select(F.col("rep").alias("doc_id"), "sig", "cluster", "block", "whole", "copies")
+    factors, offsets = permutations(bands * rows)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
             sets = [shingles(t, n) for t in texts]
             own = pa.array([digest(s) == sig for s, sig in zip(sets, batch.column("sig").to_pylist())], pa.bool_())  # another text of the id
-            names = ["doc_id", "cluster", "whole", "block", "copies", "tasks"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", *names[1:], "items"]).filter(own)
+            names = ["doc_id", "cluster", "whole", "block", "copies"]
+            marks = pa.array([band_hashes(s, factors, offsets, bands, rows).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), marks, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", *names[1:], "bands", "items"]).filter(own)
 
-    sets = keyed.join(placed, "doc_id").select("doc_id", "text", "sig", "cluster", "whole", "block", "copies", "tasks")
-    sets = sets.mapInArrow(handed_back(packed), "rep long, cluster long, whole boolean, block long, copies long, tasks array<struct<i:long,j:long>>, items binary")
-    tasks = sets.select("rep", "cluster", "whole", "block", "copies", "items", F.explode("tasks").alias("task")).select("*", "task.*")
+    sets = keyed.join(placed, "doc_id").select("doc_id", "text", "sig", "cluster", "whole", "block", "copies")
+    sets = sets.mapInArrow(handed_back(packed), "rep long, cluster long, whole boolean, block long, copies long, bands binary, items binary")
+    # Packed sets, not texts, meet their blocks' tasks.
+    here = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
+    tasks = sets.join(pairs, "block", "left").select("rep", "cluster", "whole", "block", "copies", "bands", "items", F.explode(F.coalesce("tasks", here)).alias("task")).select("*", "task.*")
 
     def check(group: pa.Table) -> pa.Table:
         ids = group.column("rep").to_numpy()
         ids, at = np.unique(ids, return_index=True)
-        items = group.column("items").take(pa.array(at)).to_pylist()
-        links, roots = verify(ids, group.column("copies").to_numpy()[at], group.column("block").to_numpy()[at], [np.frombuffer(x, "i8") for x in items], threshold)
+        items, marks = (group.column(c).take(pa.array(at)).to_pylist() for c in ("items", "bands"))
+        links, roots = verify(ids, group.column("copies").to_numpy()[at], group.column("block").to_numpy()[at], np.stack([np.frombuffer(x, "i8") for x in marks]), [np.frombuffer(x, "i8") for x in items], threshold)
         return pa.table({"rep": ids, "root": roots, "links": links, "whole": group.column("whole").take(pa.array(at))})
 
-    found = materialize(tasks.select("rep", "cluster", "i", "j", "block", "whole", "copies", "items").groupBy("cluster", "i", "j").applyInArrow(check, "rep long, root long, links long, whole boolean"), "links")
+    found = materialize(tasks.select("rep", "cluster", "i", "j", "block", "whole", "copies", "bands", "items").groupBy("cluster", "i", "j").applyInArrow(check, "rep long, root long, links long, whole boolean"), "links")
     parts = found.where("not whole and rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
     labels = found.where("whole and rep <> root").select(F.col("rep").alias("node"), F.col("root").alias("label")).unionByName(components(parts))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -199,6 +199,24 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert got == brute_jaccard(rows)
 
 
+def test_links_do_not_depend_on_blocks(spark, monkeypatch):
+    """One hot group of near copies, some only just similar, and bands that miss some pairs: the same rows however the group is cut."""
+    rng = random.Random(6)
+    base, rows = sentence(rng, 120).split(), []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    found = []
+    for block in (5, 384, 10**6):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        found.append(sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(frame(spark, rows), recall=0.9).collect()))
+    assert found[0] == found[1] == found[2]
+    links, exact = sum(n for _, _, n in found[0]), sum(n for _, n in brute_jaccard(rows).values())
+    assert 0.9 * exact < links < exact
+
+
 def test_jaccard_edges(spark):
     rows = jaccard_join.jaccard_join(frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")])).collect()
     assert sorted((r.doc_id is None, r.class_id, r.n_links) for r in rows if r.doc_id is not None) == [(False, 1, 0)] and len(rows) == 3
