@@ -32,7 +32,7 @@ QUERY_BLOCK = 4096
 EPS = 1e-6
 
 
-#: Squares of vectors are below this, so that scores are whole numbers of 64 bits.
+#: Whole numbers that components become are below this, so that they fit a long.
 LARGEST = float(1 << 62)
 
 
@@ -49,11 +49,11 @@ class Tally:
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id, v (array<long>): rows with a vector whose components are all finite and whose square is below ``LARGEST``."""
+    """vec_id, v (array<long>): rows with a vector whose components are all finite and, times 64, below ``LARGEST``."""
     x = F.col(vector_column)
     usable = x.isNotNull() & F.col(id_column).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    return vectors.where(usable).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 64)).alias("v")).where(square < LARGEST)
+    whole = F.forall(x, lambda e: F.abs(e.cast("double")) < LARGEST / 64)
+    return vectors.where(usable).where(whole).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 64)).alias("v"))
 
 
 def matrix(column: pa.Array, width: int, kind: str = "f8") -> np.ndarray:
@@ -94,8 +94,22 @@ def score_bounds(query_square: np.ndarray, largest: float, lower: np.ndarray) ->
 
 
 def exact_kind(largest: float) -> str:
-    """The cheapest type in which sums of products of vectors with such squares are exact: single, double, or whole numbers."""
-    return "f4" if largest < 1 << 23 else "f8" if largest < 1 << 52 else "i8"
+    """The cheapest type in which sums of products of vectors with such squares are exact: single, double, whole numbers of 64 bits, or of any size."""
+    return "f4" if largest < 1 << 23 else "f8" if largest < 1 << 52 else "i8" if largest < 1 << 61 else "O"
+
+
+def highest(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, ties to the smaller name."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], names[j]))[:k], "i8")
+    return np.lexsort((names, -scores))[:k]
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    try:
+        return scores.astype("i8")
+    except OverflowError:
+        raise ValueError("a score that is to be reported does not fit a long") from None
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray, table_q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, table: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -107,7 +121,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray
     rows, rows_q = np.ascontiguousarray(table.T.astype("f4")), table_q.astype("f4")
     slack = 1e-6 * float(max(np.abs(rows).max(initial=0), np.abs(rows_q).max(initial=0)))
     apart = np.empty(len(ids), "f4")
-    kind = exact_kind(max(largest, squares.max(initial=0)))
+    # As the block's own vectors ask for: one large vector makes no other block costly.
+    kind = exact_kind(max((vectors.astype("f8") ** 2).sum(1).max(initial=0), squares.max(initial=0)))
     exact, exact_q = vectors.astype(kind), queries.astype(kind)
     for q in range(len(queries)):
         lower = np.zeros(len(ids), "f4")
@@ -118,15 +133,16 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray
         lower = np.maximum(lower.astype("f8") - slack, 0)
         bounds = score_bounds(squares[q], largest, lower)
         bounds[ids == query_ids[q]] = -np.inf
-        best_ids, best, beat = np.zeros(0, "i8"), np.zeros(0, "i8"), to_beat[q]
+        best_ids, best, beat = np.zeros(0, "i8"), np.zeros(0, "O" if kind == "O" else "i8"), to_beat[q]
 
         def take(some: np.ndarray) -> None:
             nonlocal best_ids, best, beat, evaluated
             evaluated += len(some)
-            scores = (exact[some] @ exact_q[q]).astype("i8")
-            high = scores >= beat
+            scores = exact[some] @ exact_q[q]
+            scores = scores if kind == "O" else scores.astype("i8")
+            high = (scores >= beat).astype(bool)
             scores, names = np.concatenate([best, scores[high]]), np.concatenate([best_ids, ids[some][high]])
-            order = np.lexsort((names, -scores))[:k]
+            order = highest(scores, names, k)
             best, best_ids = scores[order], names[order]
             if len(best) == k:
                 beat = max(beat, best[-1])
@@ -139,8 +155,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, to_beat: np.ndarray
         while len(left) and bounds[left[0]] >= beat:
             some, left, size = left[:size], left[size:], size * 2
             take(some[bounds[some] >= beat])
-        keep = best >= to_beat[q]
-        out.append((np.full(keep.sum(), q), best_ids[keep], best[keep]))
+        keep = (best >= to_beat[q]).astype(bool)
+        out.append((np.full(keep.sum(), q), best_ids[keep], as_longs(best[keep])))
     found = tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 3
     return *found, evaluated
 
@@ -149,16 +165,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     """query_id, rank, vec_id, score: each query's ``k`` highest inner products with ``vectors`` other than itself, ties to the smaller id.
 
     Null vectors, and those with a null or non-finite component, take no part,
-    nor do rows with a null id, or vectors whose square in whole numbers is 2^62
-    or more, with which scores would not fit a long. Shorter vectors count as ended by zeros. Rows
-    that repeat an id are candidates each; a query never meets rows of its own
-    id. Fewer candidates than ``k``: all of them. No queries or no vectors: no
+    nor do rows with a null id, or vectors with a component that times 64 is no
+    long (2^62 or more). Sums of products are exact whatever their size; a score
+    that is to be reported and does not fit a long is an error, not left out.
+    Shorter vectors count as ended by zeros. Rows that repeat an id are
+    candidates each; a query never meets rows of its own id, and query rows that
+    repeat an id are one query, ranked over the scores of all of them. Fewer candidates than ``k``: all of them. No queries or no vectors: no
     rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     tune(spark)
     data, asked = quantized(vectors, id_column, vector_column), quantized(queries, id_column, vector_column)
-    stats = data.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e * e)).alias("largest"), F.count(F.lit(1)).alias("n")).first()
+    stats = data.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))).alias("largest"), F.count(F.lit(1)).alias("n")).first()
     asked_width = asked.agg(F.max(F.size("v"))).first()[0]
     schema = "query_id long, rank int, vec_id long, score long"
     if not stats.n or asked_width is None:
