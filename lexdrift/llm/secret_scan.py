@@ -16,10 +16,12 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,11 @@ LEAST_BASE64 = 16
 #: Bytes that are no text (as read with surrogateescape), and the shortest text that can hold a secret.
 NO_TEXT = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]")
 HAS_TEXT = re.compile("[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12}")
-PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd|\xfd7zXZ\x00")
+#: Breaks and the end of a base64 run in bytes, and what may be the beginning of a break.
+BYTE_BREAKS, NO_BASE64, OPEN_BREAK = re.compile(rb"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n"), re.compile(rb"[^A-Za-z0-9+/_-]"), re.compile(rb"(?:[\x20\t\r\n]|\\r?)*\Z")
+#: What xz data may ask for to be read.
+MOST_DICTIONARY = 128 << 20
 
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_added long, n_layers long, n_cut long"
 
@@ -153,7 +159,12 @@ WINDOW, OVERLAP, CHUNK = 1 << 20, 1 << 14, 1 << 18
 
 
 class Inflater:
-    """Inflates gzip, zlib, bzip2 or zstd data, with all members, from chunks that ``source`` yields."""
+    """Inflates gzip, zlib, bzip2, xz or zstd data, with all members, from chunks that ``source`` yields.
+
+    Damaged gzip data are read up to the damage, thus whole where only the
+    checksum is wrong. Other formats give the blocks before it; two bytes that
+    look like zlib's head are too often chance for more.
+    """
 
     def __init__(self, source: Iterator[bytes]):
         self.source, self.read, self.ended, self.starved = source, 0, False, False
@@ -161,8 +172,28 @@ class Inflater:
     def _machine(self, head: bytes):
         if head[:1] in (b"\x1f", b"\x78"):
             return zlib.decompressobj(47)
+        if head[:1] == b"\xfd":
+            return lzma.LZMADecompressor(lzma.FORMAT_XZ, MOST_DICTIONARY)
         return bz2.BZ2Decompressor() if head[:3] == b"BZh" else zstandard.ZstdDecompressor().decompressobj()
 
+    def rescued(self, machine, data: bytes) -> Iterator[bytes]:
+        """What comes out before the byte at which ``machine`` fails."""
+        out, size = [], 0
+        for k in range(len(data)):
+            try:
+                part = machine.decompress(data[k : k + 1])
+            except zlib.error:
+                break
+            self.read += 1
+            out.append(part)
+            size += len(part)
+            if size >= CHUNK:
+                yield b"".join(out)
+                out, size = [], 0
+        # Chance brings forth a few bytes; no secret is that short.
+        if len(rest := b"".join(out)) >= 12:
+            yield rest
+
     def chunks(self) -> Iterator[bytes]:
         """Content in chunks; afterwards ``read`` bytes were taken, and ``starved`` tells that more input would go on."""
         data, machine, kind = b"", None, b""
@@ -179,19 +210,29 @@ class Inflater:
                     return
                 kind, machine = data[:3], self._machine(data)
             try:
-                if isinstance(machine, bz2.BZ2Decompressor):
+                if kind[:1] in (b"\x1f", b"\x78"):
+                    feed = data
+                    while True:
+                        before = machine.copy()
+                        try:
+                            part = machine.decompress(feed, CHUNK)
+                        except zlib.error:
+                            self.read += len(data) - len(feed)
+                            if kind[:1] == b"\x1f":
+                                yield from self.rescued(before, feed)
+                            return
+                        if not machine.unconsumed_tail:
+                            break
+                        yield part
+                        feed = machine.unconsumed_tail
+                elif isinstance(machine, bz2.BZ2Decompressor | lzma.LZMADecompressor):
                     part = machine.decompress(data, CHUNK)
                     while part and not machine.eof and not machine.needs_input:
                         yield part
                         part = machine.decompress(b"", CHUNK)
-                elif kind[:1] in (b"\x1f", b"\x78"):
-                    part = machine.decompress(data, CHUNK)
-                    while machine.unconsumed_tail:
-                        yield part
-                        part = machine.decompress(machine.unconsumed_tail, CHUNK)
                 else:
                     part = machine.decompress(data)
-            except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, zstandard.ZstdError):
                 return
             if part:
                 yield part
@@ -214,8 +255,30 @@ def skipped(source: Iterator[bytes], n: int) -> Iterator[bytes]:
         n = max(0, n - len(data))
 
 
+def unpacked_letters(rest: str, after: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """The bytes that a base64 run stands for whose letters ``rest`` are followed by those of ``after``, up to the run's end."""
+    held, letters = b"", rest.encode()
+    for data in after():
+        data = held + data
+        keep = OPEN_BREAK.search(data).start()
+        data, held = BYTE_BREAKS.sub(b"", data[:keep]), data[keep:]
+        end = NO_BASE64.search(data)
+        letters += data[: end.start()] if end else data
+        full = len(letters) // 4 * 4
+        if full:
+            yield binascii.a2b_base64(letters[:full].translate(STANDARD))
+        letters = letters[full:]
+        if end:
+            break
+    if len(letters) > 1:
+        yield binascii.a2b_base64(letters.translate(STANDARD) + b"=" * (-len(letters) % 4))
+
+
+STANDARD = bytes.maketrans(b"-_", b"+/")
+
+
 class Cut:
-    """What is left of the bytes that inflated data may come to, and how often it ran out or a run left its window."""
+    """What is left of the bytes that inflated data may come to, and how often it ran out."""
 
     def __init__(self, most_bytes: int | None):
         self.most, self.count = most_bytes, 0
@@ -286,7 +349,10 @@ def _base64_layers(layer: Layer, limits: Cut) -> Iterator[Layer]:
         places = None
         for offset in range(4):
             body = joined_run[offset:]
-            body = body[: len(body) - (len(body) % 4 == 1)]
+            # A run that reaches the end of a window goes on in what follows it.
+            on = layer.after is not None and m.end() == len(layer.text) and not m[0].endswith("=")
+            rest = body[len(body) // 4 * 4 :] if on else ""
+            body = body[: len(body) - (len(body) % 4 if on else len(body) % 4 == 1)]
             data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
             text = data.decode("utf-8", "surrogateescape")
             shows, packed = HAS_TEXT.search(text), PACKED.search(data)
@@ -301,9 +367,7 @@ def _base64_layers(layer: Layer, limits: Cut) -> Iterator[Layer]:
                 end = m.end() if b == size else int(places[min(last, len(places) - 1)]) + 1
                 return layer.origin(int(places[offset + a // 3 * 4 + a % 3]), end)
 
-            yield from _packed_layers(data, origin, limits)
-            # A run that goes on in the next window holds packed data that is read there no further.
-            limits.count += bool(packed and layer.after is not None and m.end() == len(layer.text))
+            yield from _packed_layers(data, origin, limits, partial(unpacked_letters, rest, layer.after) if on else None)
             if not shows:
                 continue
             if layer.span is not None:
@@ -374,9 +438,9 @@ def scan_layers(text: str, most_bytes: int | None = None) -> tuple[list, list, i
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_bytes: int | None = None) -> DataFrame:
     """One row for each input row: counts of base secrets by kind, base and all spans as text, layers met, cuts.
 
-    n_cut counts what ``most_bytes`` ended, and base64 runs within inflated data
-    that hold compressed data and go on beyond a window of 1 MB, which are
-    inflated as far as the window goes. Nothing else is cut.
+    n_cut counts what ``most_bytes`` ended; without that bound nothing is cut.
+    Damaged compressed data are read as far as they can be. A text whose layers
+    unwrap to ever new ones without end is not told from a long one.
 
     Spans are kind:start:end in code points of the original text, end
     exclusive, by start, then kind as in ``KINDS``, then end, joined by commas.

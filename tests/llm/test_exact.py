@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import tracemalloc
@@ -229,6 +230,33 @@ def test_secrets_behind_much_filler_are_found():
         assert {k for _, k, _ in every} == {0} and not cut and layers > 3
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_packed_data_in_letters_beyond_a_window(lines):
+    """A base64 run of compressed data within compressed data that is longer than a window is read to its end."""
+    rng = random.Random(17)
+    filler = b"".join(rng.randbytes(3).hex().encode() + b" words\n" for _ in range(300_000))
+    inner = base64.b64encode(gzip.compress(filler + b"token=abcdef123", 1))
+    assert len(inner) > 1.2 * secret_scan.WINDOW
+    if lines:
+        inner = b"\n".join(inner[k : k + 76] for k in range(0, len(inner), 76))
+    text = "see " + base64.b64encode(gzip.compress(b"head " + inner + b" tail", 1)).decode()
+    base, every, _, cut = secret_scan.scan_layers(text)
+    assert [k for _, k, _ in set(every) - set(base)] == [0] and not cut
+
+
+def test_damaged_data_are_read_as_far_as_they_go():
+    plain = "".join(f"{k} {hashlib.md5(str(k).encode()).hexdigest()[:20]}\n" for k in range(60)).encode()
+    whole = gzip.compress(plain + b"token=abcdef123")
+    wrong_sum = whole[:-8] + bytes(4) + whole[-4:]
+    late = gzip.compress(b"token=abcdef123 " + plain * 40)
+    broken = bytearray(late)
+    broken[len(late) // 2] ^= 0xFF
+    for data in (wrong_sum, whole[:-6], bytes(broken), late[: len(late) // 2], lzma.compress(plain + b"token=abcdef123")):
+        text = f"see {base64.b64encode(data).decode()} end"
+        base, every, _, _ = secret_scan.scan_layers(text)
+        assert {k for _, k, _ in set(every) - set(base)} == {0}
+
+
 def test_memory_does_not_grow_with_what_is_packed():
     bomb = base64.b64encode(gzip.compress(b"a b " * 3_000_000, 1)).decode()
     text = " ".join(["", bomb, bomb, bomb, "token=abcdef123"])
@@ -350,11 +378,22 @@ def test_search_in_one_block_evaluates_by_bounds(spark, scale):
     assert 0 < tally.evaluated.value < tally.met.value < 0.2 * 6 * 3000
 
 
-def test_vectors_beyond_whole_numbers_take_no_part(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1e9, -1e9]), (2, [1e300, 0.0]), (20, [1e7, 1e7]), (3, [-1e7, 5e6])]
+def test_vectors_of_any_size_take_part(spark):
+    """Large ones too, as long as their scores fit a long; only a component that is no long leaves a vector out."""
+    rows = [(0, [1.0, 2.0]), (1, [1e9, -1e9]), (2, [1e300, 0.0]), (20, [1e7, 1e7]), (3, [-1e7, 5e6]), (4, [1e12, 2e3]), (5, [1e15, -1e15]), (40, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id in (0, 40)")
+    got = sorted(tuple(r) for r in pivot_topk.top_k(df, asked, 20).collect())
+    assert got == brute_top([r for r in rows if r[0] != 2], [0, 40], 20) and {r[2] for r in got} == {0, 1, 3, 4, 5, 20, 40}
+    with pytest.raises(Exception, match="does not fit a long"):
+        pivot_topk.top_k(df, df.where("vec_id = 4"), 20).collect()
+
+
+def test_rows_of_one_query_are_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in pivot_topk.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())
-    assert got == brute_top([r for r in rows if r[0] not in (1, 2)], [0, 20], 20)
+    scores = sorted(((sum(int(64 * a) * int(64 * b) for a, b in zip(x, y)), i) for q, x in rows if q == 0 for i, y in rows if i), key=lambda s: (-s[0], s[1]))[:3]
+    assert [(r.score, r.vec_id) for r in sorted(pivot_topk.top_k(df, df.where("vec_id = 0"), 3).collect(), key=lambda r: r["rank"])] == scores
 
 
 def test_warc(spark, tmp_path):
