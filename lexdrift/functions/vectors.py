@@ -41,12 +41,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def vector_sums(df: DataFrame, keys: list[str], vector: str = "vec", name: str = "vsum") -> DataFrame:
     """keys, ``name`` (array<double>: sums by component), n: how many vectors.
 
-    Components are summed as rows, so partial sums are combined before the
-    shuffle whatever a group's size.
+    Vectors are summed as such within each task and a row a group and task is
+    shuffled, whatever a group's size. Those of a group have one length; rows
+    with a null vector are left out.
     """
-    parts = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("pos", "x"))
-    sums = parts.groupBy(*keys, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("c"))
-    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias(name), F.max("c").alias("n"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("__v"))
+    sums = rows.groupBy(*keys).agg(Summarizer.metrics("sum", "count").summary(F.col("__v")).alias("__s"))
+    return sums.select(*keys, vector_to_array("__s.sum").alias(name), F.col("__s.count").alias("n"))
 
 
 def vector_means(df: DataFrame, keys: list[str], vector: str = "vec", name: str = "centroid") -> DataFrame:

@@ -77,11 +77,12 @@ def test_stores(spark, tmp_path):
 def test_streaming_counts(spark, tmp_path):
     from lexdrift.streaming import counts
 
-    rows = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a b' as text union all select timestamp'2024-01-05 00:00:00', 'court case'")
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'tariff duty tariff' as text union all select timestamp'2024-01-05 00:00:00', 'court case'")
     rows.write.parquet(str(tmp_path / "in"))
     stream = counts.token_counts(counts.read_stream(spark, str(tmp_path / "in"), "ts timestamp, text string"), "ts")
     counts.run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-    spark.read.parquet(str(tmp_path / "out"))
+    found = {(r.word, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {("tariff", 2), ("duty", 1)}  # the later window is still open
 
 
 def test_endpoint_pages():
