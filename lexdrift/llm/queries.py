@@ -116,6 +116,35 @@ ORACLES: dict[str, str] = {
         select f.m as conv_id, f.depth, f.parent as parent_conv_id, f.n_convs, f.n_children::bigint as n_children, u.n_leaves::bigint as n_leaves, u.saved::bigint as saved_tokens, f.ends_sha256
         from f join u using (depth, m)
     """,
+    "op8_ngram_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as words from documents where doc_id is not null),
+        s as materialized (
+            select distinct doc_id, array_to_string(words[i : i + 4], ' ') as shingle from w, unnest(range(1, greatest(len(words) - 3, 2))) as t(i) where len(words) > 0
+        ),
+        n as materialized (select doc_id, count(*) as n from s group by 1),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        e as materialized (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where i >= 0.8 * (a.n + b.n - i) - 1e-9),
+        b as materialized (select x, y from e union all select y, x from e),
+        r as (select x, x as y from b union select r.x, b.y from r join b on b.x = r.y),
+        k as (select x as doc_id, min(y) as class_id from r group by 1),
+        l as (select x as doc_id, count(*) as n_links from b group by 1)
+        select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(n, 0)::integer as n_shingles
+        from w left join k using (doc_id) left join l using (doc_id) left join n using (doc_id)
+    """,
+    "op9_line_dedup": """
+        with d as materialized (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents where doc_id is not null),
+        s as materialized (select doc_id, i, len(lines[i]) as own, sum(len(lines[i])) over (partition by doc_id order by i) as upto from d, unnest(range(1, len(lines) + 1)) as t(i)),
+        v as (
+            select a.doc_id, a.i as first, min(b.i) as last from s a join s b on b.doc_id = a.doc_id and b.i >= a.i and b.upto - a.upto + a.own >= 20 group by 1, 2
+            union select b.doc_id, max(a.i), b.i from s a join s b on b.doc_id = a.doc_id and b.i >= a.i and b.upto - a.upto + a.own >= 20 group by 1, b.i
+        ),
+        c as materialized (select doc_id, first, last, array_to_string(lines[first : last], chr(10)) as content from v join d using (doc_id)),
+        f as (select content, min(doc_id) as owner from c group by 1),
+        g as (select doc_id, list(distinct i) as gone from c join f using (content), unnest(range(first, last + 1)) as t(i) where owner < doc_id group by 1)
+        select doc_id, len(lines)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
+            sha256(array_to_string(case when gone is null then lines else [x for x, k in lines if not list_contains(gone, k)] end, chr(10))) as kept_sha256
+        from d left join g using (doc_id)
+    """,
     "op7_warc_revisit": """
         with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         m as (select payload_digest, max(page_id) as top from p where payload_bytes >= 1000 group by 1)

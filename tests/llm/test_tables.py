@@ -103,6 +103,15 @@ def test_trie_equals_sql(spark):
     assert trie_rows(QUERIES["op11_conversation_prefix_trie"](spark, DATA)) == sorted(want, key=lambda r: (r[1], r[0]))
 
 
+@pytest.mark.parametrize("name", ["op8_ngram_jaccard_join", "op9_line_dedup"])
+def test_query_equals_sql(spark, name):
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    rows = QUERIES[name](spark, DATA)
+    want = db.sql(f"select {', '.join(rows.columns)} from ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+
+
 def whitened_by_hand(vectors, k=32):
     x = np.array([[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for v in vectors], "i8")
     n, s = len(x), x.sum(0)
