@@ -113,6 +113,45 @@ class HashEncoder:
         return out
 
 
+#: Words of trained vectors that an encoder carries to the tasks.
+MOST_VECTORS = 1_000_000
+
+
+class VectorEncoder:
+    """A contextual encoder from trained word vectors: a word's state is its own vector and those of the words around it, the nearer the heavier.
+
+    ``vectors`` (word, vec) are one slice's, as the trainer gives them; more than
+    ``MOST_VECTORS`` are refused. Words without a vector have no state of their
+    own and lend none. Texts are cut at ``most`` words, as encoders truncate.
+    """
+
+    def __init__(self, vectors: DataFrame, reach: int = 5, own: float = 0.5, most: int = 512):
+        rows = vectors.where("vec is not null").select(F.lower("word").alias("word"), "vec").limit(MOST_VECTORS + 1).collect()
+        if len(rows) > MOST_VECTORS:
+            raise ValueError(f"more than {MOST_VECTORS} vectors; give those of a tier")
+        self.number = {r.word: k for k, r in enumerate(rows)}
+        self.vectors = np.array([r.vec for r in rows], "f4")
+        self.reach, self.own, self.most = reach, own, most
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        import re
+
+        out = []
+        for text in texts:
+            found = [(m.start(), m.end(), self.number.get(m[0].lower(), -1)) for m in re.finditer(r"\w+", text)][: self.most]
+            known = [k for k, (_, _, n) in enumerate(found) if n >= 0]
+            if not known:
+                out.append((np.zeros((0, 2), int), np.zeros((0, self.vectors.shape[1] if len(self.vectors) else 0), "f4")))
+                continue
+            x = self.vectors[[found[k][2] for k in known]]
+            apart = np.abs(np.subtract.outer(known, known))
+            weight = np.where((apart > 0) & (apart <= self.reach), 1 / np.maximum(apart, 1), 0)
+            total = weight.sum(1, keepdims=True)
+            around = weight @ x / np.where(total > 0, total, 1)
+            out.append((np.array([found[k][:2] for k in known]), np.where(total > 0, self.own * x + (1 - self.own) * around, x).astype("f4")))
+        return out
+
+
 def pool_span(offsets: np.ndarray, vectors: np.ndarray, start: int, end: int) -> np.ndarray | None:
     """Mean over the subwords that lie within the span; None if none does."""
     inside = (offsets[:, 0] >= start) & (offsets[:, 1] <= end) & (offsets[:, 1] > offsets[:, 0])

@@ -169,6 +169,18 @@ def usage_embeddings(spark, sf_dir):
     return out.withColumn("emb", F.transform("emb", lambda x: F.round(x.cast("double"), 4)))
 
 
+@query()
+def trained_usage_embeddings(spark, sf_dir):
+    """Usages of two words, encoded by vectors trained on all sentences of the table."""
+    from lexdrift.operators.train import W2VSettings, train
+
+    paras = fx.paragraphs(spark, sf_dir)
+    encoder = usages.VectorEncoder(train(fx.sentences(spark, sf_dir), W2VSettings(vector_size=8, min_count=20, epochs=1)))
+    found = usages.find_usages(paras, spark.createDataFrame([("which",), ("par",)], "word string"), ["doc_id", "para_idx"])
+    out = usages.embed_usages(usages.paragraphs_to_encode(paras, found, ["doc_id", "para_idx"]), found, ["doc_id", "para_idx"], encoder)
+    return out.withColumn("emb", F.transform("emb", lambda x: F.round(x.cast("double"), 4)))
+
+
 @query("with y as (select min(2000 + substr(source, 4)::integer) as a, max(2000 + substr(source, 4)::integer) as b from documents) select 'w' || s || '_' || (s + 4) as label, s as start_year, s + 4 as end_year, s + 2.0 as mid, s - a + 1 as ord from y, lateral (select unnest(range(a, b - 3)) as s)", "mid", "start_year end_year ord")
 def sliding_windows(spark, sf_dir):
     year = 2000 + F.substring("source", 4, 9).cast("int")

@@ -83,3 +83,16 @@ def test_samples_are_repeatable(spark):
     a, b = (sorted(r.id for r in usages.sample_per_key(df, ["k"], ["id"], 5).collect()) for _ in range(2))
     assert a == b and len(a) == 15
     assert usages.weighted_sample(df.withColumn("w", F.col("id")), "w", ["id"], 10).count() == 10
+
+
+def test_encoder_of_trained_vectors(spark):
+    from lexdrift.operators.usages import VectorEncoder, embed_usages, find_usages
+
+    vecs = spark.createDataFrame([("bank", [1.0, 0.0]), ("river", [0.0, 1.0]), ("money", [0.0, -1.0]), ("null", None)], "word string, vec array<float>")
+    encoder = VectorEncoder(vecs, reach=2)
+    (spans, states), (none, empty) = encoder(["The Bank near river", "nothing known"])
+    assert spans.tolist() == [[4, 8], [14, 19]] and states.tolist() == [[0.5, 0.5], [0.5, 0.5]] and len(none) == len(empty) == 0
+    texts = spark.createDataFrame([(1, "the bank of the river, far away from any town or city"), (2, "the bank has money, far away from any town or city now"), (3, "a bank alone, far away from any town or any other city now")], "id int, text string")
+    found = find_usages(texts, spark.createDataFrame([("bank",)], "word string"), ["id"])
+    got = {r.id: r.emb for r in embed_usages(texts, found, ["id"], VectorEncoder(vecs, reach=3)).collect()}
+    assert got[1][1] > 0 > got[2][1] and got[3] == [1.0, 0.0]
