@@ -97,9 +97,12 @@ class LibraryEncoder:
             if (known := before.get(piece)) is not None:
                 ids[k] = lately[piece] = known
                 continue
-            m = LETTERS.match(piece)
-            stop = m.end() if m and m[0].isalpha() else len(piece)
-            core = piece[:stop]
+            if piece.isalpha():
+                core, stop = piece, len(piece)
+            else:
+                m = LETTERS.match(piece)
+                stop = m.end() if m and m[0].isalpha() else len(piece)
+                core = piece[:stop]
             if core not in new and core not in lately:
                 new[core] = before.get(core)
             parts.append((k, core, piece[stop:]))
@@ -124,7 +127,7 @@ class LibraryEncoder:
             ids = list(map(self.lately.get, rest))
             if None in ids:
                 self.look_up(rest, ids)
-            out.append(self.of_text(head) + b"".join(ids))
+            out.append(self.tails[head] + b"".join(ids))
         return out
 
 
