@@ -51,6 +51,20 @@ def competition_place(df: DataFrame, value: str, place: str, percentile: str) ->
     return df.join(ranked, value, "left").crossJoin(F.broadcast(n)).withColumn(percentile, 100.0 * F.col("__below") / F.col("__all")).drop("__below", "__all")
 
 
+def sum_in_order(value: Column, *order: str) -> Column:
+    """An aggregate: the sum of a group's values in the given order, so that it has the same last digits however rows are dealt.
+
+    Nulls add nothing; a sum of nothing is null. A group's values stand in one
+    row, so groups are those of a word or of one of its slices, not whole tables.
+    """
+    listed = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*order, value.cast("double").alias("__x")))))
+    return F.when(F.count(value) > 0, F.aggregate(listed, F.lit(0.0), lambda s, e: s + e["__x"]))
+
+
+def mean_in_order(value: Column, *order: str) -> Column:
+    return sum_in_order(value, *order) / F.count(value)
+
+
 def guarded_ratio(above: Column, below: Column, least: float = 1e-10) -> Column:
     """``above`` over ``below``, null unless ``below`` exceeds ``least``."""
     return F.when(below > least, above / below)
