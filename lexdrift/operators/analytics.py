@@ -110,7 +110,7 @@ def monosemy_summary(dips: DataFrame, p: float = 0.10, k_pass: int = 5, max_fail
         passing = passing & (F.col("dip") < dip_ceiling)
     out = dips.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_years_present"), F.count_if(tested).alias("n_years_tested"), F.count_if(passing).alias("n_pass"), F.count_if(tested & ~passing).alias("n_fail"),
-        F.min(F.when(tested, F.col("p_value"))).alias("min_p_tested"), F.max(F.when(tested, F.col("dip"))).alias("max_dip_tested"), F.avg(F.when(passing, F.col("p_value"))).alias("mean_p_passing"),
+        F.min(F.when(tested, F.col("p_value"))).alias("min_p_tested"), F.max(F.when(tested, F.col("dip"))).alias("max_dip_tested"), ranks.mean_in_order(F.when(passing, F.col("p_value")), "year").alias("mean_p_passing"),
     )
     return out.withColumn("is_monosemous", (F.col("n_pass") >= k_pass) & (F.col("n_fail") <= max_fails))
 
@@ -181,7 +181,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def summary_table(shift_rows: DataFrame, dispersion: DataFrame, terms: DataFrame, mids: Column) -> DataFrame:
     """word, total, place, percentile, trend of the given terms among all words; trend is the slope of dispersion over time."""
-    totals = shift_rows.groupBy("word").agg(F.sum("combined_shift").alias("total")).where(F.col("total").isNotNull())
+    totals = shift_rows.groupBy("word").agg(ranks.sum_in_order(F.col("combined_shift"), "t2").alias("total")).where(F.col("total").isNotNull())
     placed = ranks.competition_place(totals, "total", "place", "percentile")
     trend = slope(dispersion.withColumn("__mid", mids), ["word"], "dispersion", "__mid").select("word", F.col("slope").alias("trend"))
     return placed.join(terms.select("word").distinct(), "word", "left_semi").join(trend, "word", "left").select("word", "total", "place", "percentile", "trend")
@@ -273,7 +273,7 @@ def word_statistics(usages: DataFrame, k_max: int = 6, draws: int = 100, weight:
 
 def cumulative_limits(shift_rows: DataFrame, value: str = "combined_shift") -> DataFrame:
     """median, p95, n of the words' cumulative shifts; nulls add nothing, a word without a valid one counts 0."""
-    totals = shift_rows.groupBy("word").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("t"))
+    totals = shift_rows.groupBy("word").agg(F.coalesce(ranks.sum_in_order(F.col(value), "t2"), F.lit(0.0)).alias("t"))
     return totals.agg(F.percentile("t", F.lit(0.5)).alias("median"), F.percentile("t", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
