@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import ranks
 from lexdrift.functions.special import correlation_p
+from lexdrift.functions.vectors import vector_sums
 from lexdrift.operators import kernels, pairs
 
 QUANTILES = [("q00", 0.0), ("q10", 0.1), ("q20", 0.2), ("q30", 0.3), ("q70", 0.7), ("q80", 0.8), ("q90", 0.9), ("q100", 1.0)]
@@ -198,29 +201,55 @@ def interval(values: DataFrame, by: list[str], value: str = "value") -> DataFram
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.025)).alias("ci_lower"), F.percentile(value, F.lit(0.975)).alias("ci_upper"), F.count(F.lit(1)).alias("n_valid"), F.array_sort(F.collect_list(value)).alias("values"))
 
 
-def block_moments(usages: DataFrame, max_per_year: int = 300, min_usages: int = 2, seed: int = 42) -> DataFrame:
+def block_moments(usages: DataFrame, max_per_year: int | None = 300, min_usages: int = 2, seed: int = 42) -> DataFrame:
     """word, year_a, year_b, mean_dist, var_dist, n_pairs over all pairs of two years' usages (within a year: its pairs); variance is null below two pairs.
 
-    At most ``max_per_year`` usages a cell are sampled, which is part of the
-    metric. Blocks are taken one at a time.
+    At most ``max_per_year`` usages a cell are sampled, which is then part of
+    the metric; None takes all. No pair is formed: cosines add up to the product
+    of two cells' sums of unit vectors, their squares to that of the cells' sums
+    of outer products.
     """
     from lexdrift.operators.usages import sample_per_key
 
+    rows = usages.where(F.col("emb").isNotNull())
+    if max_per_year is not None:
+        rows = sample_per_key(rows, ["word", "year"], ["usage_id"], max_per_year, seed)
+    rows = rows.select("word", F.col("year").cast("int").alias("year"), "emb")
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Sums over a batch; rows of one cell from other batches and tasks are added by Spark.
+        for frame in frames:
+            found = []
+            for (word, year), g in frame.groupby(["word", "year"], dropna=False):
+                if len(found) == 256:
+                    yield pd.DataFrame(found, columns=["word", "year", "sums"])
+                    found = []
+                u = kernels.unit_matrix(np.stack(g["emb"].to_numpy()))
+                own = (u * u).sum(1)
+                found.append([word, year, np.concatenate([[len(u), own.sum(), (own * own).sum()], u.sum(0), (u.T @ u).ravel()])])
+            yield pd.DataFrame(found, columns=["word", "year", "sums"])
+
+    parts = rows.mapInPandas(added, "word string, year int, sums array<double>")
+    cells = vector_sums(parts, ["word", "year"], "sums", "sums").drop("n").where(F.round(F.get("sums", F.lit(0))) >= min_usages)
+    # The sums of a word's years: as many rows as it has years, whatever its usages.
     schema = "word string, year_a int, year_b int, mean_dist double, var_dist double, n_pairs long"
-    sampled = sample_per_key(usages.where(F.col("emb").isNotNull()), ["word", "year"], ["usage_id"], max_per_year, seed).select("word", F.col("year").cast("int").alias("year"), "emb")
 
-    def moments(key, rows: pd.DataFrame) -> pd.DataFrame:
-        units = {y: kernels.unit_matrix(np.stack(g["emb"].to_numpy())) for y, g in rows.groupby("year") if len(g) >= min_usages}
-        out = []
-        for a in sorted(units):
-            for b in sorted(y for y in units if y >= a):
-                d = 1 - units[a] @ units[b].T
-                d = d[np.triu_indices(len(d), 1)] if a == b else d.ravel()
-                if len(d):
-                    out.append([key[0], a, b, d.mean(), d.var() if len(d) > 1 else None, len(d)])
+    def moments(key, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("year")
+        years, sums, out = own["year"].to_numpy(), np.stack(own["sums"].to_numpy()), []
+        dim = round((np.sqrt(4 * (sums.shape[1] - 3) + 1) - 1) / 2)
+        n, s, g = np.rint(sums[:, 0]), sums[:, 3 : 3 + dim], sums[:, 3 + dim :]
+        for a in range(len(years)):
+            for b in range(a, len(years)):
+                pairs, first, second = n[a] * n[b], s[a] @ s[b], g[a] @ g[b]
+                if a == b:
+                    pairs, first, second = n[a] * (n[a] - 1) / 2, (first - sums[a, 1]) / 2, (second - sums[a, 2]) / 2
+                if pairs:
+                    mean = first / pairs
+                    out.append([key[0], years[a], years[b], 1 - mean, max(0.0, second / pairs - mean * mean) if pairs > 1 else None, int(pairs)])
         return pd.DataFrame(out, columns=["word", "year_a", "year_b", "mean_dist", "var_dist", "n_pairs"])
 
-    return sampled.groupBy("word").applyInPandas(moments, schema)
+    return cells.groupBy("word").applyInPandas(moments, schema)
 
 
 def density_curves(usages: DataFrame, max_per_year: int = 300, min_usages: int = 2, points: int = 200, upto: float = 1.5, seed: int = 42) -> DataFrame:
