@@ -56,3 +56,14 @@ def test_texts_passed_over_are_those_that_patterns_leave_alone(spark):
 def test_pairs_of_sentences_without_content(spark, tokens):
     got = phrases.score_pairs(spark.createDataFrame([(tokens,)], "tokens array<string>"), 0, 0.0).collect()
     assert [(r.a, r.link, r.b) for r in got] == ([("free", "of", "goods")] if len(tokens) == 3 else [])
+
+
+def test_a_word_is_a_row_once(spark, tmp_path, monkeypatch):
+    """What is shuffled for pair counts: a row for each content word of a sentence, not one for it and one for its pair."""
+    kept = {}
+    monkeypatch.setattr(phrases, "cut", lambda df, what: kept.setdefault(what, df))
+    rows = spark.createDataFrame([(["x", "of", "y", "z"],), (["z"],)], "tokens array<string>")
+    got = phrases.score_pairs(rows, 0, 0.0).collect()
+    # Counts: x 1, y 1, z 2; pairs x of y, y z; five entries in all.
+    assert sorted((r.a, r.link, r.b, r.n_ab, r.score) for r in got) == [("x", "of", "y", 1, 5.0), ("y", "", "z", 1, 2.5)]
+    assert kept["pairs"].agg(F.sum("n_ab")).first()[0] == 4
