@@ -1,0 +1,16 @@
+"""Rounds of joins send no table that grows with the words to the driver."""
+
+from pyspark.sql import functions as F
+
+from lexdrift.operators import communities
+
+
+def test_rounds_broadcast_no_labels(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(communities, "cut", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    graph = spark.createDataFrame([("s", 1, a, b, 1.0) for a, b in (("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"))], "slice string, try int, u string, v string, w double")
+    labels = graph.groupBy("slice", "try", "u").agg(F.sum("w").alias("k")).select("slice", "try", "u", F.col("u").alias("c"), "k", F.lit(4.0).alias("m2"), F.lit(0).alias("turn"))
+    communities.one_round(graph, labels, 1)
+    assert plans and all("Broadcast" not in p for p in plans)
+    found = communities.modularity(graph, labels)
+    assert abs(found["s", 1] + 6 / 16) < 1e-12
