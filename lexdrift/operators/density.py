@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from lexdrift.operators import knn
 LEAST = 1e-10
 #: Edges of the forest that one task folds at a time.
 FOLD = 200_000
+#: Points of a block: few and large ones, as each block a point meets gives a list to merge.
+BLOCK = 4 * knn.BLOCK
 EDGE = "struct<w:double,lo:string,hi:string>"
 FOLDED = "slice string, kind string, a string, b string, size long, density double, below double, chosen boolean"
 STATE = "slice string, comp string, size long, cluster string, density double, below double"
@@ -30,24 +33,29 @@ def edge(w: Column, a: str, b: str) -> Column:
     return F.struct(w.alias("w"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
 
 
-def spanning_forest(points: DataFrame, min_samples: int = 5, k: int = 16, block: int = knn.BLOCK) -> DataFrame:
+def spanning_forest(points: DataFrame, min_samples: int = 5, k: int = 16, block: int = BLOCK) -> DataFrame:
     """slice, lo, hi, w: the minimum spanning tree of each slice's points (slice, word, vec) by mutual reachability distance.
 
     Rounds after Boruvka: every component takes its least edge to another one.
     Lists of ``k`` neighbours give it, unless an edge that they lack could be
     shorter; only then are the points in question compared with all others, in
-    pairs of blocks. Components are merged by pointer jumping. What is held
-    between rounds are tables.
+    pairs of blocks. The edge that a point gets so is added to its list, and
+    bounds what the list lacks from then on, as components only grow. Edges
+    within a component are left out of later rounds. Components are merged by
+    pointer jumping. What is held between rounds are tables.
     """
     k = max(k, min_samples)
     near = cut(knn.neighbours(points, k, block, "euclidean").select("slice", "word", "neighbour", (-F.col("sim")).alias("dist"), "rank"), "near")
     core = cut(points.select("slice", "word").join(core_distances(near, min_samples, k), ["slice", "word"], "left").select("slice", "word", F.coalesce("core", F.lit(0.0)).alias("core"), "bound"), "core")
     there = core.select("slice", F.col("word").alias("neighbour"), F.col("core").alias("other"))
     listed = cut(near.join(core.select("slice", "word", "core"), ["slice", "word"]).join(there, ["slice", "neighbour"]).select("slice", F.col("word").alias("u"), F.col("neighbour").alias("v"), F.greatest("core", "other", "dist").alias("w")), "reach")
-    labels, forest = cut(core.select("slice", "word", F.col("word").alias("comp")), "components"), None
+    drop(near)
+    labels, forest, parts = cut(core.select("slice", "word", F.col("word").alias("comp")), "components"), None, [listed]
     while True:
         ends = [labels.select("slice", F.col("word").alias(x), F.col("comp").alias(f"c{x}")) for x in "uv"]
-        out = listed.join(ends[0], ["slice", "u"]).join(ends[1], ["slice", "v"]).where("cu <> cv")
+        out = cut(listed.join(ends[0], ["slice", "u"]).join(ends[1], ["slice", "v"]).where("cu <> cv"), "reach")
+        drop(*parts)
+        listed, parts = out.select("slice", "u", "v", "w"), [out]
         best_of = lambda rows: rows.groupBy("slice", "comp").agg(F.min_by(F.struct("e", "to"), F.col("e")).alias("x")).select("slice", "comp", "x.e", "x.to")
         known = best_of(out.select("slice", F.col("cu").alias("comp"), edge(F.col("w"), "u", "v").alias("e"), F.col("cv").alias("to")))
         several = labels.groupBy("slice").agg(F.countDistinct("comp").alias("n")).where("n > 1").select("slice")
@@ -55,11 +63,15 @@ def spanning_forest(points: DataFrame, min_samples: int = 5, k: int = 16, block:
         unsure = core.join(labels, ["slice", "word"]).join(known.select("slice", "comp", "e"), ["slice", "comp"]).where("bound <= coalesce(e.w, double('infinity'))").select("slice", "word", "comp")
         chosen = known.where("e is not null")
         if not unsure.isEmpty():
-            held, known = known, cut(best_of(chosen.unionByName(outside(points, core, labels, unsure, block))), "least")
-            drop(held)
+            seen = cut(outside(points, core, labels, unsure, block), "outside")
+            held, known = [known, core], cut(best_of(chosen.unionByName(seen.select("slice", "comp", "e", "to"))), "least")
+            own = seen.groupBy("slice", "word").agg(F.min("e").alias("e"))
+            listed, parts = listed.unionByName(own.select("slice", F.col("word").alias("u"), F.when(F.col("word") == F.col("e.lo"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("v"), "e.w")), [*parts, seen]
+            core = cut(core.join(own, ["slice", "word"], "left").select("slice", "word", "core", F.greatest("bound", "e.w").alias("bound")), "core")
+            drop(*held)
             chosen = known
         if chosen.isEmpty():
-            drop(labels, known, listed, near, core)
+            drop(labels, known, core, *parts)
             return forest if forest is not None else points.sparkSession.createDataFrame([], "slice string, lo string, hi string, w double")
         step = chosen.select("slice", "e.lo", "e.hi", "e.w").distinct()
         held, forest = forest, cut(step if forest is None else forest.unionByName(step), "forest")
@@ -68,7 +80,7 @@ def spanning_forest(points: DataFrame, min_samples: int = 5, k: int = 16, block:
 
 
 def outside(points: DataFrame, core: DataFrame, labels: DataFrame, unsure: DataFrame, block: int) -> DataFrame:
-    """slice, comp, e, to: the least edge of each unsure point to a point of another component, by pairs of blocks."""
+    """slice, word, comp, e, to: the least edges of each unsure point to points of other components, one from each pair of blocks."""
     told = points.select("slice", "word", "vec").join(core.select("slice", "word", "core"), ["slice", "word"]).join(labels, ["slice", "word"])
     counts = points.groupBy("slice").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     told = told.join(F.broadcast(counts), "slice").withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
@@ -80,20 +92,40 @@ def outside(points: DataFrame, core: DataFrame, labels: DataFrame, unsure: DataF
     def least(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(a) and len(b):
-            w = -knn.straight(a["vec"], b["values"])
-            w = w.clip(min=b["radius"].to_numpy()[None, :]).clip(min=a["core"].to_numpy()[:, None])
-            w[a["comp"].to_numpy()[:, None] == b["group"].to_numpy()[None, :]] = float("inf")
-            least_w = w.min(1)
-            names, comps = b["name"].to_numpy(), b["group"].to_numpy()
-            for r, (u, cu, x) in enumerate(zip(a["word"], a["comp"], least_w)):
-                if x < float("inf"):
+            comps, names, words, groups = a["comp"].to_numpy(), b["name"].to_numpy(), a["word"].to_numpy(), b["group"].to_numpy()
+            cores, radii = a["core"].to_numpy("f8"), b["radius"].to_numpy("f8")
+            codes = pd.factorize(np.concatenate([comps, groups]))[0]
+            codes, others = codes[: len(a)], codes[len(a) :]
+            p = knn.Products(a["vec"], b["values"])
+            widest = np.maximum(cores.max(), radii.max()) ** 2
+            by_products = p.finite() and widest < 1e300
+            slack = np.maximum(p.slack, 32 * np.finfo("f8").eps * widest)
+            for at in range(0, len(a), knn.STRIP):
+                own = slice(at, at + knn.STRIP)
+                if by_products:
+                    w = np.maximum(np.maximum(p.squares(at, knn.STRIP), radii**2), cores[own, None] ** 2)
+                else:
+                    w = (-knn.straight(a["vec"].iloc[own], b["values"])).clip(min=radii[None, :]).clip(min=cores[own, None])
+                w[codes[own, None] == others[None, :]] = np.inf
+                # Products tell which pairs may be the least; what they weigh comes from differences.
+                i, j = np.nonzero((w <= w.min(1, keepdims=True) + (slack if by_products else 0)) & (w < np.inf))
+                x = np.maximum(np.maximum(p.straight(i + at, j), radii[j]), cores[i + at]) if by_products else w[i, j]
+                starts = np.flatnonzero(np.diff(i, prepend=-1))
+                if not len(starts):
+                    continue
+                low = np.minimum.reduceat(x, starts)
+                equal = np.flatnonzero(x == np.repeat(low, np.diff(starts, append=len(i))))
+                i, j, x = i[equal], j[equal], x[equal]
+                starts = np.flatnonzero(np.diff(i, prepend=-1))
+                for f, t in zip(starts, [*starts[1:], len(i)]):
+                    u = words[i[f] + at]
                     # Of equal edges the one that is least by its ends.
-                    at = min((w[r] == x).nonzero()[0].tolist(), key=lambda q: (min(u, names[q]), max(u, names[q])))
-                    rows.append((key[0], cu, float(x), min(u, names[at]), max(u, names[at]), comps[at]))
-        return pd.DataFrame(rows, columns=["slice", "comp", "w", "lo", "hi", "to"])
+                    q = min(j[f:t].tolist(), key=lambda q: (min(u, names[q]), max(u, names[q])))
+                    rows.append((key[0], u, comps[i[f] + at], float(x[f]), min(u, names[q]), max(u, names[q]), groups[q]))
+        return pd.DataFrame(rows, columns=["slice", "word", "comp", "w", "lo", "hi", "to"])
 
-    found = left.groupBy("slice", "i", "j").cogroup(right.groupBy("in", "of", "by")).applyInPandas(least, "slice string, comp string, w double, lo string, hi string, to string")
-    return found.select("slice", "comp", F.struct("w", "lo", "hi").cast(EDGE).alias("e"), "to")
+    found = left.groupBy("slice", "i", "j").cogroup(right.groupBy("in", "of", "by")).applyInPandas(least, "slice string, word string, comp string, w double, lo string, hi string, to string")
+    return found.select("slice", "word", "comp", F.struct("w", "lo", "hi").cast(EDGE).alias("e"), "to")
 
 
 def merged(labels: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -227,7 +259,7 @@ def highest_chosen(tree: DataFrame) -> DataFrame:
     return now.select("slice", "cluster", "top")
 
 
-def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples: int | None = None, k: int = 16, block: int = knn.BLOCK, most: int = FOLD) -> DataFrame:
+def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples: int | None = None, k: int = 16, block: int = BLOCK, most: int = FOLD) -> DataFrame:
     """slice, word, cluster (from 0 by smallest member; -1: noise) of points (slice, word, vec) by straight distance, all slices at once.
 
     ``min_samples`` counts the point itself and is ``min_cluster_size`` by
