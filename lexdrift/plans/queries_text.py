@@ -111,11 +111,12 @@ def shared_vocabulary(spark, sf_dir):
 
 
 def _pieces(words):
-    """piece: beginnings of up to four letters and later parts of up to three that three words or more share."""
-    lengths = lambda most: F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")
-    begins = words.select("word", lengths(4)).where("length(word) >= n").select("word", F.expr("substring(word, 1, n)").alias("piece"))
-    inner = words.where("length(word) > 1").select("word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("at")).select("word", "at", lengths(3)).where("at + n - 1 <= length(word)").select("word", F.expr("concat('##', substring(word, at, n))").alias("piece"))
-    return begins.unionByName(inner).groupBy("piece").agg(F.countDistinct("word").alias("n")).where("n >= 3").select("piece")
+    """piece: beginnings of up to four letters and later parts of up to three that three words or more share; ``words`` has each word once."""
+    begins = "transform(sequence(1, least(4, length(word))), n -> substring(word, 1, n))"
+    inner = "flatten(transform(sequence(2, length(word)), i -> transform(sequence(1, least(3, length(word) - i + 1)), n -> concat('##', substring(word, i, n)))))"
+    # Each word names a piece once: what is shuffled are counts of pieces, not pairs of piece and word.
+    own = F.expr(f"array_distinct(concat({begins}, if(length(word) > 1, {inner}, array())))")
+    return words.where("length(word) > 0").select(F.explode(own).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("piece")
 
 
 @query(

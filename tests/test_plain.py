@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions.wordlists import LATIN_PHRASES
 from lexdrift.operators import text, vocabulary
+from lexdrift.plans import queries_text as q
 
 TEXTS = ["The Court held_x, court's é ad", "", None, "x1 ab", "Article ٣٤ TFEU", "½ ab Ⅻ cd", "Inter alia", "inter  alia", "in rem", "in remit", "in rem.", "ex poſt", "de faİt", "non bıs in ıdem", "Kin inK", "İstanbul ÀB", "_ab __c a_b-ZZ _", "a\x01per se", "ab\x00cd", " \n\tab", "ÉCOLE über Straße", "in situé ab", "of the"]
 
@@ -37,3 +38,11 @@ def test_slices_of_a_word(spark):
     assert {(r.word, r.n_slices) for r in vocabulary.slice_spread(counts, once=True).collect()} == {("a", 2), ("b", 1)}
     plan = vocabulary.anchors_of_counts(counts, 2, 1, 1, once=True)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("HashAggregate") == 2
+
+
+def test_pieces_are_counted_where_they_are_cut(spark):
+    words = spark.createDataFrame([(w,) for w in ("aaaa", "aab", "caa", "a", "")], "word string")
+    rows = q._pieces(words)
+    # No pair of piece and word is shuffled: counts of pieces are.
+    assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("array_distinct", "")
+    assert sorted(r.piece for r in rows.collect()) == ["##a", "a"]
