@@ -46,3 +46,11 @@ def test_pieces_are_counted_where_they_are_cut(spark):
     # No pair of piece and word is shuffled: counts of pieces are.
     assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("array_distinct", "")
     assert sorted(r.piece for r in rows.collect()) == ["##a", "a"]
+
+
+def test_anchors_are_summed_before_they_are_joined(spark):
+    counts = spark.createDataFrame([(f"y{k}", w, k + 1) for k in range(3) for w in "abc"], "slice string, word string, cnt long")
+    rows = vocabulary.harmonic_means(counts, spark.createDataFrame([("a",), ("a",), ("z",)], "word string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate")
+    assert [(r.word, round(r.hmean, 6)) for r in rows.collect()] == [("a", round(3 / (1 + 1 / 2 + 1 / 3), 6))]
