@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.functions.wordlists import LATIN_PHRASES
-from lexdrift.operators import text, vocabulary
+from lexdrift.operators import phrases, text, vocabulary
 from lexdrift.plans import queries_text as q
 
 TEXTS = ["The Court held_x, court's é ad", "", None, "x1 ab", "Article ٣٤ TFEU", "½ ab Ⅻ cd", "Inter alia", "inter  alia", "in rem", "in remit", "in rem.", "ex poſt", "de faİt", "non bıs in ıdem", "Kin inK", "İstanbul ÀB", "_ab __c a_b-ZZ _", "a\x01per se", "ab\x00cd", " \n\tab", "ÉCOLE über Straße", "in situé ab", "of the"]
@@ -54,3 +54,22 @@ def test_anchors_are_summed_before_they_are_joined(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("Aggregate")
     assert [(r.word, round(r.hmean, 6)) for r in rows.collect()] == [("a", round(3 / (1 + 1 / 2 + 1 / 3), 6))]
+
+
+def test_merging_a_batch_is_merging_each_sentence():
+    rng = random.Random(3)
+    stop = ["of", "the"]
+    for _ in range(500):
+        sentences = [None if rng.random() < 0.1 else [rng.choice(["a", "b", "c", "of", "the", "\0", "b\0c", None]) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(5))]
+        pairs = {(rng.choice(["a", "b", "\0"]), rng.choice(["", "of", "of the"]), rng.choice(["a", "c", "b\0c"])) for _ in range(rng.randrange(6))}
+        a, link, b = (pa.array([p[k] for p in pairs], pa.string()) for k in range(3))
+        got = phrases.merge_all(pa.array([["a"], *sentences], phrases.LISTS)[1:], (a.unique(), phrases.keys(a, link, b)), pa.array(stop))
+        assert got.to_pylist() == [t and phrases.merge_tokens(t, pairs, set(stop)) for t in sentences]
+
+
+def test_phrases_are_scored_once(spark, monkeypatch):
+    """Their size and their rows were both computed from the pair counts, joins and all."""
+    kept = []
+    monkeypatch.setattr(phrases, "cut", lambda df, what, real=phrases.cut: (kept.append(what), real(df, what))[1])
+    phrases.detect_phrases(spark.createDataFrame([(["a", "b"],)] * 9, "tokens array<string>"), 2, 0.1)
+    assert kept.count("phrases") == 2
