@@ -27,7 +27,7 @@ def events(folder, missing: str) -> str:
 
 
 @pytest.mark.parametrize("missing", ["ts", "user_id"])
-@pytest.mark.parametrize("name", ["classifier_sweep", "monosemy_pages"])
+@pytest.mark.parametrize("name", ["classifier_sweep", "monosemy_pages", "summary_table"])
 def test_events_without_a_key(spark, tmp_path, name, missing):
     folder = events(tmp_path, missing)
     rows = QUERIES[name](spark, folder)
